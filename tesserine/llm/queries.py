@@ -1,0 +1,29 @@
+"""Queries of this subpackage, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.session import ship_package
+from tesserine.sources.tables import load
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.neighbours import most_similar
+
+    ship_package(spark)
+    found = None
+    for table in ("code_snippets", "repo_docs"):
+        near = most_similar(load(spark, sf_dir, table), "id", "embedding", k=10, min_similarity=0.85)
+        pairs = near.select(F.lit(table).alias("vec_table"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def queries() -> dict:
+    return {"p1_found": p1_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
