@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -34,12 +35,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application.
-
-    In local mode the Python workers share the driver's import path, so nothing is sent.
-    """
+    """Send this package to the Python workers, once per application."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     handle, name = tempfile.mkstemp(prefix="tesserine-", suffix=".zip")
@@ -48,4 +46,5 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)
     _shipped.add(context.applicationId)
