@@ -21,6 +21,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+    from tesserine.llm.words import tree_text
+
+    ship_package(spark)
+    found = None
+    for table, field, to_text in (("code_snippets", "ast", tree_text), ("repo_docs", "content", str)):
+        links, members = near_duplicate_classes(load(spark, sf_dir, table), "id", field, to_text, threshold=0.6, shingle_words=3, min_words=20)
+        pairs = near_duplicate_pairs(links, members).select(F.lit(f"{table}.{field}").alias("src_field"), "id_a", "id_b")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm.clusters import similarity_clusters
 
@@ -30,7 +43,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
