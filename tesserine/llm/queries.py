@@ -42,8 +42,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "cluster_head", "typical_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.leaks import leaked_items
+
+    ship_package(spark)
+    docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text", window=12, max_edits=0).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
