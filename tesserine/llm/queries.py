@@ -42,6 +42,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "cluster_head", "typical_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.documented import function_pairs
+
+    ship_package(spark)
+    docs = load(spark, sf_dir, "repo_docs").where(F.lower(F.trim("doc_type")).isin("docstring", "inline"))
+    pairs = function_pairs(docs, "id", "content", "related_code_path")
+    return pairs.select(F.col("id").alias("doc_id"), "func_name").distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm.leaks import leaked_items
 
@@ -51,7 +60,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
