@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,9 @@ def near_duplicate_classes(
     threshold: float = 0.8,
     shingle_words: int = 5,
     min_words: int | None = None,
-    rows_per_band: int = 3,
-    bands: int = 36,
+    rows_per_band: int = 4,
+    bands: int = 56,
+    compared: int = 112,
     tolerance: float = 1e-4,
     block_rows: int = 2000,
     seed: int = 3,
@@ -75,103 +77,103 @@ def near_duplicate_classes(
 
     Links are pairs of classes whose shingle sets reach `threshold` (exact Jaccard, shared >=
     threshold * total); classes are records with equal sets and named by their least id. Every
-    similar pair is either inside a class or between two linked classes. Ids count once (the
-    greatest text wins), null ids and texts of fewer than `min_words` words (default: one shingle)
-    have no class, words are lower-cased runs of letters, digits and underscores, an empty table
-    gives empty results. Buckets beyond `block_rows` are compared block by block in tasks of their
-    own, none is capped.
-
-    With 36 bands of 3 values a pair right at 0.6 is missed with probability 2e-4; the tolerance
-    adds at most 1e-4 for each of the comparisons.
+    similar pair is either inside a class or between two linked classes. Ids count once (one of
+    differing texts wins by its hash), null ids and texts of fewer than `min_words` words (default:
+    one shingle) have no class, words are lower-cased runs of letters, digits and underscores, an
+    empty table gives empty results. Buckets beyond `block_rows` are compared block by block in
+    tasks of their own, none is capped.
+
+    With 56 bands of 4 values a pair right at 0.6 is missed with probability 4e-4; the tolerance
+    adds at most 1e-4 for each of the comparisons. Until the end a class is its 64-bit hash, and
+    only narrow columns are shuffled: 16 bits of a MinHash value, 32 bits of a band.
     """
-    count = max(rows_per_band * bands, STEP)
-    width = -(-count // STEP) * STEP
+    count = max(rows_per_band * bands, compared)
     wanted = shingle_words if min_words is None else max(min_words, shingle_words)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         rng = np.random.default_rng(seed)
-        factors = rng.integers(1, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        addends = rng.integers(0, 2**63, width, dtype=np.uint64)
+        factors = rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        addends = rng.integers(0, 2**63, count, dtype=np.uint64)
         mix = rng.integers(1, 2**63, (bands, rows_per_band), dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            ids, sets, signs, keys = [], [], [], []
+            ids, names, sets, signs, keys = [], [], [], [], []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORD.findall(to_text(raw).lower())
                 if len(words) < wanted:
                     continue
                 own = shingles(hashes.of(words), shingle_words)
+                packed = own.tobytes()
                 sign = _minhash(own, factors, addends)
                 with np.errstate(over="ignore"):
                     band = (sign[: bands * rows_per_band].astype(np.uint64).reshape(bands, rows_per_band) * mix).sum(axis=1)
                 ids.append(key)
-                sets.append(own.tobytes())
-                signs.append(sign.tobytes())
-                keys.append(band.view(np.int64))
+                names.append(xxhash.xxh3_64_intdigest(packed))
+                sets.append(packed)
+                signs.append(sign[:compared].astype(np.uint16).tobytes())
+                keys.append((band >> np.uint64(32)).astype(np.uint32).view(np.int32))
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["id", "grams", "sign", "keys"])
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int32))
+            fields = [pa.array(ids, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(fields, ["id", "class", "grams", "sign", "keys"])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("raw")).where("id is not null and raw is not null")
-    sketched = materialise(picked.mapInArrow(sketch, "id long, grams binary, sign binary, keys array<long>"))
-    keyed = sketched.select("id", F.xxhash64("grams").alias("h"), F.xxhash64(F.lit(1), "grams").alias("g"))
-    keyed = keyed.groupBy("id").agg(F.max(F.struct("h", "g")).alias("k")).select("id", "k.h", "k.g")
-    least = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"))
-    members = materialise(keyed.join(least, ["h", "g"]).select("rep", "id", "h", "g"))
-    reps = members.where("rep = id").select("rep", "h", "g")
-    source = sketched.select(F.col("id").alias("rep"), F.xxhash64("grams").alias("h"), F.xxhash64(F.lit(1), "grams").alias("g"), "grams", "sign", "keys")
-    classes = source.join(reps, ["rep", "h", "g"], "left_semi").dropDuplicates(["rep"])
-    classes = materialise(classes.select("rep", "grams", "sign", "keys", (F.length("grams") / 8).cast("int").alias("size")))
-
-    slots = classes.select("rep", "size", F.posexplode("keys").alias("band", "key"))
+    sketched = materialise(picked.mapInArrow(sketch, "id long, class long, grams binary, sign binary, keys array<int>"))
+    chosen = sketched.groupBy("id").agg(F.max("class").alias("class"))
+    members = materialise(chosen.join(chosen.groupBy("class").agg(F.min("id").alias("rep")), "class").select("rep", "id", "class"))
+
+    size = (F.length("grams") / 8).cast("int").alias("size")
+    slots = sketched.select("class", size, "keys").dropDuplicates(["class"]).select("class", "size", F.posexplode("keys").alias("band", "key"))
+    slots = slots.withColumn("band", F.col("band").cast("byte"))
     full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     full = materialise(full)
-    slots = slots.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    slots = slots.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    slots = slots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    slots = slots.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    slots = slots.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
     small, large = slots.where("blocks = 1"), slots.where("blocks > 1")
     fits = F.expr(f"least(l.size, r.size) >= {threshold} * greatest(l.size, r.size)")
 
-    def pairs(side: DataFrame) -> DataFrame:
-        on = ["band", "key", "lo", "hi"]
+    def pairs(side: DataFrame, on: list[str], crossing: str) -> DataFrame:
         left, right = side.alias("l"), side.alias("r")
-        joined = left.join(right, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.rep") < F.col("r.rep"), fits])
-        joined = joined.where("l.lo = l.hi or l.own <> r.own")
-        return joined.select(F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"))
+        joined = left.join(right, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.class") < F.col("r.class"), fits])
+        return joined.where(crossing).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
 
-    found = pairs(small)
+    found = pairs(small.select("class", "size", "band", "key"), ["band", "key"], "true")
     if full.where(F.col("n") > block_rows).limit(1).count():
-        found = found.unionByName(pairs(large))
+        large = large.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        large = large.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        found = found.unionByName(pairs(large, ["band", "key", "lo", "hi"], "l.lo = l.hi or l.own <> r.own"))
     candidates = found.distinct()
-    signed = classes.select("rep", "sign")
-    compared = candidates.join(signed.toDF("rep_a", "sign_a"), "rep_a").join(signed.toDF("rep_b", "sign_b"), "rep_b")
+    signed = sketched.select("class", "sign").dropDuplicates(["class"])
+    sided = candidates.join(signed.toDF("a", "sign_a"), "a").join(signed.toDF("b", "sign_b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, width) for c in ("sign_a", "sign_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, compared) for c in ("sign_a", "sign_b"))
             alive = pa.array(prune(a, b, threshold, tolerance))
-            yield pa.RecordBatch.from_arrays([batch.column("rep_a").take(alive), batch.column("rep_b").take(alive)], ["rep_a", "rep_b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(alive), batch.column("b").take(alive)], ["a", "b"])
 
-    left = materialise(compared.select("rep_a", "rep_b", "sign_a", "sign_b").mapInArrow(compare, "rep_a long, rep_b long"))
-    whole = classes.select("rep", "grams")
-    checked = left.join(whole.toDF("rep_a", "grams_a"), "rep_a").join(whole.toDF("rep_b", "grams_b"), "rep_b")
+    left = materialise(sided.select("a", "b", "sign_a", "sign_b").mapInArrow(compare, "a long, b long"))
+    involved = left.select(F.col("a").alias("class")).unionByName(left.select(F.col("b").alias("class"))).distinct()
+    whole = sketched.select("class", "grams").join(involved, "class", "left_semi").dropDuplicates(["class"])
+    checked = left.join(whole.toDF("a", "grams_a"), "a").join(whole.toDF("b", "grams_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, total = [], []
             for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 shared.append(same)
                 total.append(len(both) - same)
-            yield pa.RecordBatch.from_arrays([batch.column("rep_a"), batch.column("rep_b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["rep_a", "rep_b", "shared", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
 
-    links = checked.select("rep_a", "rep_b", "grams_a", "grams_b").mapInArrow(verify, "rep_a long, rep_b long, shared long, total long")
+    links = checked.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long, shared long, total long")
     exact = F.col("shared").cast("decimal(20,0)") * F.lit(1_000_000) >= F.col("total") * F.lit(int(round(threshold * 1_000_000)))
-    return materialise(links.where(exact)), members.select("rep", "id")
+    names = members.where("rep = id").select("class", "rep")
+    links = links.where(exact).join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    links = links.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "shared", "total")
+    return materialise(links), members.select("rep", "id")
 
 
 def near_duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
