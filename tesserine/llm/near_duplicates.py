@@ -127,7 +127,8 @@ def near_duplicate_classes(
     slots = slots.withColumn("band", F.col("band").cast("byte"))
     full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     full = materialise(full)
-    slots = slots.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+    # The counts grow with the records, so they are merged, never broadcast.
+    slots = slots.join(full.hint("merge"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
     small, large = slots.where("blocks = 1"), slots.where("blocks > 1")
     fits = F.expr(f"least(l.size, r.size) >= {threshold} * greatest(l.size, r.size)")
 
