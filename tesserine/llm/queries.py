@@ -62,6 +62,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("doc_id"), "func_name").distinct()
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.packing import pack_texts
+
+    ship_package(spark)
+    return pack_texts(load(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048).withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm.leaks import leaked_items
 
@@ -70,8 +77,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "text", window=12, max_edits=0).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.reading import reading_levels
+
+    ship_package(spark)
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_labels")
+    return reading_levels(docs, "doc_id", "text", "source", labels).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
