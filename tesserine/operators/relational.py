@@ -134,6 +134,16 @@ def totals_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Seq
 
 
 def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float) -> DataFrame:
-    """Least squares of y on x per key, evaluated at `at` and kept within 0 and 1; null for a single x."""
-    fit = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    return fit.withColumn("forecast", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("intercept") + F.col("slope") * at)))
+    """Least squares of y (hundredths) on a whole number x per key, evaluated at `at` and kept within 0 and 1.
+
+    The sums are exact, so the result does not depend on row order; null for a single x.
+    """
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("long").alias("_x"), F.col(y).cast("decimal(18,2)").alias("_y"))
+    total = lambda c: F.sum(c).cast("double")
+    sums = own.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"), total(F.col("_x")).alias("sx"), total(F.col("_y")).alias("sy"),
+        total(F.col("_x") * F.col("_x")).alias("sxx"), total((F.col("_x") * F.col("_y")).cast("decimal(28,2)")).alias("sxy"),
+    )
+    slope = F.expr("(n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0D)")
+    fit = sums.withColumn("slope", slope).withColumn("intercept", F.expr("(sy - slope * sx) / n"))
+    return fit.select(*keys, "slope", "intercept", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("intercept") + F.col("slope") * at)).alias("forecast"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.operators.nested import flatten_records
+from tesserine.plans import reference
 from tesserine.session import ship_package
 from tesserine.sources.tables import load
 
@@ -20,4 +21,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found} | reference.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(reference.SQL)
