@@ -61,7 +61,7 @@ def code_blocks(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 def headings(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """(key, line, level, title) of heading lines: hashes, a blank and a title."""
-    numbered = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.transform(lines(F.col(text)), F.trim)).alias("line", "l"))
+    numbered = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.transform(lines(F.col(text)), lambda x: F.trim(x))).alias("line", "l"))
     heads = numbered.where(F.col("l").rlike("^#+ "))
     return heads.select(*key, (F.col("line") + 1).cast("long").alias("line"), F.length(F.regexp_extract("l", "^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_extract("l", "^#+ (.*)$", 1)).alias("title"))
 
@@ -87,7 +87,7 @@ def sections(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 def decorated_functions(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """(key, line, kind, name): try lines, decorators with the name on the next line, and def lines."""
-    numbered = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.transform(lines(F.col(text)), F.trim)).alias("line", "l"))
+    numbered = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.transform(lines(F.col(text)), lambda x: F.trim(x))).alias("line", "l"))
     after = F.lead("l").over(Window.partitionBy(*key).orderBy("line"))
     marked = numbered.withColumn("after", after)
     name = lambda c: F.regexp_extract(c, "^(?:async )?def (\\w+)", 1)

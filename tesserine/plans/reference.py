@@ -279,7 +279,7 @@ def hit_rates(spark, d):
 
 
 @query("""SELECT user_id, round(slope, 6) AS slope, round(greatest(0, least(1, (sy - slope * sx) / n + slope * 60)), 6) AS forecast FROM (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
-  SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(CAST(x * y AS DECIMAL(28,2))) AS DOUBLE) AS sxy FROM (SELECT user_id, CAST(value AS DECIMAL(18,2)) AS y, CAST(epoch(ts) AS BIGINT) % 3600 AS x FROM events WHERE value IS NOT NULL) GROUP BY user_id))""")
+  SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(CAST(x * y AS DECIMAL(28,2))) AS DOUBLE) AS sxy FROM (SELECT user_id, CAST(value AS DECIMAL(18,2)) AS y, CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS x FROM events WHERE value IS NOT NULL) GROUP BY user_id))""")
 def usage_forecast(spark, d):
     own = load(spark, d, "events").select("user_id", "value", (F.unix_timestamp(F.col("ts").cast("timestamp")) % 3600).alias("x"))
     fit = A.line_fit(own, ["user_id"], "x", "value", 60.0)
