@@ -78,6 +78,8 @@ class Index:
 
 def fill(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> list[list[int]]:
     """Containers as lists of positions; every position is used once and no container overflows."""
+    if not len(sizes):
+        return []
     index, n = Index(terms), len(sizes)
     order = np.argsort(sizes, kind="stable")
     place = np.empty(n, np.int64)
