@@ -226,7 +226,7 @@ def metric_trend(spark, d):
 
 @query("""SELECT user_id, n, avg, min, max, p FROM (SELECT user_id, value AS p, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i FROM events WHERE value IS NOT NULL) JOIN (
   SELECT user_id AS u, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY user_id) ON u = user_id WHERE i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1)""")
-def p95_nearest_rank(spark, d):
+def nearest_rank_p95(spark, d):
     return A.nearest_rank(load(spark, d, "events"), ["user_id"], "value", 0.95)
 
 
