@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers: lexical retrieval packing.
 
-Texts are spread over shards of bounded size. In a shard a BM25 inverted index returns, for the
+Texts are spread over shards by a hash, about `shard_rows` each. In a shard a BM25 inverted index returns, for the
 largest unused text, the unused texts most like it; they fill its container greedily, and what
 room is left goes to the largest unused texts that still fit. Containers that stay too empty are
 given back, and their texts go into fewer shards of the next round until one shard is left.
@@ -60,20 +60,16 @@ class Index:
         self.own = np.split(term[by_doc], np.searchsorted(doc[by_doc], np.arange(1, n))) if n else []
         self.frequency = frequency
 
-    def neighbours(self, seed: int, most: int = 64, asked: int = 32) -> np.ndarray:
-        """Documents by falling BM25 score for the rarest `asked` shared terms of `seed`."""
+    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """The free documents that share a term with `seed`, by falling BM25 score."""
         own = self.own[seed]
         own = own[self.frequency[own] > 1]
-        if len(own) > asked:
-            own = own[np.argsort(self.frequency[own], kind="stable")[:asked]]
         if not len(own):
             return np.empty(0, np.int64)
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in own]
         score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-        score[seed] = 0
-        best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.argsort(-score[best], kind="stable")]
+        found = np.flatnonzero(free & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> list[list[int]]:
@@ -103,11 +99,14 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> list[list
         free[seed] = False
         own, room = [seed], capacity - int(sizes[seed])
         if room > rising[0]:
-            for other in index.neighbours(seed):
-                if free[other] and sizes[other] <= room:
-                    free[other] = False
-                    own.append(int(other))
-                    room -= int(sizes[other])
+            near = index.neighbours(seed, free)
+            while len(near := near[sizes[near] <= room]):
+                # By score while there is room, by size for the rest of it.
+                at = 0 if room > capacity // 4 else int(sizes[near].argmax())
+                other, near = int(near[at]), np.delete(near, at)
+                free[other] = False
+                own.append(other)
+                room -= int(sizes[other])
         while room >= rising[0] and (i := last_free(int(np.searchsorted(rising, room, side="right")) - 1)) >= 0:
             other = int(order[i])
             free[other] = False
@@ -146,15 +145,14 @@ def pack_texts(
     vocabulary: str = VOCABULARY,
     shard_rows: int = 2000,
     good_fill: float = 0.97,
-    max_terms: int = 96,
 ) -> DataFrame:
     """(id, piece, first_token, n_tokens, container_id, place): every non-empty text in a container.
 
     A text of at most `capacity` tokens stays whole; a longer one is cut into pieces of `capacity`
     tokens and a rest. Null ids, null and empty texts are left out; ids are expected once and a
     repeated row is packed once (the greatest text of an id). An empty table gives an empty result.
-    BM25 knows a text by its `max_terms` terms with the least hashes, a fixed sample of its words;
-    counts and packing use whole texts.
+    The index holds every term of every text of a shard, and all unused texts that share a term with
+    a seed are candidates.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +164,7 @@ def pack_texts(
                 values = np.fromiter(map(cuts.__getitem__, found), np.int64, len(found))
                 sizes.append(int((values & 0xFFFFFF).sum()))
                 names = values >> 24
-                names = names[names > 0].astype(np.uint32)
-                kept = np.unique(names)
-                if len(kept) > max_terms:
-                    names = names[np.isin(names, kept[:max_terms])]
-                terms.append(names.tobytes())
+                terms.append(names[names > 0].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary())], ["id", "n", "terms"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null and t <> ''")

@@ -289,7 +289,8 @@ def test_packing_table(spark):
 
 def test_neighbours_share_terms():
     terms = [np.array(t, dtype=np.uint32) for t in ([1, 2, 3], [1, 2, 9], [7, 8], [3, 5])]
-    assert list(packing.Index(terms).neighbours(0)) == [1, 3]
+    assert list(packing.Index(terms).neighbours(0, np.array([False, True, True, True]))) == [1, 3]
+    assert list(packing.Index(terms).neighbours(0, np.array([False, False, True, True]))) == [3]
 
 
 def test_boosted_trees_fit_and_generalise():
