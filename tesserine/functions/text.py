@@ -86,7 +86,7 @@ def word_count(text: Column) -> Column:
 
 def share_of_comments(counts: Column) -> Column:
     """Maintainability from 0 to 100: the percentage of comment lines; null for no lines."""
-    return F.least(F.lit(100.0), 100.0 * counts["comment"] / F.nullif(counts["total"], F.lit(0)))
+    return F.when(counts["total"] > 0, F.least(F.lit(100.0), 100.0 * counts["comment"] / counts["total"]))
 
 
 def completeness(text: Column) -> Column:
@@ -172,3 +172,49 @@ def share_spec(spec: Column) -> Column:
     """struct(ids, target) of a text such as '1,2:7'; null parts where it has another form."""
     ids = F.transform(F.split(F.regexp_extract(spec, "^([0-9, ]+):", 1), ","), lambda x: F.try_to_number(F.trim(x), F.lit("999999999999")).cast("long"))
     return F.struct(ids.alias("ids"), F.try_to_number(F.regexp_extract(spec, ":([0-9]+)$", 1), F.lit("999999999999")).cast("long").alias("target"))
+
+
+def similar_content(a: Column, b: Column) -> Column:
+    """Whether two texts differ by less than 30 % in length and share most characters or half their words."""
+    gap = F.abs(F.length(a) - F.length(b)) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
+    letters = jaccard(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
+    parts = jaccard(F.array_distinct(F.split(F.trim(a), "\\s+")), F.array_distinct(F.split(F.trim(b), "\\s+")))
+    return F.coalesce((gap < 0.3) & ((letters > 0.7) | (parts > 0.5)), F.lit(False))
+
+
+def capped_mean(*parts: tuple[Column, float]) -> Column:
+    """Mean of the counts that are given, each as a share of its cap and at most 1; null without any."""
+    shares = F.array_compact(F.array(*[F.when(count.isNotNull(), F.least(F.lit(1.0), count / cap)) for count, cap in parts]))
+    return F.when(F.size(shares) > 0, F.aggregate(shares, F.lit(0.0), lambda s, x: s + x) / F.size(shares))
+
+
+def embedded_language(text: Column) -> Column:
+    """The first of python, java and javascript that a text names, else null."""
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit("python")), "python").when(low.rlike("java(?!script)"), "java").when(F.contains(low, F.lit("javascript")), "javascript")
+
+
+def capture_names(text: Column) -> Column:
+    """The distinct names after an @ in a query text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("@([a-zA-Z0-9._]+)"), F.lit(1))))
+
+
+def predicates(text: Column) -> Column:
+    """The predicates of a query text, such as (#eq? @a "b")."""
+    return F.regexp_extract_all(text, F.lit("\\(#[^)]*\\)"), F.lit(0))
+
+
+def path_prefixes(path: Column) -> Column:
+    """All directories above a path, shortest first."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.when(F.size(inner) > 0, F.transform(F.sequence(F.lit(1), F.size(inner)), lambda n: F.array_join(F.slice(inner, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def option_class(name: Column) -> Column:
+    """One of seven classes of an option name by the first word it contains, else 'other'."""
+    found, low = F.lit("other"), F.lower(name)
+    classes = [("path", "path|dir|file|folder"), ("network", "host|port|url|address"), ("security", "password|secret|token|key|auth"), ("logging", "log|debug|level|trace"), ("limit", "max|min|limit|size|count"), ("time", "timeout|interval|delay|time"), ("switch", "enable|disable|use|flag")]
+    for kind, words in reversed(classes):
+        found = F.when(low.rlike(words), kind).otherwise(found)
+    return found

@@ -43,11 +43,12 @@ def has_dimension(a: Column, dim: int) -> Column:
 def adjusted_confidence(similarity: Column, same_language: Column, complexity_a: Column, complexity_b: Column) -> Column:
     """Similarity raised by a tenth for the same language and lowered by the gap of complexities, at most 1.
 
-    A complexity of null or zero means there is none.
+    A complexity of null or zero means there is none; a null similarity gives null.
     """
     both = (F.coalesce(complexity_a, F.lit(0)) != 0) & (F.coalesce(complexity_b, F.lit(0)) != 0)
     raised = similarity * F.when(same_language, 1.1).otherwise(1.0)
-    return F.least(F.lit(1.0), raised * F.when(both, 1 - F.abs(complexity_a - complexity_b) / 10.0).otherwise(1.0))
+    value = raised * F.when(both, 1 - F.abs(complexity_a - complexity_b) / 10.0).otherwise(1.0)
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), value))
 
 
 def enriched_text(text: Column, path: Column, language: Column, dependencies: Column) -> Column:

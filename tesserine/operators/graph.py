@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -176,3 +176,31 @@ def density_clusters(df: DataFrame, id_col: str, vec_col: str, radius: float) ->
     """
     links = connected_components(grid_neighbours(df, id_col, vec_col, radius), "a", "b")
     return links.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+def node_embeddings(edges: DataFrame, dim: int = 16, rounds: int = 2, seed: int = 1) -> DataFrame:
+    """(node, vec): each node starts from signs of its hash and takes up the mean of its neighbours per round.
+
+    A deterministic stand-in for walk-based embeddings: nodes with like neighbourhoods get like
+    vectors. The sums are per component, combined map-side.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src is not null and dst is not null and src <> dst").distinct()
+    both = materialise(both)
+    signs = [(F.pmod(F.xxhash64(F.lit(seed * 1000 + i), "node"), F.lit(2)) * 2 - 1).cast("double") for i in range(dim)]
+    now = both.select(F.col("src").alias("node")).distinct().select("node", *[s.alias(f"v{i}") for i, s in enumerate(signs)])
+    for _ in range(rounds):
+        means = both.join(now, both["dst"] == now["node"]).groupBy("src").agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(dim)])
+        now = materialise(now.join(means, F.col("node") == F.col("src")).select("node", *[(F.col(f"v{i}") / 2 + F.col(f"m{i}")).alias(f"v{i}") for i in range(dim)]))
+    return now.select("node", F.array(*[f"v{i}" for i in range(dim)]).alias("vec"))
+
+
+def property_nodes(df: DataFrame, key: str, props: str) -> DataFrame:
+    """(node, owner, name, value): every entry of a map as a node of its own, named after owner and entry."""
+    entries = df.where(F.col(props).isNotNull()).select(F.col(key).alias("owner"), F.explode(props).alias("name", "value"))
+    return entries.select(F.concat_ws("_", F.col("owner").cast("string"), "name").alias("node"), "owner", "name", "value")
+
+
+def group_node(df: DataFrame, keys: Sequence[str], member: str, name: str = "group_id") -> DataFrame:
+    """(keys, group_id, members): an id that depends only on the set of members of a key."""
+    own = df.where(F.col(member).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(member)).alias("_m"))
+    return own.select(*keys, F.md5(F.array_join(F.transform("_m", lambda x: x.cast("string")), ",")).alias(name), F.size("_m").cast("long").alias("members"))

@@ -154,3 +154,31 @@ def change_ratio(old: Column, new: Column) -> Column:
         return a.combine(b, lambda x, y: None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio())
 
     return ratio(old, new)
+
+
+def edit_script(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, place, op, old_first, old_last, new_first, new_last): the line edits from one text to another."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                steps = difflib.SequenceMatcher(None, (a or "").splitlines(), (b or "").splitlines(), autojunk=False).get_opcodes()
+                for i, (op, *spans) in enumerate(s for s in steps if s[0] != "equal"):
+                    keys.append(k)
+                    rows.append((i, op, *spans))
+            kinds = [pa.int64(), pa.string()] + [pa.int64()] * 4
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "place", "op", "old_first", "old_last", "new_first", "new_last"])
+
+    return df.select(key, old, new).mapInArrow(compare, f"`{key}` {key_type}, place long, op string, old_first long, old_last long, new_first long, new_last long")
+
+
+def line_windows(df: DataFrame, key: Sequence[str], text: str, size: int) -> DataFrame:
+    """(key, first, window): windows of `size` lines at steps of half a size; short texts have one."""
+    own = lines(F.col(text))
+    n = F.least(F.lit(size), F.size(own))
+    starts = F.sequence(F.lit(0), F.size(own) - n, F.greatest(F.lit(1), F.floor(n / 2).cast("int")))
+    cut = F.transform(starts, lambda s: F.struct(s.cast("long").alias("first"), F.array_join(F.slice(own, s + 1, n), "\n").alias("window")))
+    return df.where(F.length(text) > 0).select(*key, F.explode(cut).alias("w")).select(*key, "w.first", "w.window")

@@ -146,4 +146,5 @@ def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float) -> D
     )
     slope = F.expr("(n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0D)")
     fit = sums.withColumn("slope", slope).withColumn("intercept", F.expr("(sy - slope * sx) / n"))
-    return fit.select(*keys, "slope", "intercept", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("intercept") + F.col("slope") * at)).alias("forecast"))
+    value = F.col("intercept") + F.col("slope") * at
+    return fit.select(*keys, "slope", "intercept", F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("forecast"))

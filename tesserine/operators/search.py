@@ -19,8 +19,11 @@ def nearest(
     min_similarity: float = -1.0,
     keep: Column | None = None,
     block_rows: int = 4096,
+    same_set: bool = True,
 ) -> DataFrame:
-    """(query, id, similarity, place): up to `k` rows most similar to every query, itself left out.
+    """(query, id, similarity, place): up to `k` rows most similar to every query.
+
+    With `same_set` queries are rows of `df` themselves, and a row is no match for itself.
 
     Ties go to the smaller id, cosines are in double precision and rounded to 9 decimals. `keep`
     filters rows before they are compared, so `k` counts what is left. Queries are (query, vec);
@@ -38,7 +41,7 @@ def nearest(
         part = asked.where(F.col("block") == block).orderBy("query").collect()  # about block_rows rows
         if part:
             shared = spark.sparkContext.broadcast((np.array([r["query"] for r in part]), np.array([r["vec"] for r in part], dtype=np.float64)))
-            near = rows.mapInArrow(_search(shared, k, min_similarity), "query long, id long, similarity double")
+            near = rows.mapInArrow(_search(shared, k, min_similarity, same_set), "query long, id long, similarity double")
             found = near if found is None else found.unionByName(near)
     if found is None:
         return spark.createDataFrame([], "query long, id long, similarity double, place long")
@@ -46,7 +49,7 @@ def nearest(
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _search(shared, k: int, least: float):
+def _search(shared, k: int, least: float, same_set: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
         asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
@@ -64,7 +67,8 @@ def _search(shared, k: int, least: float):
             order = np.argsort(ids, kind="stable")
             ids, rows = ids[order], rows[order]
             scores = np.round(asked @ rows.T, 9)
-            scores[names[:, None] == ids[None, :]] = -9
+            if same_set:
+                scores[names[:, None] == ids[None, :]] = -9
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(scores, best, 1)
             line, place = np.nonzero(value >= max(least, -1.0))

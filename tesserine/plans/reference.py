@@ -278,7 +278,7 @@ def hit_rates(spark, d):
     return own.withColumn("rate", rate).withColumn("advice", F.when(F.col("rate") > 0.9, "shrink").when(F.col("rate") < 0.5, "grow").otherwise("keep"))
 
 
-@query("""SELECT user_id, round(slope, 6) AS slope, round(greatest(0, least(1, (sy - slope * sx) / n + slope * 60)), 6) AS forecast FROM (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
+@query("""SELECT user_id, round(slope, 6) AS slope, CASE WHEN slope IS NOT NULL THEN round(greatest(0, least(1, (sy - slope * sx) / n + slope * 60)), 6) END AS forecast FROM (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
   SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(CAST(x * y AS DECIMAL(28,2))) AS DOUBLE) AS sxy FROM (SELECT user_id, CAST(value AS DECIMAL(18,2)) AS y, CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS x FROM events WHERE value IS NOT NULL) GROUP BY user_id))""")
 def usage_forecast(spark, d):
     own = load(spark, d, "events").select("user_id", "value", (F.unix_timestamp(F.col("ts").cast("timestamp")) % 3600).alias("x"))
@@ -621,6 +621,95 @@ def repo_names(spark, d):
     return load(spark, d, "repositories").where("source_url is not null").select("id", T.repo_name_of(F.col("source_url")).alias("name")).distinct()
 
 
+# ---------------------------------------------------------------- further bindings
+
+
+@query("""SELECT repo_id, prefix, count(*) AS files FROM (SELECT repo_id, unnest(list_transform(range(1, len(parts)), lambda n: array_to_string(parts[1:n], '/'))) AS prefix FROM (SELECT repo_id, string_split(replace(file_path, '\\', '/'), '/') AS parts FROM (SELECT DISTINCT repo_id, file_path FROM code_files))) GROUP BY repo_id, prefix""")
+def directory_tree(spark, d):
+    one = load(spark, d, "code_files").select("repo_id", "file_path").distinct()
+    return A.count_by(one.select("repo_id", F.explode(T.path_prefixes(F.col("file_path"))).alias("prefix")), "repo_id", "prefix").withColumnRenamed("n", "files")
+
+
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(w), 'path|dir|file|folder') THEN 'path' WHEN regexp_matches(lower(w), 'host|port|url|address') THEN 'network' WHEN regexp_matches(lower(w), 'password|secret|token|key|auth') THEN 'security' WHEN regexp_matches(lower(w), 'log|debug|level|trace') THEN 'logging'
+  WHEN regexp_matches(lower(w), 'max|min|limit|size|count') THEN 'limit' WHEN regexp_matches(lower(w), 'timeout|interval|delay|time') THEN 'time' WHEN regexp_matches(lower(w), 'enable|disable|use|flag') THEN 'switch' ELSE 'other' END AS class FROM (SELECT DISTINCT repo_id, file_path, regexp_extract(replace(file_path, '\\', '/'), '([^/.]*)[^/]*$', 1) AS w FROM code_files)) GROUP BY class""")
+def option_classes(spark, d):
+    stem = F.regexp_extract(F.translate("file_path", "\\", "/"), "([^/.]*)[^/]*$", 1)
+    one = load(spark, d, "code_files").select("repo_id", "file_path").distinct()
+    return A.count_by(one.select(T.option_class(stem).alias("class")), "class")
+
+
+@query(f"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '@([a-zA-Z0-9._]+)', 1))), '|') AS names FROM ({_DOCS}) WHERE content LIKE '%@%'""")
+def capture_names(spark, d):
+    return docs(spark, d).where(F.contains("content", F.lit("@"))).select("id", F.array_join(T.capture_names(F.col("content")), "|").alias("names"))
+
+
+@query("""WITH x AS (SELECT DISTINCT repo_id AS k, language AS m FROM code_files WHERE repo_id IS NOT NULL AND language IS NOT NULL), s AS (SELECT k, count(*) AS size FROM x GROUP BY k),
+  j AS (SELECT a.k AS key_a, b.k AS key_b, CAST(count(*) AS DOUBLE) / (max(sa.size) + max(sb.size) - count(*)) AS similarity FROM x a JOIN x b ON a.m = b.m AND a.k < b.k JOIN s sa ON sa.k = a.k JOIN s sb ON sb.k = b.k GROUP BY a.k, b.k)
+  SELECT repo_id, related_repo_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY similarity DESC, related_repo_id) AS r FROM (SELECT key_a AS repo_id, key_b AS related_repo_id, similarity FROM j UNION ALL SELECT key_b, key_a, similarity FROM j) WHERE similarity > 0.3) WHERE r <= 5""")
+def similar_repositories(spark, d):
+    pairs = A.members_in_common(load(spark, d, "code_files"), "repo_id", "language").where("similarity > 0.3")
+    both = pairs.selectExpr("key_a AS repo_id", "key_b AS related_repo_id", "similarity").unionByName(pairs.selectExpr("key_b AS repo_id", "key_a AS related_repo_id", "similarity"))
+    return A.top_per_key(both, ["repo_id"], [F.desc("similarity"), F.col("related_repo_id")], 5).drop("place")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) || '_k' AS node, event_id AS owner, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def property_nodes(spark, d):
+    own = load(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return G.property_nodes(own, "event_id", "m")
+
+
+@query("""SELECT related_code_path, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS group_id, count(*) AS members FROM (SELECT DISTINCT related_code_path, id FROM repo_docs WHERE related_code_path IS NOT NULL) GROUP BY related_code_path""")
+def group_nodes(spark, d):
+    return G.group_node(load(spark, d, "repo_docs").where("related_code_path is not null"), ["related_code_path"], "id")
+
+
+@query("""SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'error') WHERE place <= 10""")
+def last_errors(spark, d):
+    return A.top_per_key(load(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).drop("ts")
+
+
+@query("""SELECT class, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM (SELECT value, CASE WHEN event_type = 'error' AND value > 100 THEN 'deadlock' WHEN event_type = 'error' AND value > 50 THEN 'timeout' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS class FROM events) GROUP BY class""")
+def duration_classes(spark, d):
+    kind = F.when((F.col("event_type") == "error") & (F.col("value") > 100), "deadlock").when((F.col("event_type") == "error") & (F.col("value") > 50), "timeout").when(F.col("event_type") == "error", "failed").otherwise("done")
+    return load(spark, d, "events").groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+
+
+@query("""SELECT repo_id, file_path, array_to_string(regexp_extract_all(file_content, '[a-z]+_[a-z]+')[1:10], '|') AS found FROM (SELECT DISTINCT repo_id, file_path, file_content FROM code_files WHERE file_content IS NOT NULL) WHERE len(regexp_extract_all(file_content, '[a-z]+_[a-z]+')) > 0""")
+def first_matches(spark, d):
+    own = load(spark, d, "code_files").where("file_content is not null").select("repo_id", "file_path", "file_content").distinct()
+    found = own.select("repo_id", "file_path", F.regexp_extract_all("file_content", F.lit("[a-z]+_[a-z]+"), F.lit(0)).alias("m"))
+    return found.where(F.size("m") > 0).select("repo_id", "file_path", F.array_join(F.slice("m", 1, 10), "|").alias("found"))
+
+
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
+@query(f"""WITH q AS (SELECT id AS query, any_value(embedding)::DOUBLE[] AS v FROM repo_docs WHERE id % 50 = 0 AND {_USABLE} GROUP BY id), e AS (SELECT id, any_value(embedding)::DOUBLE[] AS v FROM code_snippets WHERE {_USABLE} GROUP BY id)
+  SELECT query, id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM (SELECT query, id, round(list_cosine_similarity(q.v, e.v), 9) AS similarity FROM q, e)) WHERE place <= 3""")
+def code_for_docs(spark, d):
+    usable = V.has_dimension(F.col("embedding"), 64)
+    asked = load(spark, d, "repo_docs").where((F.col("id") % 50 == 0) & usable).select(F.col("id").alias("query"), F.col("embedding").alias("vec")).dropDuplicates(["query"])
+    rows = load(spark, d, "code_snippets").where(usable).select("id", "embedding").dropDuplicates(["id"])
+    return S.nearest(rows, "id", "embedding", asked, k=3, same_set=False)
+
+
+@query("""SELECT c.id, coalesce(n.file_path, c.file_path) AS file_path FROM (SELECT DISTINCT id, file_path FROM code_snippets) c LEFT JOIN (SELECT id, max(file_path) AS file_path FROM repo_docs WHERE file_path IS NOT NULL GROUP BY id) n ON n.id = c.id""")
+def update_by_key(spark, d):
+    old = load(spark, d, "code_snippets").select("id", "file_path").distinct()
+    new = load(spark, d, "repo_docs").where("file_path is not null").groupBy("id").agg(F.max("file_path").alias("file_path"))
+    return K.upsert_columns(old, A.present(new, old, ["id"]), ["id"], ["file_path"])
+
+
+@query()
+def node_embeddings(spark, d):
+    return G.node_embeddings(part_edges(spark, d)).select("node", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
+
+
+@query()
+def line_windows(spark, d):
+    return A.count_by(R.line_windows(load(spark, d, "documents"), ["doc_id"], "text", 10), "doc_id")
+
+
 # ---------------------------------------------------------------- streams
 
 

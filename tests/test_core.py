@@ -50,6 +50,7 @@ def test_vector_functions(spark):
     assert [r[0] for r in df.select(V.has_dimension(F.col("a"), 2)).collect()] == [True, True, False, False]
     assert one(df.limit(1).select(V.euclidean(F.col("a"), F.lit([0.0, 0.0]).cast("array<float>")))) == 5.0
     assert one(df.limit(1).select(V.adjusted_confidence(F.lit(0.95), F.lit(True), F.lit(0), F.lit(5)))) == 1.0
+    assert one(df.limit(1).select(V.adjusted_confidence(F.lit(None).cast("double"), F.lit(True), F.lit(1), F.lit(2)))) is None
     assert one(df.limit(1).select(V.enriched_text(F.lit("t"), F.lit("p"), F.lit("go"), F.array(F.lit("x"))))) == "Dependencies: x\nLanguage: go\nFile: p\nt"
 
 
@@ -113,6 +114,9 @@ def test_relational_operators(spark):
     assert (ranks.n, ranks.p, ranks.avg) == (100, 96.0, 50.5)
     fit = A.line_fit(spark.createDataFrame([("g", 0, 0.1), ("g", 10, 0.2)], "g string, x int, y double"), ["g"], "x", "y", 60.0).collect()[0]
     assert math.isclose(fit.slope, 0.01) and math.isclose(fit.forecast, 0.7)
+    flat = A.line_fit(spark.createDataFrame([("g", 3, 0.1), ("g", 3, None)], "g string, x int, y double"), ["g"], "x", "y", 60.0).collect()[0]
+    assert flat.slope is None and flat.forecast is None
+    assert one(spark.range(1).select(T.share_of_comments(T.line_counts(F.lit(""))))) is None
     same = A.members_in_common(spark.createDataFrame([("p", 1), ("p", 2), ("q", 2), ("q", 2), ("r", None)], "k string, m int"), "k", "m").collect()
     assert [(r.key_a, r.key_b, r.shared, r.similarity) for r in same] == [("p", "q", 1, 0.5)]
 
@@ -230,3 +234,26 @@ def test_streams(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert sorted((r.repo, r.v) for r in state["rows"].collect()) == [("r", 3), ("s", 5)]
+
+
+def test_more_text_functions(spark):
+    cases = {
+        "same": (T.similar_content(F.lit("a b c d"), F.lit("a b c e")), True), "other": (T.similar_content(F.lit("abc"), F.lit("x y z w v u t")), False), "empty": (T.similar_content(F.lit(""), F.lit("")), False),
+        "mean": (T.capped_mean((F.lit(20), 10.0), (F.lit(None).cast("int"), 5.0), (F.lit(1), 2.0)), 0.75), "tongue": (T.embedded_language(F.lit("Some JavaScript")), "javascript"), "names": (T.capture_names(F.lit("(a) @b.c @a @a")), ["a", "b.c"]),
+        "tests": (T.predicates(F.lit('(a) (#eq? @a "b")')), ['(#eq? @a "b")']), "prefixes": (T.path_prefixes(F.lit("a\\b/c.py")), ["a", "a/b"]), "none": (T.path_prefixes(F.lit("c.py")), []), "option": (T.option_class(F.lit("LogDir")), "path"),
+    }
+    row = spark.range(1).select(*[c.alias(n) for n, (c, _) in cases.items()]).collect()[0].asDict()
+    assert row == {n: v for n, (_, v) in cases.items()}
+
+
+def test_edit_scripts_line_windows_and_derived_nodes(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, None, "z"), (3, "q", "q")], "id long, o string, n string")
+    assert [(r.id, r.op) for r in R.edit_script(df, "id", "o", "n").orderBy("id", "place").collect()] == [(1, "replace"), (1, "insert"), (2, "insert")]
+    assert [r.window for r in R.line_windows(df.where("id = 1"), ["id"], "n", 2).orderBy("first").collect()] == ["a\nx", "x\nc", "c\nd"]
+    own = spark.createDataFrame([(1, {"a": "x"}), (2, None)], "id long, m map<string,string>")
+    assert [tuple(r) for r in G.property_nodes(own, "id", "m").collect()] == [("1_a", 1, "a", "x")]
+    sets = spark.createDataFrame([("p", 2), ("p", 1), ("q", 1), ("q", 2), ("q", 2), ("r", 1)], "k string, m int")
+    ids = {r.k: r.group_id for r in G.group_node(sets, ["k"], "m").collect()}
+    assert ids["p"] == ids["q"] != ids["r"]
+    star = {r.node: r.vec for r in G.node_embeddings(edges(spark, [(1, 3), (2, 3), (3, 4)]), dim=8).collect()}
+    assert len(star) == 4 and all(len(v) == 8 for v in star.values())
