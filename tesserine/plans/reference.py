@@ -124,10 +124,10 @@ def dimension_check(spark, d):
 
 @query("""SELECT doc_type, id, score, list_no FROM (SELECT *, row_number() OVER (ORDER BY list_no, score DESC, id) AS r FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_no) AS p FROM (
-    SELECT id, lower(trim(doc_type)) AS doc_type, CAST(version AS BIGINT) AS score, 1 AS list_no FROM (%s) WHERE content ILIKE '%%cache%%'
-    UNION ALL SELECT id, lower(trim(doc_type)), CAST(version AS BIGINT), 2 FROM (%s) WHERE content ILIKE '%%index%%')) WHERE p = 1) WHERE r <= 50""" % (_DOCS, _DOCS))
+    SELECT id, lower(trim(doc_type)) AS doc_type, CAST(coalesce(version, 0) AS BIGINT) AS score, 1 AS list_no FROM (%s) WHERE content ILIKE '%%cache%%'
+    UNION ALL SELECT id, lower(trim(doc_type)), CAST(coalesce(version, 0) AS BIGINT), 2 FROM (%s) WHERE content ILIKE '%%index%%')) WHERE p = 1) WHERE r <= 50""" % (_DOCS, _DOCS))
 def ranked_union(spark, d):
-    own = docs(spark, d).select("id", F.lower(F.trim("doc_type")).alias("doc_type"), F.col("version").cast("long").alias("score"), F.lower("content").alias("c"))
+    own = docs(spark, d).select("id", F.lower(F.trim("doc_type")).alias("doc_type"), F.coalesce("version", F.lit(0)).cast("long").alias("score"), F.lower("content").alias("c"))
     lists = [own.where(F.contains("c", F.lit(w))).drop("c") for w in ("cache", "index")]
     return A.ranked_union(lists[0], lists[1], ["id"], "score", 50)
 
