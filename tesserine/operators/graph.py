@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,24 +150,50 @@ def betweenness(edges: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
     return sources.mapInPandas(search, "node long, part double").groupBy("node").agg(F.sum("part").alias("score"))
 
 
-def grid_neighbours(df: DataFrame, id_col: str, vec_col: str, radius: float, features: int = 3, seed: int = 1) -> DataFrame:
+def grid_neighbours(df: DataFrame, id_col: str, vec_col: str, radius: float, features: int = 3, block_rows: int = 4096, seed: int = 1) -> DataFrame:
     """(a, b, distance) of ids a < b at a Euclidean distance of at most `radius`, exactly.
 
     Projections onto orthonormal directions never lengthen a distance, so close pairs lie in the
-    same or in adjacent cells of a grid of that width; the cells are joined on equal keys.
+    same or in adjacent cells of a grid of that width. The rows of a cell meet those of the cells
+    around it in one task; beyond `block_rows` rows they do so block by block. Null ids, null
+    vectors, null elements and other lengths than the greatest are left out.
     """
-    dim = df.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).agg(F.max("d")).first()[0] or 1
-    axes = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, min(features, dim))))[0].T
     v = F.col(vec_col).cast("array<double>")
-    place = [F.floor(F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in axis]), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) / radius) for axis in axes]
-    cells = df.where(F.size(vec_col) == dim).select(F.col(id_col).alias("id"), v.alias("v"), *[p.alias(f"c{i}") for i, p in enumerate(place)])
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    axes = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, min(features, dim))))[0].T
+    place = [F.floor(F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axis]), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) / radius) for axis in axes]
+    cells = materialise(rows.where(F.size("v") == dim).select("id", "v", *[p.alias(f"h{i}") for i, p in enumerate(place)]))
     near = cells
     for i in range(len(axes)):
-        near = near.withColumn(f"c{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
+        near = near.withColumn(f"c{i}", F.explode(F.array(F.col(f"h{i}") - 1, F.col(f"h{i}"), F.col(f"h{i}") + 1)))
     keys = [f"c{i}" for i in range(len(axes))]
-    joined = cells.withColumnsRenamed({"id": "a", "v": "va"}).join(near.withColumnsRenamed({"id": "b", "v": "vb"}), keys).where("a < b")
-    far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return joined.select("a", "b", far.alias("distance")).where(F.col("distance") <= radius)
+    near = near.withColumn("home", F.expr(" and ".join(f"h{i} = c{i}" for i in range(len(axes))))).drop(*[f"h{i}" for i in range(len(axes))])
+    sizes = near.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("home").alias("m")).where("m > 0")
+    near = near.join(sizes, keys).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    near = near.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = near.where("home").select(*keys, F.col("own").alias("p"), F.col("other").alias("q"), "id", "v", F.lit(True).alias("left"))
+    given = near.select(*keys, F.col("other").alias("p"), F.col("own").alias("q"), "id", "v", F.lit(False).alias("left"))
+
+    def measure(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        found = []
+        squares = (values * values).sum(axis=1)
+        heads, rest = np.flatnonzero(left), np.flatnonzero(~left)
+        for start in range(0, len(heads), 512):
+            part = heads[start : start + 512]
+            far = squares[part][:, None] + squares[rest][None, :] - 2 * (values[part] @ values[rest].T)
+            a, b = np.nonzero((far <= radius * radius + 1e-6) & (ids[part][:, None] < ids[rest][None, :]))
+            a, b = part[a], rest[b]
+            exact = np.sqrt(((values[a] - values[b]) ** 2).sum(axis=1))
+            kept = exact <= radius
+            found.append((ids[a[kept]], ids[b[kept]], exact[kept]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip(("a", "b", "distance"), columns)))
+
+    return asked.unionByName(given).groupBy(*keys, "p", "q").applyInArrow(measure, "a long, b long, distance double")
 
 
 def density_clusters(df: DataFrame, id_col: str, vec_col: str, radius: float) -> DataFrame:

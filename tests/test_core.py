@@ -168,7 +168,9 @@ def test_density_clusters_match_brute_force(spark):
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
     far = np.linalg.norm(points[:, None] - points[None], axis=2)
     expected = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(far <= 0.3, 1)))}
-    assert {(r.a, r.b) for r in G.grid_neighbours(df, "id", "v", 0.3).collect()} == expected
+    for block_rows in (4096, 7):
+        assert {(r.a, r.b) for r in G.grid_neighbours(df, "id", "v", 0.3, block_rows=block_rows).collect()} == expected
+    assert G.grid_neighbours(df.limit(0), "id", "v", 0.3).count() == 0
     assert G.density_clusters(df, "id", "v", 0.3).count() == len({x for p in expected for x in p})
 
 
