@@ -152,14 +152,15 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     known = judged.join(copies.select("copy", F.lit(20.0).alias("copied")), "copy", "left")
     # That a text was copied says nothing about the rest of its directory: it joins in at the end.
     known = known.withColumn("copied", F.when(F.col("lines") >= copy_lines, F.coalesce("copied", F.lit(0.0))).otherwise(0.0)).drop("copy", "lines")
-    known = materialise(known)
+    # Messages of the files to their directories are needed on the way up and down: computed once.
+    known = materialise(_send(known, [F.col(f"e{i}") for i in range(5)], "u", _FILES))
 
     parts = F.split("dir", "/")
     prefixes = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     dirs = known.select("repo", "dir").distinct().select("repo", F.explode(prefixes).alias("dir")).distinct()
     depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/")))
     parent = F.when(F.col("dir") == "", F.lit(None).cast("string")).otherwise(F.regexp_extract("dir", "^(.*)/[^/]*$", 1))
-    up = _send(known.select("repo", "dir", *[f"e{i}" for i in range(5)]), [F.col(f"e{i}") for i in range(5)], "u", _FILES)
+    up = known.select("repo", "dir", *[f"u{i}" for i in range(5)])
     sums = [F.sum(f"u{i}").alias(f"u{i}") for i in range(5)]
     own = [F.coalesce(f"u{i}", F.lit(0.0)) + p for i, p in enumerate(_dir_prior("dir"))]
     nodes = dirs.join(up.groupBy("repo", "dir").agg(*sums), ["repo", "dir"], "left")
@@ -191,7 +192,6 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
         whole = whole.unionByName(level)
     heads = whole.toDF("repo", "dir", *[f"p{i}" for i in range(5)])
     joined = known.join(heads, ["repo", "dir"])
-    joined = _send(joined, [F.col(f"e{i}") for i in range(5)], "u", _FILES)
     joined = _send(joined, [F.col(f"p{i}") - F.col(f"u{i}") for i in range(5)], "g", _FILES.T)
     final = joined.select("repo", "path", *_named([F.col(f"e{i}") + F.col(f"g{i}") + (F.col("copied") if i == 3 else F.lit(0.0)) for i in range(5)], "f"))
     best = F.greatest(*[F.struct(F.col(f"f{i}").alias("v"), F.lit(-i).alias("o"), F.lit(name).alias("label")) for i, name in enumerate(LABELS)])
