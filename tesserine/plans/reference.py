@@ -719,10 +719,10 @@ def stream_monitor(spark, d):
     stream = C.read_changes(spark, d, own.schema, "events.parquet")
     hours = C.monitored(stream, "ts", "1 hour", [F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")], "user_id")
     folder = _stream_folder(spark)
-    # Every window is wanted, the open ones too, so the state is read out as a whole.
-    name = "tesserine_" + folder.rpartition("/")[2].replace("-", "_").replace(".", "_")
-    hours.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("user_id", F.unix_timestamp("window_start").alias("hour"), "n", "errors")
+    # Every window is wanted, the open ones too: each batch writes the whole state anew.
+    writer = hours.writeStream.outputMode("complete").foreachBatch(C.overwriting(f"{folder}/out"))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", F.unix_timestamp("window_start").alias("hour"), "n", "errors")
 
 
 @query("""SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS changes FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (

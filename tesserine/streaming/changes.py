@@ -60,3 +60,12 @@ def upsert_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame, int],
         write(upsert(read(), batch, keys, [F.desc(stamp)]), batch_id)
 
     return apply
+
+
+def overwriting(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that replaces the table at `path` by the batch, as for complete results."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
