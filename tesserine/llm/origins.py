@@ -25,7 +25,7 @@ GENERATED_DIRS = ["gen", "generated", "autogen", "__generated__", "generated-sou
 MINIFIED_DIRS = ["dist", "min", "minified", "bundles"]
 VENDORED_DIRS = ["vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "3rd_party", "external", "externals", "extern", "node_modules", "bower_components", "jspm_packages", "site-packages", "dist-packages", "deps", "godeps", "pods", "carthage", "contrib", "libs", "venv", ".venv", "_workspace"]
 
-# Wording of header comments, in the languages of the collections.
+# Wording of comments about the whole file, in the languages of the collections.
 _GENERATED = re.compile(
     r"auto-?\s?generated\b|<auto-generated>|automatically generated|(?:code|file) generated by|@generated\b|generated by .*do not (?:edit|modify)|machine-(?:written|generated) output"
     r"|produced by the .* compiler|automatisch (?:erzeugt|generiert)|maschinell erzeugt|généré automatiquement|automatiquement généré|génér[ée] par"
@@ -48,7 +48,7 @@ _BREAKS = re.compile(r"\r\n|\r|\n")
 
 
 def file_evidence(name: str, text: str | None) -> list[float]:
-    """Log evidence of a file for each label, from its name and its text (None: not there)."""
+    """Log evidence of a file for each label, from its name and every line of its text (None: not there)."""
     h, g, m, v, b = 0.0, 0.0, 0.0, 0.0, 0.0
     if _GENERATED_NAME.search(name):
         g += 7
@@ -70,7 +70,7 @@ def file_evidence(name: str, text: str | None) -> list[float]:
         b += 10
     else:
         g, m, v, b = g - 0.9, m - 6, v - 0.9, b - 6
-    for line in lines[:15]:
+    for line in lines:  # marks stand at the head, below licences of any length or at the foot
         if not _COMMENT.match(line):
             continue
         if _ABOUT.search(line):

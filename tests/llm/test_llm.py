@@ -246,6 +246,16 @@ def test_origins(spark):
     assert origins.label_files(df.limit(0), "repo", "path", "text").count() == 0
 
 
+def test_origin_marks_anywhere_in_the_text(spark):
+    code = "import a\n\ndef f(x):\n    return g(x)\n" * 12
+    licence = "".join(f"# Term {i} of the licence.\n" for i in range(40))
+    rows = [("foot.py", code + "# This file was automatically generated by x."), ("below.py", licence + "# Code generated by x. DO NOT EDIT.\n" + code)]
+    rows += [("about.py", code + "# Reads what was written by hand; skips files that are automatically generated."), ("hand.py", licence + code)]
+    df = spark.createDataFrame([(1, f"src/d{i}/{p}", t) for i, (p, t) in enumerate(rows)], "repo long, path string, text string")
+    found = {r.path.split("/")[-1]: r.label for r in origins.label_files(df, "repo", "path", "text").collect()}
+    assert found == {"foot.py": "generated", "below.py": "generated", "about.py": "handwritten", "hand.py": "handwritten"}
+
+
 def test_token_counts_equal_the_tokenizer():
     counter = tokens.TokenCounter()
     for text in ["", "a b", " a  b\n\n c\t\td ", "x" * 50, "é ünï 漢字 😀  !", "don't  stop\r\n now", " a  b"]:
