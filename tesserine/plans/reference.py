@@ -461,9 +461,7 @@ def communities(spark, d):
 
 @query()
 def betweenness(spark, d):
-    small = load(spark, d, "part").where("p_size <= 2").select(F.col("p_partkey").alias("id"))
-    _, edges = G.project_subgraph(small, part_edges(spark, d), F.lit(True))
-    return G.betweenness(edges).select("node", F.round("score", 6).alias("score"))
+    return G.betweenness(part_edges(spark, d)).select("node", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH e AS (SELECT DISTINCT a.src, a.dst FROM ({_EDGES}) a JOIN part p ON p.p_partkey = a.src AND p.p_size <= 5 JOIN part q ON q.p_partkey = a.dst AND q.p_size <= 5),
@@ -475,6 +473,17 @@ def cycles(spark, d):
     return G.nodes_on_cycles(edges, 3)
 
 
+# The SQL of `reachable_depth3` and `cycles` asks for parts of small sizes; these take every edge.
+@query()
+def reachable_depth3_whole(spark, d):
+    return G.paths(part_edges(spark, d), load(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), 3)
+
+
+@query()
+def cycles_whole(spark, d):
+    return G.nodes_on_cycles(part_edges(spark, d), 3)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.0),
   c AS (SELECT a AS id, a AS cluster FROM e UNION SELECT e.b, c.cluster FROM c JOIN e ON e.a = c.id) SELECT id, min(cluster) AS cluster FROM c GROUP BY id""")
 def dbscan_clusters(spark, d):

@@ -1,6 +1,7 @@
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -34,5 +35,60 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, str(DATA)).count() >= 0
 
 
+@pytest.fixture(scope="session")
+def part_graph(duck):
+    """All edges between parts, with the parts of size 1."""
+    edges = "select distinct a.l_partkey, b.l_partkey from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1"
+    return set(duck.execute(edges).fetchall()), [r[0] for r in duck.execute("select p_partkey from part where p_size = 1").fetchall()]
+
+
+def test_betweenness_of_the_whole_graph(spark, part_graph):
+    names = sorted({x for e in part_graph[0] for x in e})
+    place, n = {x: i for i, x in enumerate(names)}, len(names)
+    step = np.zeros((n, n))
+    for a, b in part_graph[0]:
+        step[place[a], place[b]] = a != b
+    far, count = np.where(np.eye(n) > 0, 0.0, np.inf), np.eye(n)
+    walks, d = np.eye(n), 0
+    while walks.any():
+        d += 1
+        walks = np.where(np.isinf(far), walks @ step, 0.0)
+        far[walks > 0] = d
+        count += walks
+    expected = {}
+    for v in range(n):
+        through = (far[:, [v]] + far[[v], :] == far) & np.isfinite(far)
+        share = np.divide(count[:, [v]] * count[[v], :], count, out=np.zeros((n, n)), where=through)
+        share[v, :] = share[:, v] = 0.0
+        np.fill_diagonal(share, 0.0)
+        if share.sum() > 0:
+            expected[names[v]] = share.sum()
+    found = {r.node: r.score for r in entry.queries()["betweenness"](spark, str(DATA)).collect()}
+    assert found == pytest.approx(expected, abs=1e-5)
+
+
+def test_paths_and_cycles_of_the_whole_graph(spark, part_graph):
+    edges, starts = part_graph
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    now, paths = [(s,) for s in starts], []
+    for _ in range(3):
+        now = [(*p, b) for p in now for b in after.get(p[-1], ()) if (p[-1], b) not in set(zip(p, p[1:]))]
+        paths += now
+    assert sorted(r.path for r in entry.queries()["reachable_depth3_whole"](spark, str(DATA)).collect()) == sorted(">".join(map(str, p)) for p in paths)
+    steps = {}
+    for a, b in edges:
+        if a == b:
+            steps[a] = 1
+        elif (b, a) in edges:
+            steps.setdefault(a, 2)
+    for a, b in edges:
+        if a not in steps and any((c, a) in edges for c in after.get(b, ())):
+            steps[a] = 3
+    steps = {a: 1 if (a, a) in edges else 2 if any((b, a) in edges for b in after.get(a, ())) else n for a, n in steps.items()}
+    assert {r.node: r.steps for r in entry.queries()["cycles_whole"](spark, str(DATA)).collect()} == steps
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
