@@ -2,26 +2,160 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import os
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.catalogue import portable
+from tesserine.functions.catalogue import REPEATS, portable
 from tesserine.functions.text import lines
 
 _SPANS = "pattern string, first int, last int, line int, text string, groups array<string>"
 
 
 def pattern_counts(df: DataFrame, key: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
-    """(key, pattern, n) of the patterns that match at all; null and empty texts match none."""
-    counted = [F.struct(F.lit(name).alias("pattern"), F.regexp_count(F.col(text), F.lit(portable(p))).cast("long").alias("n")) for name, p in patterns.items()]
+    """(key, pattern, n) of the patterns that match at all; null and empty texts match none.
+
+    Patterns of a key that comes again (`REPEATS`) are counted over the lines, without backtracking.
+    """
+    repeats = {name: REPEATS[p] for name, p in patterns.items() if p in REPEATS}
+    plain = {name: p for name, p in patterns.items() if p not in REPEATS}
+    counted = [F.struct(F.lit(name).alias("pattern"), F.regexp_count(F.col(text), F.lit(portable(p))).cast("long").alias("n")) for name, p in plain.items()]
+    if repeats:
+
+        @F.pandas_udf("array<bigint>")
+        def lines_count(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: [repeat_count(kind, t) if t else 0 for kind in repeats.values()])
+
+        df = df.withColumn("_repeats", lines_count(F.col(text)))
+        counted += [F.struct(F.lit(name).alias("pattern"), F.col("_repeats")[i].alias("n")) for i, name in enumerate(repeats)]
     return df.select(*key, F.explode(F.array(*counted)).alias("c")).where("c.n > 0").select(*key, "c.pattern", "c.n")
 
 
+_NAME_VERSION = re.compile(r"([a-zA-Z0-9_-]+)==(.*)")
+_VERSION = re.compile(r"[0-9.]+")
+_NAME_END = re.compile(r"([a-zA-Z0-9_-]+)(?:[<>=!~]|$)")
+_YAML_KEY = re.compile(r"([^:#]+):")
+
+
+def repeat_count(kind: str, text: str) -> int:
+    """How often the pattern of `kind` in `REPEATS` matches a text, counted as finditer does.
+
+    A match begins at a line with a key and ends in the line where the key comes again; the next
+    one begins below that line. Time grows with the text, whatever its lines hold.
+    """
+    own = text.split("\n")
+    ends = {"property": _property_ends, "key": _key_ends, "conflict": _conflict_ends, "name": _name_ends}[kind](own)
+    n, i = 0, 0
+    while i < len(own):
+        end = ends(i)
+        n, i = (n, i + 1) if end is None else (n + 1, end + 1)
+    return n
+
+
+def _name_ends(own: list[str]) -> Callable[[int], int | None]:
+    """Names of requirements: up to the next line with the same name."""
+    after: list[int | None] = [None] * len(own)
+    last: dict[str, int] = {}
+    for i in range(len(own) - 1, -1, -1):
+        if m := _NAME_END.match(own[i]):
+            after[i], last[m[1]] = last.get(m[1]), i
+    return after.__getitem__
+
+
+def _conflict_ends(own: list[str]) -> Callable[[int], int | None]:
+    """Pinned names: up to the next line that pins the same name and does not begin with the same version."""
+    found = [_NAME_VERSION.match(line) for line in own]
+    after: list[int | None] = [None] * len(own)
+    same: dict[str, tuple[int, str]] = {}  # the next line of a name, and what all its later lines begin with
+    hopeless = [True] * len(own)
+    for i in range(len(own) - 1, -1, -1):
+        if m := found[i]:
+            v = _VERSION.match(m[2])
+            if m[1] in same:
+                after[i], shared = same[m[1]]
+                hopeless[i] = v is None or shared.startswith(v[0])
+                shared = os.path.commonprefix([shared, m[2]])
+            else:
+                shared = m[2]
+            same[m[1]] = i, shared
+
+    def end(i: int) -> int | None:
+        if hopeless[i]:
+            return None
+        version, j = _VERSION.match(found[i][2])[0], after[i]
+        while found[j][2].startswith(version):
+            j = after[j]
+        return j
+
+    return end
+
+
+def _property_ends(own: list[str]) -> Callable[[int], int | None]:
+    """Properties: what stands before the next equals sign, over line ends too, up to where it comes again."""
+    keys: dict[tuple[str, int], int] = {}
+    key, stop = [-1] * len(own), [0] * len(own)  # the key's number, and the line of its equals sign
+    for i in range(len(own) - 1, -1, -1):
+        head, sign, _ = own[i].partition("=")
+        if sign:
+            key[i], stop[i] = keys.setdefault((head, -1), len(keys)), i
+        elif i + 1 < len(own) and key[i + 1] >= 0:
+            key[i], stop[i] = keys.setdefault((head, key[i + 1]), len(keys)), stop[i + 1]
+    nothing = keys.get(("", -1))  # a line that begins with the sign has no key
+    places: dict[int, list[int]] = {}
+    for i, k in enumerate(key):
+        places.setdefault(k, []).append(i)
+
+    def end(i: int) -> int | None:
+        if key[i] < 0 or key[i] == nothing:
+            return None
+        same = places[key[i]]
+        at = bisect.bisect_right(same, stop[i])
+        return stop[same[at]] if at < len(same) else None
+
+    return end
+
+
+def _key_ends(own: list[str]) -> Callable[[int], int | None]:
+    """Keys of YAML: up to the last line with the same key before an empty line."""
+    found = [_YAML_KEY.match(line) for line in own]
+    last = len(own) - 1  # no line end follows it
+    places: dict[str, list[int]] = {}
+    for i, m in enumerate(found):
+        if m:
+            places.setdefault(m[1], []).append(i)
+    block = [0] * len(own)  # the last line that is reached from here over lines that are not empty
+    for i in range(last, -1, -1):
+        block[i] = block[i + 1] if own[i] and i < last else i
+    solid = [0] * (len(own) + 1)  # the next line that does not consist of blanks
+    solid[-1] = len(own)
+    for i in range(last, -1, -1):
+        solid[i] = i if own[i].strip() else solid[i + 1]
+
+    def end(i: int) -> int | None:
+        if not found[i] or len(places[found[i][1]]) < 2:
+            return None
+        rest = own[i][found[i].end() :]
+        final = i if rest.strip() else solid[i + 1]
+        # The value may end on any line of blanks before the first text; the farthest is tried first.
+        for j in range(min(final, last - 1), i - 1, -1):
+            if not (rest if j == i else own[j]):
+                continue
+            same = places[found[i][1]]
+            at = bisect.bisect_right(same, block[j + 1]) - 1
+            if at >= 0 and same[at] > j:
+                return same[at]
+        return None
+
+    return end
+
+
 def pattern_matches(df: DataFrame, key: str, text: str, patterns: Mapping[str, str], dotall: bool = False) -> DataFrame:
     """(key, pattern, first, last, line, text, groups) of every match, whole texts searched.
 

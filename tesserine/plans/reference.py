@@ -546,7 +546,8 @@ def markdown_catalogue(spark, d):
 
 @query()
 def format_catalogues(spark, d):
-    parts = {f"{fmt}.{name}": p for fmt in ("python", "json", "yaml", "html", "sql", "asciidoc") for name, p in PATTERNS[fmt].items() if "(?:.*\\n)*?" not in p and "(?:[^\\n]+\\n)*" not in p}
+    others = ("common", "markdown", "plaintext")  # of `common_catalogue` and `markdown_catalogue`
+    parts = {f"{fmt}.{name}": p for fmt, own in PATTERNS.items() if fmt not in others for name, p in own.items()}
     return R.pattern_counts(docs(spark, d), ["id"], "content", parts)
 
 

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.functions import vector as V
-from tesserine.functions.catalogue import PATTERNS, portable
+from tesserine.functions.catalogue import PATTERNS, REPEATS, portable
 from tesserine.operators import graph as G
 from tesserine.operators import learning as L
 from tesserine.operators import patterns as R
@@ -147,6 +148,20 @@ def test_upserts(spark):
     assert merged.count() == 1
 
 
+def test_repeat_counts_equal_the_expressions():
+    rng = np.random.default_rng(4)
+    signs = {"property": "a b = = \n \n", "key": "a b : : \n \n #", "conflict": "a b == == 1 2 . \n \n", "name": "a b == > \n \n !"}
+    for pattern, kind in REPEATS.items():
+        hits = 0
+        for _ in range(4000):
+            text = "".join(rng.choice([*signs[kind].split(" "), " "], rng.integers(0, 25)))
+            expected = sum(1 for _ in re.finditer(pattern, text, re.MULTILINE))
+            assert R.repeat_count(kind, text) == expected, (kind, text)
+            hits += expected > 0
+        assert hits > 5
+        assert R.repeat_count(kind, "\n".join(f"k{i}" for i in range(100_000))) == 0
+
+
 def test_graph_operators(spark):
     diamond = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (5, 5)])
     assert {r.node: (r.out_degree, r.in_degree, r.degree) for r in G.degrees(diamond).collect()}[5] == (1, 1, 2)

@@ -90,5 +90,14 @@ def test_paths_and_cycles_of_the_whole_graph(spark, part_graph):
     assert {r.node: r.steps for r in entry.queries()["cycles_whole"](spark, str(DATA)).collect()} == steps
 
 
+def test_format_catalogues_run_every_format(spark, tmp_path):
+    texts = {"ini": "x=1\n[a]\ny=2\nx=3", "requirements": "a==1.0\nb\na==2.0", "yaml": "k: 1\nl: 2\nk: 3\n", "editorconfig": "root = true\nindent_style = tab"}
+    one = spark.read.parquet(f"{DATA}/repo_docs.parquet").limit(1).drop("id", "content")
+    spark.createDataFrame(list(texts.items()), "id string, content string").crossJoin(one).write.parquet(f"{tmp_path}/repo_docs.parquet")
+    found = {(r.id, r.pattern, r.n) for r in entry.queries()["format_catalogues"](spark, str(tmp_path)).collect()}
+    wanted = {("ini", "ini.duplicate_property", 1), ("ini", "ini.section", 1), ("requirements", "requirements.conflict", 1), ("requirements", "requirements.duplicate", 1), ("yaml", "yaml.duplicate_key", 1), ("editorconfig", "editorconfig.root", 1), ("editorconfig", "editorconfig.indent", 1)}
+    assert wanted <= found
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
