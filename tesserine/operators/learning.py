@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +42,19 @@ def variation_score(pattern: Column) -> Column:
     return (F.length(pattern) + times("(") + times("[") + times("|")).cast("long")
 
 
+def _kinds(middle: str) -> int:
+    """Bits of what a middle is not (1 digits, 2 ASCII letters, 4 word characters), 8 a line end, 16 empty."""
+    if not middle:
+        return 16
+    digits, letters, words = re.fullmatch(r"\d+", middle), middle.isascii() and middle.isalpha(), re.fullmatch(r"\w+", middle)
+    return (not digits) + 2 * (not letters) + 4 * (not words) + 8 * ("\n" in middle)
+
+
+def _pattern(prefix: str, suffix: str, kinds: int) -> str:
+    kind = r"\d" if not kinds & 1 else r"[a-zA-Z]" if not kinds & 2 else r"\w" if not kinds & 4 else r"[\s\S]" if kinds & 8 else r"."
+    return re.escape(prefix) + kind + ("*" if kinds & 16 else "+") + re.escape(suffix)
+
+
 def regex_of_examples(examples: list[str]) -> str:
     """A pattern that matches all examples whole: common prefix and suffix around one character class."""
     examples = sorted({e for e in examples if e})
@@ -53,41 +65,44 @@ def regex_of_examples(examples: list[str]) -> str:
     prefix = os.path.commonprefix(examples)
     rest = [e[len(prefix) :] for e in examples]
     suffix = os.path.commonprefix([r[::-1] for r in rest])[::-1]
-    middle = [r[: len(r) - len(suffix)] for r in rest]
-    joined = "".join(middle)
-    kind = r"\d" if joined.isdigit() else r"[a-zA-Z]" if joined.isascii() and joined.isalpha() else r"\w" if re.fullmatch(r"\w*", joined) else r"."
-    return re.escape(prefix) + kind + ("+" if all(middle) else "*") + re.escape(suffix)
+    kinds = 0
+    for r in rest:
+        kinds |= _kinds(r[: len(r) - len(suffix)])
+    return _pattern(prefix, suffix, kinds)
 
 
 def learned_patterns(df: DataFrame, key: str, example: str) -> DataFrame:
-    """(key, pattern, examples): one pattern per key that matches all of its distinct examples.
+    """(key, pattern): one pattern per key that matches all of its distinct examples.
 
-    Prefix, suffix and class of a union follow from those of its parts, so each task reduces its
-    rows first and no key's examples have to meet in one place.
+    The least and the greatest example have the common prefix, those of the reversed examples the
+    suffix. A second pass over all examples combines what their middles are, so no key's examples
+    have to meet in one place. Null keys and null or empty examples are left out.
     """
-    key_type = df.schema[key].dataType.simpleString()
-
-    def shrink(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            # The least, the greatest, the shortest and one of each character class stand for all.
-            rows = []
-            for k, own in part.groupby(key, dropna=True)[example]:
-                values = sorted({v for v in own if v})
-                if values:
-                    back = sorted(v[::-1] for v in values)
-                    kept = {values[0], values[-1], back[0][::-1], back[-1][::-1], min(values, key=len)}
-                    for test in (str.isdigit, str.isalpha, lambda s: not re.fullmatch(r"\w*", s)):
-                        kept |= {v for v in values if test(v)} and {next(v for v in values if test(v))}
-                    kept |= {next((v for v in values if not v.isdigit() and not v.isalpha()), values[0])}
-                    rows += [(k, v) for v in kept]
-            yield pd.DataFrame(rows, columns=[key, example])
-
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [part[key].iloc[0]], "pattern": [regex_of_examples(list(part[example]))]})
-
-    whole = df.select(key, F.col(example).cast("string")).where(F.col(key).isNotNull() & F.col(example).isNotNull())
-    kept = whole.mapInPandas(shrink, f"`{key}` {key_type}, `{example}` string").distinct()
-    return kept.groupBy(key).applyInPandas(learn, f"`{key}` {key_type}, pattern string")
+    whole = df.select(F.col(key).alias("_k"), F.col(example).cast("string").alias("_e")).where("_k is not null and _e is not null and _e <> ''")
+    back = F.reverse("_e")
+    bounds = whole.groupBy("_k").agg(F.min("_e").alias("least"), F.max("_e").alias("most"), F.min(back).alias("back_least"), F.max(back).alias("back_most"), F.min(F.length("_e")).alias("shortest"))
+
+    @F.pandas_udf("prefix string, suffix string")
+    def ends(least: pd.Series, most: pd.Series, back_least: pd.Series, back_most: pd.Series, shortest: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b, c, d, n in zip(least, most, back_least, back_most, shortest):
+            prefix = os.path.commonprefix([a, b])
+            # The suffix does not reach into the prefix of the shortest example.
+            rows.append((prefix, os.path.commonprefix([c, d])[: n - len(prefix)][::-1]))
+        return pd.DataFrame(rows, columns=["prefix", "suffix"])
+
+    @F.pandas_udf("int")
+    def kinds(value: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([_kinds(v[p : len(v) - s]) for v, p, s in zip(value, before, after)], dtype="int32")
+
+    @F.pandas_udf("string")
+    def pattern(prefix: pd.Series, suffix: pd.Series, kinds: pd.Series, single: pd.Series) -> pd.Series:
+        return pd.Series([re.escape(p) if one else _pattern(p, s, k) for p, s, k, one in zip(prefix, suffix, kinds, single)], dtype=object)
+
+    bounds = bounds.withColumn("ends", ends("least", "most", "back_least", "back_most", "shortest")).select("_k", "ends.prefix", "ends.suffix", (F.col("least") == F.col("most")).alias("single"))
+    sized = whole.join(bounds.select("_k", F.length("prefix").alias("before"), F.length("suffix").alias("after")), "_k")
+    seen = sized.select("_k", kinds("_e", "before", "after").alias("kinds")).groupBy("_k").agg(F.bit_or("kinds").alias("kinds"))
+    return bounds.join(seen, "_k").select(F.col("_k").alias(key), pattern("prefix", "suffix", "kinds", "single").alias("pattern"))
 
 
 def improvement(before: Column, after: Column) -> Column:

@@ -274,3 +274,14 @@ def test_edit_scripts_line_windows_and_derived_nodes(spark):
     assert ids["p"] == ids["q"] != ids["r"]
     star = {r.node: r.vec for r in G.node_embeddings(edges(spark, [(1, 3), (2, 3), (3, 4)]), dim=8).collect()}
     assert len(star) == 4 and all(len(v) == 8 for v in star.values())
+
+
+def test_learned_patterns_match_every_example(spark):
+    rng = np.random.default_rng(5)
+    examples = {"digits": ["k1", "k2b3", "k9"], "letters": ["xa", "xbéc", "xz"], "lines": ["p:a\nb", "p:c", "p:zz"], "squares": ["n²", "n1"], "empty": ["a", "aa"], "one": ["q.x", "q.x"], "gap": ["aa", "aaa", "aba"]}
+    examples |= {f"r{i}": ["".join(rng.choice(list("ab1é_-\n"), rng.integers(1, 7))) for _ in range(30)] for i in range(20)}
+    df = spark.createDataFrame([(k, e) for k, own in examples.items() for e in own] + [("none", ""), (None, "x")], "k string, e string").repartition(3)
+    found = {r.k: r.pattern for r in L.learned_patterns(df, "k", "e").collect()}
+    assert found == {k: L.regex_of_examples(own) for k, own in examples.items()}
+    assert all(re.fullmatch(found[k], e) for k, own in examples.items() for e in own)
+    assert found["digits"] == r"k\w+" and found["letters"] == r"x\w+" and found["one"] == r"q\.x"
