@@ -47,7 +47,7 @@ def window_keys(words: np.ndarray, length: int, sampled: np.ndarray, first: int
         for r, key in zip(range(first, len(sampled)), keys):
             moves = ((padded + np.uint64(2 * r + 1)) * _MIX) >> np.uint64(20)
             at, wanted = start, set(sampled[r].tolist())
-            last = max(wanted)
+            last = max(wanted, default=-1)
             for step in range(last + 1):
                 if step in wanted:
                     out = low[at].astype(np.uint64)
@@ -61,17 +61,18 @@ def window_keys(words: np.ndarray, length: int, sampled: np.ndarray, first: int
     return keys
 
 
-def plan_repetitions(length: int, max_edits: int, samples: int, recall: float, seed: int, most: int = 128) -> np.ndarray:
+def plan_repetitions(length: int, max_edits: int, samples: int, recall: float, seed: int) -> np.ndarray:
     """Sampled positions of as many repetitions as reach `recall` for windows right at `max_edits`.
 
     Equal windows always collide, so one repetition suffices for no edits. Otherwise random windows
     are edited at random places and the share that collides is counted; half as many positions are
-    sampled then, because an edit shifts a walk for several steps. Should `most` repetitions fall
-    short, they are used.
+    sampled then, because an edit shifts a walk for several steps. Repetitions are added until
+    `recall` is reached. Where 2048 do not reach it (short windows, a recall of 1), one repetition
+    without positions is returned: every window then has the same key and is compared.
     """
     if max_edits == 0:
         return plan_sampling(length, 1, samples, seed)
-    sampled = plan_sampling(length, most, max(2, samples // 2), seed)
+    sampled = plan_sampling(length, 2048, max(2, samples // 2), seed)
     rng = np.random.default_rng(seed)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(400):
@@ -88,12 +89,12 @@ def plan_repetitions(length: int, max_edits: int, samples: int, recall: float, s
         pairs.append((own[:length], other[:length]))
     lines = [np.concatenate(side) for side in zip(*pairs)]  # windows laid end to end
     hit = np.zeros(len(pairs), bool)
-    for r in range(most):
+    for r in range(len(sampled)):
         left, right = (window_keys(line, length, sampled[: r + 1], first=r)[0, ::length] for line in lines)
         hit |= left == right
         if hit.mean() >= recall:
             return sampled[: r + 1]
-    return sampled
+    return np.empty((1, 0), sampled.dtype)
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
@@ -195,24 +196,32 @@ def leaked_items(
                 owner = np.repeat(np.arange(len(ids)), counts)
                 found_id, found_at, found_size, found_words, found_key = [], [], [], [], []
                 for n in lengths:
-                    keys = window_keys(words, n, plan[n]).view(np.int64)
+                    keys = window_keys(words, n, plan[n])
+                    spots = np.flatnonzero(ends[owner[: keys.shape[1]]] - np.arange(keys.shape[1]) >= n)
+                    keys = keys[:, spots]
+                    for short in range(1, min(max_edits, n - 1) + 1):
+                        # With words missing, a passage may end with its document: filled up, its window has keys too.
+                        tails = ends[counts >= n - short] - (n - short)
+                        filled = np.zeros((len(tails), n), np.uint64)
+                        filled[:, : n - short] = words[tails[:, None] + np.arange(n - short)]
+                        if len(tails):
+                            keys = np.hstack([keys, window_keys(filled.ravel(), n, plan[n])[:, ::n]])
+                            spots = np.append(spots, tails)
                     if not keys.size:
                         continue
-                    inside = ends[owner[: keys.shape[1]]] - np.arange(keys.shape[1]) >= n
-                    for line in keys:
+                    for line in keys.view(np.int64):
                         if not small:
-                            at = np.flatnonzero(inside)
-                            found_id += [ids[owner[at]]]
-                            found_at += [at - (ends - counts)[owner[at]]]
-                            found_key += [line[at]]
-                            found_words += [words[i : min(i + n + max_edits, ends[owner[i]])].tobytes() for i in at]
+                            found_id += [ids[owner[spots]]]
+                            found_at += [spots - (ends - counts)[owner[spots]]]
+                            found_key += [line]
+                            found_words += [words[i : min(i + n + max_edits, ends[owner[i]])].tobytes() for i in spots]
                             continue
                         table, entries = known.value
                         place = np.searchsorted(table, line)
                         place[place == len(table)] = 0
-                        for i in np.flatnonzero((table[place] == line) & inside) if len(table) else ():
-                            p = place[i]
-                            while p < len(table) and table[p] == line[i]:
+                        for k in np.flatnonzero(table[place] == line) if len(table) else ():
+                            i, p = spots[k], place[k]
+                            while p < len(table) and table[p] == line[k]:
                                 size, item = entries[p]
                                 here = words[i : min(i + size + max_edits, ends[owner[i]])]
                                 if size == n and edit_distance_within(np.frombuffer(item, np.uint64), here, max_edits):

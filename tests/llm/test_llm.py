@@ -193,6 +193,26 @@ def test_leaks_with_edits(spark):
     assert found <= {(i, i) for i in range(60)} and len(found) >= 54
 
 
+def test_leaks_with_a_word_missing_at_the_end(spark):
+    rng = random.Random(10)
+    items = [(i, " ".join(f"q{rng.randrange(5000)}" for _ in range(12))) for i in range(60)]
+    docs = [(i, " ".join(["before"] * 20 + t.split()[:10] + t.split()[11:])) for i, t in items]
+    d, s = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "id long, t string")
+    for limit in (500_000, 0):
+        found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, broadcast_windows=limit).collect()}
+        assert found <= {(i, i) for i in range(60)} and len(found) >= 54
+
+
+def test_repetitions_go_on_until_the_recall_is_reached(spark):
+    assert len(leaks.plan_repetitions(12, 4, 20, 0.95, 17)) > 128
+    assert leaks.plan_repetitions(2, 1, 10, 0.95, 17).shape == (1, 0)
+    d = spark.createDataFrame([(1, "x alpha gamma"), (2, "x beta y"), (3, "z w")], "id long, t string")
+    s = spark.createDataFrame([(7, "alpha beta")], "id long, t string")
+    for limit in (500_000, 0):
+        found = leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, broadcast_windows=limit)
+        assert {r.doc_id for r in found.collect()} == {1, 2}
+
+
 def test_equal_windows_have_equal_keys():
     rng = np.random.default_rng(2)
     own = rng.integers(0, 2**63, 12).astype(np.uint64)
