@@ -38,6 +38,11 @@ _SIGNATURES = {
     "ruby": re.compile(r"^\s*(?:(?:private|public|protected|module_function)\s+)?def\s+(?:self\.)?(\w+[?!=]?)"),
     "rust": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)\s*[(<]"),
 }
+# Headers of methods without a body, on one line.
+_BODILESS = {
+    "java": re.compile(r"^\s*(?:@\w+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|strictfp)\s+)*(?:<[^()]*>\s+)?(?!(?:assert|yield)\b)[\w$.]+(?:<[^()]*>)?(?:\[\])*\s+([\w$]+)\s*\([^;{}=]*\)\s*(?:throws\s+[\w.,\s]+)?;"),
+    "typescript": re.compile(r"^\s*(?:(?:public|private|protected|static|readonly|override|abstract)\s+)*([\w$]+)\??\s*(?:<[^>()]*>)?\([^;]*\)\s*:[^;=?]+;\s*$"),
+}
 _NOT_NAMES = frozenset("if for while switch catch return function do else try with new throw await typeof elseif synchronized super this case".split())
 _ANNOTATION = {
     "python": re.compile(r"^\s*@\w"), "javascript": re.compile(r"^\s*@\w"), "typescript": re.compile(r"^\s*@\w"),
@@ -113,7 +118,7 @@ def _kinds(lines: list[str], language: str) -> list[str]:
 def _header_end(lines: list[str], start: int) -> int:
     """Index of the last line of a header that begins at `start`: where its brackets are closed."""
     depth = 0
-    for i in range(start, min(len(lines), start + 40)):
+    for i in range(start, len(lines)):
         depth += sum(lines[i].count(c) for c in "([") - sum(lines[i].count(c) for c in ")]")
         if depth <= 0:
             return i
@@ -216,6 +221,17 @@ def documented_functions(source: str | None, language: str) -> list[Function]:
         m = signature.match(line)
         if not m and "(" in line and line.count("(") > line.count(")") and language not in ("python", "go", "ruby", "rust"):
             m = signature.match(" ".join(x.strip() for x in lines[i : _header_end(lines, i) + 1]))
+        bodiless = None
+        if not m and language in ("java", "typescript") and "(" in line:
+            end = _header_end(lines, i)
+            header = " ".join(x.strip() for x in lines[i : end + 1])
+            below = end + 1
+            while below < len(lines) and kinds[below] == "blank":
+                below += 1
+            if language in _BODILESS and header.endswith(";"):
+                m = bodiless = _BODILESS[language].match(header)
+            elif "{" not in header and below < len(lines) and lines[below].lstrip().startswith("{"):
+                m = signature.match(header + " {")
         name = next((g for g in m.groups() if g), None) if m else None
         if not name or name in _NOT_NAMES or line.split(None, 1)[0] in ("return", "new", "else", "throw", "await", "}"):
             continue
@@ -225,7 +241,7 @@ def documented_functions(source: str | None, language: str) -> list[Function]:
             texts.append(_string_below(lines, head).strip())
         described = [t for t in texts if t and not is_trivial(t, name)]
         if described:
-            last = _body_end(lines, kinds, i, head, language)
+            last = head if bodiless else _body_end(lines, kinds, i, head, language)
             found.append(Function(name, i + 1, last + 1, "\n".join(lines[i : last + 1]), "\n".join(described)))
     return found
 

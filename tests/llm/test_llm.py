@@ -250,6 +250,19 @@ def test_function_pairs_table(spark):
     assert documented.function_pairs(df.limit(0), "id", "t", "p").count() == 0
 
 
+def test_documented_headers_of_any_form():
+    names = lambda t, lang: [(f.name, f.first_line, f.last_line) for f in documented.documented_functions(t, lang)]
+    long = "def f(\n" + "".join(f"    a{i},\n" for i in range(60)) + "):\n    \"\"\"Adds up all of the given values.\"\"\"\n    return 1\n"
+    assert names(long, "python") == [("f", 1, 64)]
+    note = "    /** Gives back what the user asked for. */\n"
+    java = "interface A {\n" + note + "    String one(int a, List<String> b);\n" + note + "    public abstract int two() throws IOException;\n" + note + "    void three(int a)\n    {\n        call(a);\n    }\n" + note + "    call(b);\n" + note + "    assert check(b);\n" + note + "    return four(b);\n}\n"
+    assert names(java, "java") == [("one", 3, 3), ("two", 5, 5), ("three", 7, 10)]
+    wide = "class A {\n" + note + "  public void f(\n" + "".join(f"    int a{i},\n" for i in range(60)) + "    int z) {\n    g();\n  }\n}\n"
+    assert names(wide, "java") == [("f", 3, 66)]
+    typed = "interface A {\n" + note + "  one(a: string): void;\n" + note + "  two(a: string): number\n  {\n    return 1;\n  }\n" + note + "  call(a);\n}\n"
+    assert names(typed, "typescript") == [("one", 3, 3), ("two", 5, 8)]
+
+
 def test_origins(spark):
     code = "import a\n\ndef f(x):\n    return g(x)\n"
     shared = code + "\n".join(f"y{i} = {i}" for i in range(9))
