@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector, through an additive quantiser.
 
-A vector is written as a sum of full-dimensional codewords: one of a coarse book and one of each
-residual book, found by beam search. Coarse words name the lists of an index. Inside a list the
-members are scored for every query from lookup tables over the codes and a stored norm, and all
-that may reach the wanted similarity are reranked with exact cosines in double precision.
+A vector is written as a sum of full-dimensional codewords: one of a coarse book, one of a second
+book and one of each residual book, found by beam search. The first two name the lists of an index,
+whose number follows the table. Inside a list the members are scored for every query from lookup
+tables over the codes and a stored norm, and all that may reach the wanted similarity are reranked
+with exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -17,17 +18,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.vectors import equal_groups, matrix, packed, unit, usable_vectors
-from tesserine.plans.scratch import materialise
+from tesserine.plans.scratch import discard, materialise
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Coarse book (lists, dim), residual books (levels, words, dim), slack of a scored cosine."""
+    """Coarse book (words, dim), second book (cells, dim) whose sums with coarse words name the lists,
+    residual books (levels, words, dim), slack of a scored cosine."""
 
     coarse: np.ndarray
+    second: np.ndarray
     books: np.ndarray
     slack: float
 
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.second)
+
+    def centres(self, numbers: np.ndarray) -> np.ndarray:
+        """The sums of the codewords that name these lists."""
+        return self.coarse[numbers // len(self.second)] + self.second[numbers % len(self.second)]
+
 
 def _lloyd(points: np.ndarray, words: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     book = points[rng.choice(len(points), words, replace=len(points) < words)].copy()
@@ -42,75 +53,102 @@ def _lloyd(points: np.ndarray, words: int, rounds: int, rng: np.random.Generator
     return book
 
 
-def encode(rows: np.ndarray, q: Quantiser, lists: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coarse words (n, lists), residual codes (n, lists, levels), stored norms (n, lists).
+def _best_lists(rows: np.ndarray, q: Quantiser, lists: int) -> np.ndarray:
+    """Numbers (n, lists) of the lists whose centres are nearest, best first.
 
-    The first beam holds the `lists` best coarse words and each keeps a beam of its own, so every
-    membership has the codes of its own list. The stored norm scales the scored product so that
-    it is exact for the vector itself.
+    The beam keeps the best coarse words, extends each by every word of the second book and keeps
+    the best sums.
     """
-    n, lists = len(rows), min(lists, len(q.coarse))
-    near = rows @ q.coarse.T
-    top = np.argpartition(-near, lists - 1, axis=1)[:, :lists]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-    levels, words, dim = q.books.shape
-    m = n * lists
-    target = np.repeat(rows, lists, axis=0)
-    residual = (target - q.coarse[top.ravel()])[:, None, :]
-    codes = np.zeros((m, 1, 0), dtype=np.uint8)
+    wide = min(len(q.coarse), lists if len(q.second) == 1 else 2 * lists)
+    near = rows @ q.coarse.T - 0.5 * (q.coarse * q.coarse).sum(axis=1)
+    top = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
+    cross = q.coarse @ q.second.T + 0.5 * (q.second * q.second).sum(axis=1)
+    total = np.take_along_axis(near, top, 1)[:, :, None] + (rows @ q.second.T)[:, None, :] - cross[top]
+    numbers = (top[:, :, None] * len(q.second) + np.arange(len(q.second))).reshape(len(rows), -1)
+    total = total.reshape(len(rows), -1)
+    best = np.argpartition(-total, lists - 1, axis=1)[:, :lists]
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(total, best, 1), axis=1, kind="stable"), 1)
+    return np.take_along_axis(numbers, best, 1)
+
+
+def _beam(residual: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (m, levels) of the sum of codewords nearest to each row by beam search, and what is left over."""
+    levels, words, dim = books.shape
+    m = len(residual)
+    left, codes = residual[:, None, :], np.zeros((m, 1, 0), dtype=np.uint8)
     for level in range(levels):
-        book = q.books[level]
-        width = residual.shape[1]
-        error = (residual * residual).sum(axis=2)[:, :, None] - 2 * (residual.reshape(-1, dim) @ book.T).reshape(m, width, words) + (book * book).sum(axis=1)
+        book, width = books[level], left.shape[1]
+        error = (left * left).sum(axis=2)[:, :, None] - 2 * (left.reshape(-1, dim) @ book.T).reshape(m, width, words) + (book * book).sum(axis=1)
         flat = error.reshape(m, -1)
         keep = min(beam, flat.shape[1]) if level + 1 < levels else 1
         best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.argsort(flat, axis=1)
         came, word = best // words, best % words
         line = np.arange(m)[:, None]
         codes = np.concatenate([codes[line, came], word[:, :, None].astype(np.uint8)], axis=2)
-        residual = residual[line, came] - book[word]
-    built = target - residual[:, 0]
-    norms = 1.0 / np.maximum((built * target).sum(axis=1), 0.05)
-    return top.astype(np.int32), codes[:, 0].reshape(n, lists, levels), norms.reshape(n, lists).astype(np.float32)
+        left = left[line, came] - book[word]
+    return codes[:, 0], left[:, 0]
+
 
+def encode(rows: np.ndarray, q: Quantiser, lists: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists (n, lists), residual codes (n, lists, levels), stored norms (n, lists).
+
+    Each of the `lists` best lists keeps a beam of its own, so every membership has the codes of its
+    own list. The stored norm is the squared length of the sum of codewords.
+    """
+    n, lists = len(rows), min(lists, q.lists)
+    top = _best_lists(rows, q, lists)
+    target = np.repeat(rows, lists, axis=0)
+    codes, left = _beam(target - q.centres(top.ravel()), q.books, beam)
+    built = target - left
+    norms = (built * built).sum(axis=1)
+    return top.astype(np.int32), codes.reshape(n, lists, -1), norms.reshape(n, lists).astype(np.float32)
 
-def train(sample: np.ndarray, lists: int, levels: int, words: int, beam: int, similarity: float, seed: int) -> Quantiser:
-    """Books fitted to unit rows of a bounded sample, level by level on what the beams leave over.
 
+def train(sample: np.ndarray, lists: int, levels: int, words: int, beam: int, similarity: float, seed: int, first_words: int = 2048) -> Quantiser:
+    """Books fitted to unit rows of a bounded sample, each level on what the beams leave over.
+
+    Up to `first_words` lists are words of the coarse book; more lists are sums with a second book.
     The slack is how far a scored cosine falls below the true one in all but one of 2,000 trials
     at `similarity`.
     """
     rng = np.random.default_rng(seed)
-    coarse = _lloyd(sample, lists, 3, rng)
-    coarse /= np.maximum(np.linalg.norm(coarse, axis=1, keepdims=True), 1e-9)
-    near = np.concatenate([(p @ coarse.T).argmax(axis=1) for p in np.array_split(sample, max(1, len(sample) // 4096))])
-    residual, books = sample - coarse[near], []
+    coarse = _lloyd(sample, min(lists, first_words), 3, rng).astype(np.float32)
+    second, dim = np.zeros((1, sample.shape[1]), np.float32), sample.shape[1]
+    parts = np.array_split(sample, max(1, len(sample) // 2048))
+    if lists > first_words:
+        near = np.concatenate([(p @ coarse.T - 0.5 * (coarse * coarse).sum(axis=1)).argmax(axis=1) for p in parts])
+        second = _lloyd(sample - coarse[near], -(-lists // first_words), 4, rng).astype(np.float32)
+    q = Quantiser(coarse, second, np.zeros((0, words, dim), np.float32), 0.0)
+    first = np.concatenate([_best_lists(p, q, 1)[:, 0] for p in parts])
+    residual = (sample - q.centres(first)).astype(np.float32)
+    left = residual
     for _ in range(levels):
-        book = _lloyd(residual, words, 4, rng)
-        half = 0.5 * (book * book).sum(axis=1)
-        residual = residual - book[(residual @ book.T - half).argmax(axis=1)]
-        books.append(book)
-    q = Quantiser(coarse.astype(np.float32), np.stack(books).astype(np.float32), 0.0)
+        books = np.concatenate([q.books, _lloyd(left, words, 4, rng).astype(np.float32)[None]])
+        q = Quantiser(coarse, second, books, 0.0)
+        left = np.concatenate([_beam(p, books, beam)[1] for p in np.array_split(residual, max(1, len(residual) // 2048))])
     part = sample[:4000].astype(np.float32)
-    top, codes, norms = encode(part, q, 1, beam)
-    built = q.coarse[top[:, 0]] + sum(q.books[i][codes[:, 0, i]] for i in range(levels))
+    built = part - left[:4000]
     aside = rng.standard_normal(part.shape).astype(np.float32)
     aside -= (aside * part).sum(axis=1, keepdims=True) * part
     aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-9)
     s = min(max(similarity, 0.0), 0.999)
     asked = s * part + np.sqrt(1 - s * s) * aside
-    low = np.quantile((asked * built).sum(axis=1) * norms[:, 0] - s, 0.0005)
-    return Quantiser(q.coarse, q.books, float(max(0.02, -low)))
+    low = np.quantile((asked * built).sum(axis=1) + (1 - (built * built).sum(axis=1)) / 2 - s, 0.0005)
+    return Quantiser(coarse, second, q.books, float(max(0.02, -low)))
 
 
-def _score(asked: np.ndarray, word: int, codes: np.ndarray, norms: np.ndarray, q: Quantiser) -> np.ndarray:
-    """Scored cosines (asked, members) of one list from lookup tables."""
+def _score(asked: np.ndarray, number: int, codes: np.ndarray, norms: np.ndarray, q: Quantiser) -> np.ndarray:
+    """Scored cosines (asked, members) of one list from lookup tables.
+
+    Half the squared distance of unit rows is one less their cosine, so the score is the product
+    with the sum of codewords and half of what its stored norm lacks.
+    """
     levels, words, dim = q.books.shape
     table = asked @ q.books.reshape(-1, dim).T
-    total = np.repeat((asked @ q.coarse[word])[:, None], len(codes), axis=1)
+    total = (asked @ q.centres(np.array([number]))[0])[:, None] + (1 - norms)[None, :] / 2
     for level in range(levels):
         total += np.take(table[:, level * words : (level + 1) * words], codes[:, level], axis=1)
-    return total * norms
+    return total
 
 
 def search_list(ids, rows, codes, norms, side, word, q, keep, similarity, chunk=256):
@@ -151,12 +189,12 @@ def most_similar(
     min_similarity: float = 0.85,
     dim: int = 64,
     per_list: int = 112,
-    max_lists: int = 4096,
+    first_words: int = 2048,
     memberships: int = 6,
     levels: int = 6,
     words: int = 32,
     beam: int = 4,
-    sample_rows: int = 16384,
+    rows_per_word: int = 16,
     block_rows: int = 4096,
     seed: int = 11,
 ) -> DataFrame:
@@ -165,26 +203,34 @@ def most_similar(
     Ties go to the smaller id; neighbours below `min_similarity` are not reported. Ids count once,
     unusable vectors (`usable_vectors`) are left out, an empty table gives an empty result.
 
-    Every vector is indexed; only the books are fitted to a sample of at most `sample_rows` rows.
-    The number of lists follows the table up to `max_lists`, every vector is a member of its
-    `memberships` best lists, and lists beyond `block_rows` are searched block by block in tasks of
-    their own, so nothing is capped. Byte-equal vectors are searched once: all their members share
+    Every vector is indexed; only the books are fitted to a sample of at most `rows_per_word *
+    first_words` rows. There is a list for every `per_list` vectors at any size of the table, every
+    vector is a member of its `memberships` best lists, and lists beyond `block_rows` are searched
+    block by block in tasks of their own, so nothing is capped. Byte-equal vectors are searched once: all their members share
     the neighbours of the representative, of which the `k + 1` least ids of each group suffice.
     """
     spark = df.sparkSession
-    members, reps = equal_groups(materialise(usable_vectors(df, id_col, vec_col, dim)))
+    usable = materialise(usable_vectors(df, id_col, vec_col, dim))
+    members, reps = equal_groups(usable)
     reps, members = materialise(reps), materialise(members)
+    discard(usable)
     total = reps.count()
     schema = "id long, neighbour long, similarity double, place int"
     if total == 0:
         return spark.createDataFrame([], schema)
-    n_lists = int(min(max_lists, max(1, 2 ** round(np.log2(max(1, total / per_list))))))
-    # The bounded sample for the books: the rows with the least hashes.
-    taken = reps.select("vec").orderBy(F.xxhash64(F.lit(seed), "rep"), "rep").limit(sample_rows).collect()
+    n_lists = int(2 ** round(np.log2(max(1, total / per_list))))
+    # The bounded sample for the books: rows whose hash falls below a share, so no partition sends more than its part.
+    wanted = rows_per_word * min(n_lists, first_words)
+    wanted = min(total, max(wanted, 4096))
+    share = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30))
+    taken = reps.select("rep", "vec").where(share < int(min(1.0, 1.1 * wanted / total + 20 / total) * (1 << 30))).collect()
+    taken = sorted(taken, key=lambda r: r["rep"])
     sample = unit(np.frombuffer(b"".join(bytes(r.vec) for r in taken), dtype=np.float32).reshape(-1, dim)).astype(np.float32)
-    quantiser = train(sample, n_lists, levels, words, beam, min_similarity, seed)
-    shared = spark.sparkContext.broadcast(quantiser)  # bounded by max_lists, levels and words
-    lists = min(memberships, n_lists)
+    if not len(sample):  # a handful of rows whose hashes all lie above the share
+        sample = unit(np.frombuffer(bytes(reps.first().vec), dtype=np.float32).reshape(-1, dim)).astype(np.float32)
+    quantiser = train(sample, n_lists, levels, words, beam, min_similarity, seed, first_words)
+    shared = spark.sparkContext.broadcast(quantiser)  # bounded by first_words, and one word in the second book for each first_words lists
+    lists = min(memberships, quantiser.lists)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +247,13 @@ def most_similar(
                 yield pa.RecordBatch.from_arrays(fields, ["rep", "vec", "words", "entries"])
 
     indexed = materialise(reps.select("rep", "vec").mapInArrow(index, "rep long, vec binary, words array<int>, entries array<binary>"))
-    sizes = indexed.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") > block_rows).collect()  # at most max_lists rows
-    blocks = F.lit(1)
-    for row in sizes:
-        blocks = F.when(F.col("word") == row["word"], F.lit(-(-row["count"] // block_rows))).otherwise(blocks)
+    sizes = indexed.select(F.explode("words").alias("word")).groupBy("word").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    hot = materialise(sizes.where("blocks > 1"))  # a table of its own: joined by its key, broadcast only while Spark finds it small
     placed = indexed.select("rep", "vec", F.explode(F.arrays_zip("words", "entries")).alias("e"))
     placed = placed.select("rep", "vec", F.col("e.words").alias("word"), F.col("e.entries").alias("entry"))
-    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    placed = placed.join(hot, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "vec", "word", "entry", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
