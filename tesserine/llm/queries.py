@@ -85,8 +85,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(docs, "doc_id", "text", "source", labels).withColumnRenamed("id", "doc_id")
 
 
+def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm.reading import reading_agreement
+
+    ship_package(spark)
+    return reading_agreement(load(spark, sf_dir, "documents"), "doc_id", "text", "source", load(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p9_found": p9_found, "p9_agreement": p9_agreement}
 
 
 def oracle_sql() -> dict[str, str]:

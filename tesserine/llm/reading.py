@@ -3,7 +3,8 @@
 Features are distributions of word lengths, of graded vocabulary, of sentence lengths and of the
 overlap of neighbouring sentences. The grade of a word is the mean level of the labelled documents
 that hold it, without the document at hand. Predictions are calibrated to levels by cut points
-that agree best with predictions cross-validated by source.
+that agree best with predictions cross-validated by source: for those the grades, too, come from
+the other sources only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.trees import BoostedTrees
+from tesserine.plans.scratch import discard, materialise
 
 # What is not prose: fenced code, tables, log lines, headings, command lines, quoting marks.
 _NOT_PROSE = re.compile(
@@ -63,9 +65,10 @@ class _Lexicon(dict):
 
     LIMIT = 400_000
 
-    def __init__(self, grades: dict[str, tuple[float, int]]) -> None:
+    def __init__(self, grades: dict[str, tuple[list[float], list[int]]], folds: int = 1) -> None:
         super().__init__()
-        self.grades = grades
+        self.grades, self.folds = grades, folds
+        self.unknown = ([0.0] * folds, [0] * folds)
         self.reset()
 
     def reset(self) -> None:
@@ -79,7 +82,7 @@ class _Lexicon(dict):
             value = _STOP
         else:
             value = len(self.length)
-            total, count = self.grades.get(piece, (0.0, 0))
+            total, count = self.grades.get(piece, self.unknown)
             self.length.append(len(piece))
             self.total.append(total)
             self.count.append(count)
@@ -97,10 +100,11 @@ def _moments(values: np.ndarray, owner: np.ndarray, n: int, size: np.ndarray) ->
     return [mean, np.sqrt(np.maximum(0, np.bincount(owner, values * values, n) / size - mean**2))]
 
 
-def features(texts: list[str], lexicon: _Lexicon, own_level: np.ndarray | None = None, middle: float = 2.5) -> np.ndarray:
+def features(texts: list[str], lexicon: _Lexicon, own_level: np.ndarray | None = None, own_fold: np.ndarray | None = None, without: int = -1, middle: float = 2.5) -> np.ndarray:
     """One row of features per prose text, all computed on arrays over the whole batch.
 
-    `own_level` takes the level of a labelled text back out of the grades of its words.
+    Grades leave out the fold `without`. `own_level` and `own_fold` take the level of a labelled text
+    back out of the grades of its words.
     """
     if len(lexicon) > _Lexicon.LIMIT:
         lexicon.reset()
@@ -112,9 +116,11 @@ def features(texts: list[str], lexicon: _Lexicon, own_level: np.ndarray | None =
     word, owner = pieces[is_word], doc[is_word]
     count = np.maximum(np.bincount(owner, minlength=n), 1).astype(float)
     length = np.array(lexicon.length)[word]
-    total, seen = np.array(lexicon.total)[word], np.array(lexicon.count)[word].astype(float)
+    used = [f for f in range(lexicon.folds) if f != without]
+    total = np.array(lexicon.total).reshape(-1, lexicon.folds)[:, used].sum(axis=1)[word]
+    seen = np.array(lexicon.count).reshape(-1, lexicon.folds)[:, used].sum(axis=1)[word].astype(float)
     if own_level is not None:
-        held = seen > 0
+        held = (seen > 0) & (own_fold != without)[owner]
         total, seen = total - held * own_level[owner], seen - held
     known = seen >= 2
     grade = (total + 2 * middle) / (seen + 2)
@@ -151,7 +157,7 @@ def features(texts: list[str], lexicon: _Lexicon, own_level: np.ndarray | None =
 class ReadingModel:
     """Word grades, trees and cut points, with the cross-validated agreement of each source."""
 
-    grades: dict[str, tuple[float, int]]
+    grades: dict[str, tuple[list[float], list[int]]]
     trees: BoostedTrees
     cuts: np.ndarray
     report: list[tuple[str, int, float, float]]
@@ -172,47 +178,96 @@ def _best_cuts(guess: np.ndarray, level: np.ndarray) -> np.ndarray:
     return cuts
 
 
-def train_reading_model(docs: DataFrame, id_col: str, text_col: str, source_col: str, labels: DataFrame, max_labelled: int = 20_000, max_words: int = 60_000, folds: int = 4) -> ReadingModel | None:
-    """A model fitted to at most `max_labelled` labelled documents (those with the least hashes).
+def train_reading_model(docs: DataFrame, id_col: str, text_col: str, source_col: str, labels: DataFrame, max_labelled: int = 20_000, folds: int = 4) -> ReadingModel | None:
+    """A model fitted to about `max_labelled` labelled documents (those whose hash falls below a share).
 
-    The level of a document is the mean of its raters. None where no labelled document has prose.
+    The level of a document is the mean of its raters. Word grades and features are computed where
+    the documents are; the driver receives one row of numbers per labelled document and fold, and
+    the words that at least two of these documents hold. Sources are dealt to folds by size. None
+    where no labelled document has prose.
     """
     spark = docs.sparkSession
     mean = labels.select(F.col(id_col).cast("long").alias("id"), F.col("reading_level").cast("double").alias("level")).where("id is not null and level between 1 and 4")
-    mean = mean.groupBy("id").agg(F.avg("level").alias("level")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = mean.collect()  # bounded by max_labelled
-    if not rows:
-        return None
-    known = spark.createDataFrame([(r["id"], r["level"]) for r in rows], "id long, level double")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(source_col).cast("string").alias("source"))
-    labelled = texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).orderBy("id").collect()  # bounded by max_labelled
-    kept = [(prose(r["t"]), r["level"], r["source"] or "") for r in labelled]
-    kept = [k for k in kept if k[0]]
-    if not kept:
+    mean = mean.groupBy("id").agg(F.avg("level").alias("level"))
+    labelled = mean.count()
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, max_labelled / max(labelled, 1)) * (1 << 30))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    # About max_labelled rows of two numbers: small enough to be broadcast at any size of the tables.
+    known = texts.where("t is not null").join(F.broadcast(mean.where(share)), "id").groupBy("id").agg(F.first("level").alias("level"), F.max(F.struct("t", "source")).alias("s"))
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([prose(t) for t in batch.column("t").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["id", "level", "source", "text"])
+
+    kept = known.select("id", "level", "s.source", "s.t").mapInArrow(running, "id long, level double, source string, text string")
+    kept = materialise(kept.where("text <> ''"))
+    sizes = sorted(((r["count"], r["source"]) for r in kept.groupBy("source").count().collect()), reverse=True)  # at most one row a labelled document
+    if not sizes:
         return None
-    level, source = np.array([k[1] for k in kept]), np.array([k[2] for k in kept])
-    sums: dict[str, list[float]] = {}
-    for text, own, _ in kept:
-        for word in set(re.findall(r"[^\W\d_]+", text)):
-            entry = sums.setdefault(word, [0.0, 0])
-            entry[0] += own
-            entry[1] += 1
-    often = sorted(((w, t, c) for w, (t, c) in sums.items() if c > 1), key=lambda x: (-x[2], x[0]))[:max_words]
-    grades = {w: (t, int(c)) for w, t, c in often}
-    table = np.concatenate([features([k[0] for k in kept[i : i + 500]], lexicon, level[i : i + 500]) for lexicon in [_Lexicon(grades)] for i in range(0, len(kept), 500)])
-    names = sorted(set(source))
-    fold = np.array([names.index(s) % folds for s in source])
-    if len(set(fold)) < 2:
-        fold = np.arange(len(kept)) % folds
-    guess = np.full(len(kept), level.mean())
+    held, dealt = [0] * folds, []
+    for size, source in sizes:
+        fold = held.index(min(held))
+        held[fold] += size
+        dealt.append((source, fold))
+    kept = kept.join(F.broadcast(spark.createDataFrame(dealt, "source string, fold int")), "source")
+    if len(dealt) < 2:
+        kept = kept.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+    kept = kept.select("id", "level", "source", "fold", "text")
+
+    def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, int], list] = {}
+            for level, fold, text in zip(*(batch.column(c).to_pylist() for c in ("level", "fold", "text"))):
+                for word in set(re.findall(r"[^\W\d_]+", text)):
+                    entry = sums.setdefault((word, fold), [0.0, 0])
+                    entry[0] += level
+                    entry[1] += 1
+            fields = [pa.array([w for w, _ in sums], pa.string()), pa.array([f for _, f in sums], pa.int32()), pa.array([t for t, _ in sums.values()], pa.float64()), pa.array([n for _, n in sums.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(fields, ["word", "fold", "total", "n"])
+
+    words = kept.mapInArrow(graded, "word string, fold int, total double, n long").groupBy("word")
+    per_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(folds) for c in ("total", "n")]
+    words = words.agg(*per_fold, F.sum("n").alias("n")).where("n > 1")
+    # Bounded by what the labelled documents hold.
+    grades = {r["word"]: ([float(r[f"total{f}"]) for f in range(folds)], [int(r[f"n{f}"]) for f in range(folds)]) for r in words.collect()}
+    shared = spark.sparkContext.broadcast(grades)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _Lexicon(shared.value, folds)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                level, fold = part.column("level").to_numpy(), part.column("fold").to_numpy()
+                texts = part.column("text").to_pylist()
+                table = np.stack([features(texts, lexicon, level, fold, f) for f in [*range(folds), -1]], axis=1)
+                rows = pa.array([r.tobytes() for r in table], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("level"), part.column("source"), part.column("fold"), rows], ["id", "level", "source", "fold", "rows"])
+
+    rows = sorted(kept.mapInArrow(measured, "id long, level double, source string, fold int, rows binary").collect(), key=lambda r: r["id"])  # one row a labelled document
+    discard(kept)
+    level, source, fold = np.array([r["level"] for r in rows]), np.array([r["source"] for r in rows]), np.array([r["fold"] for r in rows])
+    table = np.stack([np.frombuffer(r["rows"]).reshape(folds + 1, -1) for r in rows])
+    guess = np.full(len(rows), level.mean())
     for f in sorted(set(fold)):
         rest = fold != f
         if rest.any():
-            guess[~rest] = BoostedTrees(trees=80).fit(table[rest], level[rest]).predict(table[~rest])
+            guess[~rest] = BoostedTrees(trees=80).fit(table[rest, f], level[rest]).predict(table[~rest, f])
     cuts = _best_cuts(guess, level)
     shown = 1 + np.searchsorted(cuts, guess)
-    report = [(s, int((source == s).sum()), float((np.round(level[source == s] + 1e-9) == shown[source == s]).mean()), float(np.abs(level[source == s] - shown[source == s]).mean())) for s in names]
-    return ReadingModel(grades, BoostedTrees().fit(table, level), cuts, report)
+    report = [(s, int((source == s).sum()), float((np.round(level[source == s] + 1e-9) == shown[source == s]).mean()), float(np.abs(level[source == s] - shown[source == s]).mean())) for s in sorted(set(source))]
+    whole = {w: ([sum(t)], [sum(n)]) for w, (t, n) in grades.items()}
+    return ReadingModel(whole, BoostedTrees().fit(table[:, folds], level), cuts, report)
+
+
+def reading_agreement(docs: DataFrame, id_col: str, text_col: str, source_col: str, labels: DataFrame, **training: int) -> DataFrame:
+    """(source, labelled, agreement, error) of predictions for a source by a model that never saw it.
+
+    agreement: share of labelled documents whose rounded mean level is met; error: mean distance to
+    the mean level. Without labels an empty result.
+    """
+    model = train_reading_model(docs, id_col, text_col, source_col, labels, **training)
+    return docs.sparkSession.createDataFrame(model.report if model else [], "source string, labelled long, agreement double, error double")
 
 
 def reading_levels(docs: DataFrame, id_col: str, text_col: str, source_col: str, labels: DataFrame, **training: int) -> DataFrame:
@@ -225,7 +280,7 @@ def reading_levels(docs: DataFrame, id_col: str, text_col: str, source_col: str,
     model = train_reading_model(docs, id_col, text_col, source_col, labels, **training)
     if model is None:
         return spark.createDataFrame([], "id long, reading_level int")
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_words and the trees
+    shared = spark.sparkContext.broadcast(model)  # bounded by the labelled documents and the trees
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon(shared.value.grades)

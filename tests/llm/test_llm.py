@@ -375,6 +375,14 @@ def test_prose():
 SIMPLE, HARD = ["cat sat on mat", "dog ran to sun", "boy hit red ball"], ["notwithstanding institutional heterogeneity", "epistemological considerations presuppose", "multidimensional reconciliation characterises"]
 
 
+def test_word_grades_of_a_fold_leave_its_texts_out():
+    grades = {"slow": ([4.0, 1.0], [1, 1]), "word": ([8.0, 0.0], [2, 0])}
+    one = lambda without: reading.features(["slow word"], reading._Lexicon(grades, 2), np.array([4.0]), np.array([0]), without)
+    # Without fold 0 nothing of the text itself is in the grades, so its own level is not taken out again.
+    assert np.allclose(one(0), reading.features(["slow word"], reading._Lexicon({"slow": ([1.0], [1])})))
+    assert not np.allclose(one(0), one(1))
+
+
 def test_reading_levels_follow_the_labels(spark):
     rng = random.Random(0)
     docs, labels = [], []
@@ -390,5 +398,9 @@ def test_reading_levels_follow_the_labels(spark):
     found = {r.id: r.reading_level for r in reading.reading_levels(d, "doc_id", "text", "source", spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")).collect()}
     assert set(found) == set(range(160))
     assert np.mean([found[i] == (4 if i % 2 else 1) for i in range(80, 160)]) > 0.95
+    seen = reading.reading_agreement(d, "doc_id", "text", "source", spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")).collect()
+    assert {r.source for r in seen} == {f"s{i}" for i in range(5)} and sum(r.labelled for r in seen) == 80 and min(r.agreement for r in seen) > 0.8
+    fewer = reading.reading_agreement(d, "doc_id", "text", "source", spark.createDataFrame(labels, "doc_id long, rater string, reading_level int"), max_labelled=40)
+    assert 20 <= sum(r.labelled for r in fewer.collect()) <= 60
     none = spark.createDataFrame([], "doc_id long, rater string, reading_level int")
     assert reading.reading_levels(d, "doc_id", "text", "source", none).count() == 0
