@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.words import LETTERS_DIGITS, WordHashes
-from tesserine.plans.scratch import materialise
+from tesserine.plans.scratch import discard, materialise
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,21 +97,60 @@ def plan_repetitions(length: int, max_edits: int, samples: int, recall: float, s
     return np.empty((1, 0), sampled.dtype)
 
 
-def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """Whether word sequence `a` is within `limit` edits of some prefix of `b` (`limit` words longer)."""
-    if limit == 0:
-        return len(b) >= len(a) and bool((a == b[: len(a)]).all())
-    row = np.arange(len(b) + 1)
-    for i in range(len(a)):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        change = row[:-1] + (b != a[i])
-        for j in range(len(b)):
-            new[j + 1] = min(change[j], row[j + 1] + 1, new[j] + 1)
+def edit_distances(items: np.ndarray, here: np.ndarray, lengths: np.ndarray, limit: int) -> np.ndarray:
+    """Edits between row i of `items` (m, n) and the nearest prefix of row i of `here` (m, n + limit).
+
+    Only the first `lengths[i]` words of a row of `here` exist. All pairs are computed at once, on the
+    diagonals that a distance of at most `limit` can reach; larger distances come out as larger.
+    """
+    m, n = items.shape
+    far = 2 * n + limit + 1
+    row = [np.full(m, k if k >= 0 else far) for k in range(-limit, limit + 1)]
+    for i in range(1, n + 1):
+        new = []
+        for k in range(-limit, limit + 1):
+            j = i + k
+            if j < 0:
+                best = np.full(m, far)
+            elif j == 0:
+                best = np.full(m, i)
+            else:
+                best = row[k + limit] + (items[:, i - 1] != here[:, j - 1])
+                if new:
+                    best = np.minimum(best, new[-1] + 1)
+            if k < limit and j >= 0:
+                best = np.minimum(best, row[k + limit + 1] + 1)
+            new.append(best)
         row = new
-        if row.min() > limit:
-            return False
-    return bool(row.min() <= limit)
+    return np.min([np.where(n + k <= lengths, r, far) for k, r in zip(range(-limit, limit + 1), row)], axis=0)
+
+
+class Windows:
+    """Windows of items of one length: their words and the keys of all samplings, sorted."""
+
+    BITS = 22
+
+    def __init__(self, words: np.ndarray, sampled: np.ndarray) -> None:
+        self.words, self.sampled = words, sampled
+        n = words.shape[1]
+        # Laid end to end: every n-th key is that of a whole window.
+        keys = window_keys(words.ravel(), n, sampled)[:, ::n].view(np.int64)
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.keys, self.owner = keys.ravel()[order], (order % len(words)).astype(np.int32)
+        self.marks = np.zeros(1 << self.BITS, bool)
+        self.marks[self.keys & ((1 << self.BITS) - 1)] = True
+
+    def proposed(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (column of `lines`, window) that share the key of some sampling."""
+        found = []
+        for line in lines.view(np.int64):
+            some = np.flatnonzero(self.marks[line & ((1 << self.BITS) - 1)])
+            low, high = (np.searchsorted(self.keys, line[some], side) for side in ("left", "right"))
+            times = high - low
+            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            found.append(np.repeat(some, times) * len(self.words) + self.owner[at])
+        both = np.unique(np.concatenate(found))
+        return both // len(self.words), both % len(self.words)
 
 
 def leaked_items(
@@ -123,20 +162,23 @@ def leaked_items(
     item_text: str,
     window: int = 12,
     max_edits: int = 0,
+    in_proportion: bool = False,
     samples: int = 10,
     recall: float = 0.95,
-    broadcast_windows: int = 500_000,
+    block_windows: int = 200_000,
     seed: int = 17,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, matched_windows): documents that hold a passage of an item.
+    """(doc_id, item_id, first_word, matched_windows, edits): documents that hold a passage of an item.
 
     A passage is `window` consecutive words of the item, or all its words if it has fewer, found in
-    the document with at most `max_edits` edited words; words are lower-cased runs of letters and
-    digits. Ids count once, null ids, null texts and texts without words have no row. With
-    `max_edits=0` nothing is missed; otherwise a passage at the limit is found with about `recall`.
+    the document with at most `max_edits` edited words (`in_proportion`: fewer for fewer words, rounded
+    down); `edits` is the least number. Words are lower-cased runs of letters and digits. Ids count
+    once, null ids, null texts and texts without words have no row. Equal passages collide in every
+    sampling, so none is missed; one at the limit of edits is found with about `recall`.
 
-    Windows of items are broadcast while there are at most `broadcast_windows` of them and joined by
-    their keys beyond that; either way every window of every document is looked up.
+    The windows of the items are the stated query set. About `block_windows` distinct ones at a time
+    are broadcast and all windows of all documents are looked up in one pass per block, so the corpus
+    is never shuffled.
     """
     spark = docs.sparkSession
 
@@ -155,101 +197,63 @@ def leaked_items(
 
     picked = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("id is not null and t is not null").distinct()
     windows = materialise(picked.mapInArrow(cut, "item long, size int, words binary").distinct())
-    distinct = materialise(windows.select("size", "words").distinct())
-    total = distinct.count()
-    lengths = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # at most `window` rows
-    plan = {n: plan_repetitions(n, max_edits, samples, recall, seed) for n in lengths}
+    distinct = windows.select("size", "words").distinct()
+    blocks = max(1, -(-distinct.count() // block_windows))
+    distinct = materialise(distinct.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))))
+    edits = {n: max_edits * n // window if in_proportion else max_edits for n in range(1, window + 1)}
 
-    def key_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for n in lengths:
-                of = np.flatnonzero(sizes == n)
-                # The windows laid end to end: every n-th key is that of a whole window.
-                line = np.frombuffer(b"".join(raws[i] for i in of), np.uint64)
-                for per_sampling in window_keys(line, n, plan[n])[:, ::n]:
-                    keys.append(per_sampling)
-                    rows.append(of)
-            at = np.concatenate(rows)
-            texts = [raws[i] for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(sizes[at], pa.int32()), pa.array(texts, pa.binary())], ["key", "size", "words"])
-
-    keyed = distinct.mapInArrow(key_items, "key long, size int, words binary")
-    small = total <= broadcast_windows
-    known = None
-    if small:
-        rows = keyed.collect()
-        order = np.argsort(np.array([r["key"] for r in rows], dtype=np.int64), kind="stable") if rows else np.empty(0, int)
-        known = spark.sparkContext.broadcast((np.array([rows[i]["key"] for i in order], dtype=np.int64), [(rows[i]["size"], bytes(rows[i]["words"])) for i in order]))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = part.column(0).to_numpy()
-                split = [LETTERS_DIGITS.findall(t.lower()) for t in part.column(1).to_pylist()]
-                counts = np.array([len(s) for s in split])
-                words = hashes.of([w for s in split for w in s])
-                ends = np.cumsum(counts)
-                owner = np.repeat(np.arange(len(ids)), counts)
-                found_id, found_at, found_size, found_words, found_key = [], [], [], [], []
-                for n in lengths:
-                    keys = window_keys(words, n, plan[n])
-                    spots = np.flatnonzero(ends[owner[: keys.shape[1]]] - np.arange(keys.shape[1]) >= n)
-                    keys = keys[:, spots]
-                    for short in range(1, min(max_edits, n - 1) + 1):
-                        # With words missing, a passage may end with its document: filled up, its window has keys too.
-                        tails = ends[counts >= n - short] - (n - short)
-                        filled = np.zeros((len(tails), n), np.uint64)
-                        filled[:, : n - short] = words[tails[:, None] + np.arange(n - short)]
-                        if len(tails):
-                            keys = np.hstack([keys, window_keys(filled.ravel(), n, plan[n])[:, ::n]])
-                            spots = np.append(spots, tails)
-                    if not keys.size:
-                        continue
-                    for line in keys.view(np.int64):
-                        if not small:
-                            found_id += [ids[owner[spots]]]
-                            found_at += [spots - (ends - counts)[owner[spots]]]
-                            found_key += [line]
-                            found_words += [words[i : min(i + n + max_edits, ends[owner[i]])].tobytes() for i in spots]
+    def look_up(shared):  # noqa: ANN001, ANN202
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    ids = part.column(0).to_numpy()
+                    split = [LETTERS_DIGITS.findall(t.lower()) for t in part.column(1).to_pylist()]
+                    counts = np.array([len(s) for s in split])
+                    words = hashes.of([w for s in split for w in s])
+                    ends = np.cumsum(counts)
+                    owner = np.repeat(np.arange(len(ids)), counts)
+                    padded = np.append(words, np.zeros(2 * window + max_edits, np.uint64))
+                    for n, known in shared.value.items():
+                        keys = window_keys(words, n, known.sampled)
+                        spots = np.flatnonzero(ends[owner[: keys.shape[1]]] - np.arange(keys.shape[1]) >= n)
+                        keys = keys[:, spots]
+                        for short in range(1, min(edits[n], n - 1) + 1):
+                            # With words missing, a passage may end with its document: filled up, its window has keys too.
+                            tails = ends[counts >= n - short] - (n - short)
+                            filled = np.zeros((len(tails), n), np.uint64)
+                            filled[:, : n - short] = words[tails[:, None] + np.arange(n - short)]
+                            if len(tails):
+                                keys = np.hstack([keys, window_keys(filled.ravel(), n, known.sampled)[:, ::n]])
+                                spots = np.append(spots, tails)
+                        if not keys.size:
                             continue
-                        table, entries = known.value
-                        place = np.searchsorted(table, line)
-                        place[place == len(table)] = 0
-                        for k in np.flatnonzero(table[place] == line) if len(table) else ():
-                            i, p = spots[k], place[k]
-                            while p < len(table) and table[p] == line[k]:
-                                size, item = entries[p]
-                                here = words[i : min(i + size + max_edits, ends[owner[i]])]
-                                if size == n and edit_distance_within(np.frombuffer(item, np.uint64), here, max_edits):
-                                    found_id.append(ids[owner[i]])
-                                    found_at.append(i - (ends - counts)[owner[i]])
-                                    found_size.append(size)
-                                    found_words.append(item)
-                                p += 1
-                if small:
-                    yield pa.RecordBatch.from_arrays([pa.array(found_id, pa.int64()), pa.array(found_at, pa.int64()), pa.array(found_size, pa.int32()), pa.array(found_words, pa.binary())], ["doc", "at", "size", "words"])
-                else:
-                    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_id, found_at, found_key)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(found_words, pa.binary())], ["doc", "at", "key", "here"])
+                        column, which = known.proposed(np.ascontiguousarray(keys))
+                        for first in range(0, len(column), 100_000):
+                            at, win = spots[column[first : first + 100_000]], which[first : first + 100_000]
+                            here = padded[at[:, None] + np.arange(n + edits[n])]
+                            far = edit_distances(known.words[win], here, ends[owner[at]] - at, edits[n])
+                            ok = far <= edits[n]
+                            at, win, far = at[ok], win[ok], far[ok]
+                            if not len(at):
+                                continue
+                            fields = [pa.array(ids[owner[at]]), pa.array((at - (ends - counts)[owner[at]]).astype(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array([known.words[w].tobytes() for w in win], pa.binary()), pa.array(far.astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays(fields, ["doc", "at", "size", "words", "edits"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("t")).where("id is not null and t is not null")
-    if small:
-        hits = texts.mapInArrow(look, "doc long, at long, size int, words binary")
-    else:
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sides = zip(batch.column("words").to_pylist(), batch.column("here").to_pylist())
-                keep = [edit_distance_within(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), max_edits) for a, b in sides]
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["doc", "at", "size", "words"])
+        return look
 
-        joined = texts.mapInArrow(look, "doc long, at long, key long, here binary").join(keyed, "key")
-        hits = joined.select("doc", "at", "size", "words", "here").mapInArrow(verify, "doc long, at long, size int, words binary")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("t")).where("id is not null and t is not null")
+    hits = None
+    for block in range(blocks):
+        by_size: dict[int, list[bytes]] = {}
+        for row in distinct.where(F.col("block") == block).collect():  # about block_windows rows
+            by_size.setdefault(row["size"], []).append(bytes(row["words"]))
+        known = {n: Windows(np.frombuffer(b"".join(sorted(rows)), np.uint64).reshape(-1, n), plan_repetitions(n, edits[n], samples, recall, seed)) for n, rows in sorted(by_size.items())}
+        part = texts.mapInArrow(look_up(spark.sparkContext.broadcast(known)), "doc long, at long, size int, words binary, edits int")
+        hits = part if hits is None else hits.unionByName(part)
+    discard(distinct)
     # The same passage may belong to many items: it is reduced per document before items join in.
-    passages = hits.groupBy("doc", "size", "words").agg(F.min("at").alias("at"), F.count_distinct("at").alias("n"))
-    pairs = passages.join(windows, ["size", "words"])
-    return pairs.groupBy("doc", "item").agg(F.min("at").alias("first_word"), F.sum("n").alias("matched_windows")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "matched_windows")
+    passages = hits.groupBy("doc", "size", "words").agg(F.min("at").alias("at"), F.count_distinct("at").alias("n"), F.min("edits").alias("edits"))
+    pairs = passages.join(windows, ["size", "words"]).groupBy("doc", "item").agg(F.min("at").alias("first_word"), F.sum("n").alias("matched_windows"), F.min("edits").alias("edits"))
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "matched_windows", "edits")

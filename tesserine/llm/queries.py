@@ -74,7 +74,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship_package(spark)
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
-    return leaked_items(docs, "doc_id", "text", items, "item_id", "text", window=12, max_edits=0).select("doc_id", "item_id")
+    found = leaked_items(docs, "doc_id", "text", items, "item_id", "text", window=12, max_edits=1, in_proportion=True)
+    return found.where("edits = 0").select("doc_id", "item_id")  # the cases are passages that stand as they are
+
+
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with an edited word in a passage, beside the equal ones of `p8_found`."""
+    from tesserine.llm.leaks import leaked_items
+
+    ship_package(spark)
+    docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text", window=12, max_edits=1, in_proportion=True).where("edits > 0").select("doc_id", "item_id", "edits")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +103,7 @@ def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p9_found": p9_found, "p9_agreement": p9_agreement}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_agreement": p9_agreement}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -192,8 +192,8 @@ def test_leaks_match_brute_force(spark):
             if d is not None and any(tuple(w[j : j + n]) in grams for j in range(len(w) - n + 1)):
                 expected.add((d, i))
     d, s = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "id long, t string")
-    for limit in (500_000, 0):
-        found = leaks.leaked_items(d, "id", "t", s, "id", "t", broadcast_windows=limit)
+    for limit in (500_000, 20):
+        found = leaks.leaked_items(d, "id", "t", s, "id", "t", block_windows=limit)
         assert {(r.doc_id, r.item_id) for r in found.collect()} == expected
     assert leaks.leaked_items(d.limit(0), "id", "t", s, "id", "t").count() == 0
     assert leaks.leaked_items(d, "id", "t", s.limit(0), "id", "t").count() == 0
@@ -217,8 +217,8 @@ def test_leaks_with_a_word_missing_at_the_end(spark):
     items = [(i, " ".join(f"q{rng.randrange(5000)}" for _ in range(12))) for i in range(60)]
     docs = [(i, " ".join(["before"] * 20 + t.split()[:10] + t.split()[11:])) for i, t in items]
     d, s = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "id long, t string")
-    for limit in (500_000, 0):
-        found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, broadcast_windows=limit).collect()}
+    for limit in (500_000, 20):
+        found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, block_windows=limit).collect()}
         assert found <= {(i, i) for i in range(60)} and len(found) >= 54
 
 
@@ -227,11 +227,33 @@ def test_repetitions_go_on_until_the_recall_is_reached(spark):
     assert leaks.plan_repetitions(2, 1, 10, 0.95, 17).shape == (1, 0)
     d = spark.createDataFrame([(1, "x alpha gamma"), (2, "x beta y"), (3, "z w")], "id long, t string")
     s = spark.createDataFrame([(7, "alpha beta")], "id long, t string")
-    for limit in (500_000, 0):
-        found = leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, broadcast_windows=limit)
+    for limit in (500_000, 20):
+        found = leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, block_windows=limit)
         assert {r.doc_id for r in found.collect()} == {1, 2}
 
 
+def test_edit_distances_match_a_plain_table():
+    rng = np.random.default_rng(8)
+    items, here, lengths = rng.integers(1, 4, (300, 6)).astype(np.uint64), rng.integers(1, 4, (300, 8)).astype(np.uint64), rng.integers(4, 9, 300)
+    here[:100, :6] = items[:100]
+    found = leaks.edit_distances(items, here, lengths, 2)
+    for a, b, n, d in zip(items.tolist(), here.tolist(), lengths, found):
+        row = list(range(n + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j in range(1, n + 1):
+                new.append(min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[-1] + 1))
+            row = new
+        assert min(d, 3) == min(min(row), 3)
+
+
+def test_leaks_with_edits_in_proportion(spark):
+    d = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7 zz a9 a10 a11 a12 b"), (2, "x k1 zz k3 k4"), (3, "k1 k2 k3 k4")], "id long, t string")
+    s = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12"), (2, "k1 k2 k3 k4")], "id long, t string")
+    found = leaks.leaked_items(d, "id", "t", s, "id", "t", max_edits=1, in_proportion=True, recall=0.999)
+    assert {(r.doc_id, r.item_id, r.edits) for r in found.collect()} == {(1, 1, 1), (3, 2, 0)}
+
+
 def test_equal_windows_have_equal_keys():
     rng = np.random.default_rng(2)
     own = rng.integers(0, 2**63, 12).astype(np.uint64)
