@@ -53,6 +53,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "cluster_head", "typical_id")
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per cluster: size, most typical member, and the member of its densest cell."""
+    from tesserine.llm.clusters import similarity_clusters
+
+    ship_package(spark)
+    found = similarity_clusters(load(spark, sf_dir, "repo_docs"), "id", "embedding", threshold=0.9, min_size=3, describe=True)
+    return found.select("cluster_head", "cluster_size", "typical_id", "densest_id", "densest_rows").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm.documented import function_pairs
 
@@ -103,7 +112,7 @@ def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_agreement": p9_agreement}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_agreement": p9_agreement}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,10 +111,35 @@ def test_clusters_match_brute_force(spark, block_rows):
             means = np.round((scores[np.ix_(own, own)].sum(axis=1) - 1) / (len(own) - 1), 7)
             typical = own[min(range(len(own)), key=lambda i: (-means[i], own[i]))]
             expected |= {i + 1: (head + 1, typical + 1) for i in own}
-    found = clusters.similarity_clusters(spark.createDataFrame(table, SCHEMA), "id", "v", block_rows=block_rows, cell_rows=64, recall=0.9999)
+    found = clusters.similarity_clusters(spark.createDataFrame(table, SCHEMA), "id", "v", block_rows=block_rows, recall=0.9999)
     assert {r.id: (r.cluster_head, r.typical_id) for r in found.collect()} == expected
 
 
+def test_links_of_a_crowded_cell_tie_what_all_pairs_tie():
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    rows = np.concatenate([centre + 0.25 * rng.standard_normal((900, 64)), centre + 0.6 * rng.standard_normal((300, 64)), rng.standard_normal((100, 64))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = rng.permutation(len(rows)) + 1
+    zero = np.zeros(len(rows), int)
+    a, b, sure = clusters.link_cell(clusters.shortened(rows), ids, zero, zero, 0.9)
+    at = np.empty(len(ids) + 1, int)
+    at[ids] = np.arange(len(ids))
+    keep = sure | (np.round((rows[at[a]] * rows[at[b]]).sum(axis=1), 9) >= 0.9)
+    x, y = np.nonzero(np.triu(np.round(rows @ rows.T, 9) >= 0.9, 1))
+    whole = clusters._merge(np.arange(len(ids)), x, y)
+    assert (clusters._merge(np.arange(len(ids)), at[a[keep]], at[b[keep]]) == whole).all()
+    assert len(a) < len(x) / 20
+
+
+def test_clusters_tell_the_member_of_their_densest_cell(spark):
+    rows, table = vectors(2)
+    df = spark.createDataFrame(table, SCHEMA)
+    plain = {r.id: r.cluster_head for r in clusters.similarity_clusters(df, "id", "v", recall=0.9999).collect()}
+    for r in clusters.similarity_clusters(df, "id", "v", recall=0.9999, describe=True).collect():
+        assert plain[r.id] == plain[r.densest_id] == r.cluster_head and 1 <= r.densest_rows <= r.cluster_size
+
+
 def test_clusters_of_an_empty_table(spark):
     assert clusters.similarity_clusters(spark.createDataFrame([], SCHEMA), "id", "v").count() == 0
 
