@@ -1,9 +1,11 @@
 """Files that nobody wrote by hand: belief propagation over directory trees.
 
-Every file has evidence from its text and name, every directory from its name. A tree of
-directories per repository ties them together: parents and children tend to share a label. Sum-
-product messages go up and down once, which is exact on a tree; each level is one aggregation, so
-no repository or directory ever has to fit into a task.
+Every file has evidence from its text and name, every directory from its name: how telling a name
+is is estimated from the marked files below all directories of that name, and conventional names
+begin with pseudo-files. A tree of directories per repository ties them together: parents and
+children tend to share a label, and files written by hand can overrule the name of their
+directory. Sum-product messages go up and down once, which is exact on a tree; each level is one
+aggregation, so no repository or directory ever has to fit into a task.
 """
 
 from __future__ import annotations
@@ -47,8 +49,12 @@ _SHORT_CODE = re.compile(r"\b(?:function \w{1,2}\(|var \w{1,2}[=,;]|let \w{1,2}[
 _BREAKS = re.compile(r"\r\n|\r|\n")
 
 
-def file_evidence(name: str, text: str | None) -> list[float]:
-    """Log evidence of a file for each label, from its name and every line of its text (None: not there)."""
+def file_evidence(name: str, text: str | None, named: bool = False) -> list[float]:
+    """Log evidence of a file for each label, from its name and every line of its text (None: not there).
+
+    A plain text speaks a little for handwriting, but not below a conventional directory (`named`):
+    copies of other people's code look like it.
+    """
     h, g, m, v, b = 0.0, 0.0, 0.0, 0.0, 0.0
     if _GENERATED_NAME.search(name):
         g += 7
@@ -69,7 +75,8 @@ def file_evidence(name: str, text: str | None) -> list[float]:
     elif size > 120 and (digits > 0.18 and words <= max(2, len(lines) // 20) or long_share > 0.5 and blanks < 0.03 and words < 4):
         b += 10
     else:
-        g, m, v, b = g - 0.9, m - 6, v - 0.9, b - 6
+        plain = 0.55 if named else 0.9  # 0.55 leaves the labels of _FILES as likely as they are
+        g, m, v, b = g - plain, m - 6, v - plain, b - 6
     for line in lines:  # marks stand at the head, below licences of any length or at the foot
         if not _COMMENT.match(line):
             continue
@@ -95,8 +102,10 @@ _FILES = np.log(
         ]
     )
 )
-# Ordinary names and plain texts are as likely below a vendored directory as elsewhere: they carry no evidence.
-_SPECIAL, _ROOT = 14.0, 9.0
+# The top of a repository is its own. A conventional name counts as this many files with marks, and what any
+# other name may say is bounded: ordinary names are as likely below a vendored directory as elsewhere.
+_ROOT, _LISTED, _MOST = 20.0, 1000.0, 3.0
+_MARK = 5.0  # evidence of a file that counts when names are estimated
 
 
 def _send(df: DataFrame, values: list[Column], prefix: str, table: np.ndarray) -> DataFrame:
@@ -115,12 +124,25 @@ def _named(columns: list[Column], prefix: str) -> list[Column]:
     return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
 
-def _dir_prior(path: str) -> list[Column]:
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    top = F.col(path) == ""
-    special = [F.lit(False), name.isin(GENERATED_DIRS), name.isin(MINIFIED_DIRS), name.isin(VENDORED_DIRS), F.lit(False)]
-    h = F.when(top, F.lit(_ROOT)).otherwise(F.lit(0.0))
-    return [h] + [F.when(special[i] & ~top, F.lit(_SPECIAL)).otherwise(F.lit(0.0)) for i in range(1, 5)]
+def name_evidence(judged: DataFrame) -> DataFrame:
+    """(name, p1..p4): log evidence of a directory's name for each label against handwritten.
+
+    Over all directories of a name, files with strong marks for a label stand against those with
+    marks of being handwritten; below a name that is not conventional the files without any mark
+    count as handwritten too. Names that say nothing are left out.
+    """
+    marks = [(F.col(f"e{i}") >= _MARK) & (F.col(f"e{i}") > F.col("e0")) for i in range(1, 5)]
+    parts = judged.where("dir <> ''").select(F.explode(F.array_distinct(F.split(F.lower("dir"), "/"))).alias("name"), (F.col("e0") >= 4).alias("h"), *[m.alias(f"m{i}") for i, m in enumerate(marks, 1)])
+    counts = parts.groupBy("name").agg(F.count("*").alias("n"), F.count_if("h").alias("h"), *[F.count_if(f"m{i}").alias(f"m{i}") for i in range(1, 5)])
+    listed = [F.lit(False), F.col("name").isin(GENERATED_DIRS), F.col("name").isin(MINIFIED_DIRS), F.col("name").isin(VENDORED_DIRS), F.lit(False)]
+    conventional = listed[1] | listed[2] | listed[3]
+    values = []
+    for i in range(1, 5):
+        known = F.when(listed[i], F.log((F.col(f"m{i}") + _LISTED) / (F.col("h") + 1))).otherwise(F.lit(0.0))
+        learned = F.greatest(F.lit(0.0), F.least(F.lit(_MOST), F.log((F.col(f"m{i}") + 0.1) / (F.col("n") - F.col(f"m{i}") + 1))))
+        values.append(F.when(conventional, known).otherwise(learned).alias(f"p{i}"))
+    named = counts.select("name", *values, conventional.alias("conventional"))
+    return named.where("conventional or greatest(p1, p2, p3, p4) > 0")
 
 
 def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str, copy_repos: int = 4, copy_lines: int = 10) -> DataFrame:
@@ -131,13 +153,14 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     directories as evidence; null repositories or paths have no row; rows delivered twice count
     once (the greatest content wins). An empty table gives an empty result.
     """
-    spark = files.sparkSession
+    conventional = frozenset(GENERATED_DIRS + MINIFIED_DIRS + VENDORED_DIRS)
     one = files.select(F.col(repo_col).cast("long").alias("repo"), F.col(path_col).alias("path"), F.col(content_col).alias("text")).where("repo is not null and path is not null")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, texts = batch.column("path").to_pylist(), batch.column("text").to_pylist()
-            marks = np.array([file_evidence(re.split(r"[/\\]", p)[-1], t) for p, t in zip(paths, texts)]).reshape(-1, 5)
+            split = [re.split(r"[/\\]", p) for p in paths]
+            marks = np.array([file_evidence(s[-1], t, not conventional.isdisjoint(x.lower() for x in s[:-1])) for s, t in zip(split, texts)]).reshape(-1, 5)
             plain = ["\n".join(_BREAKS.split(t)).strip() if t else "" for t in texts]
             lines = [t.count("\n") + 1 for t in plain]
             fields = [batch.column("repo"), batch.column("path"), *(pa.array(marks[:, i]) for i in range(5)), pa.array(lines, pa.int32())]
@@ -155,19 +178,7 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     # Messages of the files to their directories are needed on the way up and down: computed once.
     known = materialise(_send(known, [F.col(f"e{i}") for i in range(5)], "u", _FILES))
 
-    parts = F.split("dir", "/")
-    prefixes = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
-    dirs = known.select("repo", "dir").distinct().select("repo", F.explode(prefixes).alias("dir")).distinct()
-    depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/")))
-    parent = F.when(F.col("dir") == "", F.lit(None).cast("string")).otherwise(F.regexp_extract("dir", "^(.*)/[^/]*$", 1))
-    up = known.select("repo", "dir", *[f"u{i}" for i in range(5)])
-    sums = [F.sum(f"u{i}").alias(f"u{i}") for i in range(5)]
-    own = [F.coalesce(f"u{i}", F.lit(0.0)) + p for i, p in enumerate(_dir_prior("dir"))]
-    nodes = dirs.join(up.groupBy("repo", "dir").agg(*sums), ["repo", "dir"], "left")
-    # A directory named for its contents heads a tree of its own: its label does not depend on the parent's.
-    name = F.lower(F.element_at(F.split("dir", "/"), -1))
-    own_tree = (F.col("dir") != "") & name.isin(GENERATED_DIRS + MINIFIED_DIRS + VENDORED_DIRS)
-    nodes = materialise(nodes.select("repo", "dir", depth.alias("depth"), parent.alias("parent"), F.when(own_tree, 0.0).otherwise(1.0).alias("tied"), *_named(own, "b")))
+    nodes = materialise(_tree(known, materialise(name_evidence(judged))))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return known.select("repo", "path", F.lit("").alias("label"), F.lit(0.0).alias("belief"))
@@ -184,8 +195,8 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     for d in range(1, deepest + 1):  # down
         heads = above.toDF("repo", "parent", *[f"p{i}" for i in range(5)])
         joined = levels[d].join(heads, ["repo", "parent"])
-        joined = _send(joined, [F.col(f"p{i}") - F.col(f"m{i}") for i in range(5)], "g", _DIRS.T)
-        above = materialise(joined.select("repo", "dir", *_named([F.col(f"b{i}") + F.col(f"g{i}") * F.col("tied") for i in range(5)], "b")))
+        joined = _send(joined, [F.col(f"p{i}") - F.col(f"m{i}") * F.col("tied") for i in range(5)], "g", _DIRS.T)
+        above = materialise(joined.select("repo", "dir", *_named([F.col(f"b{i}") + F.col(f"g{i}") for i in range(5)], "b")))
         beliefs.append(above)
     whole = beliefs[0]
     for level in beliefs[1:]:
@@ -199,6 +210,37 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     return final.withColumn("best", best).select("repo", "path", F.col("best.label").alias("label"), share.alias("belief"))
 
 
+def _prefixes(path: str) -> Column:
+    """The directories above and at `path`; the top is ''."""
+    parts = F.split(path, "/")
+    inner = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.col(path) == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), inner))
+
+
+def _tree(known: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, dir, depth, parent, tied, b0..b4): the directories that matter, with their own evidence.
+
+    A run of directories that hold nothing but one another counts as one, so the number of levels
+    follows the branching and not the length of the paths. A conventional name explains its
+    directory: nothing is concluded from it about the directory above (tied 0).
+    """
+    own = known.groupBy("repo", "dir").agg(*[F.sum(f"u{i}").alias(f"u{i}") for i in range(5)])
+    every = own.select("repo", F.explode(_prefixes("dir")).alias("dir")).distinct()
+    above = F.regexp_extract("dir", "^(?:(.*)/)?[^/]*$", 1)
+    forks = every.where("dir <> ''").groupBy("repo", above.alias("dir")).agg(F.count("*").alias("below"))
+    last = F.lower(F.element_at(F.split("dir", "/"), -1))
+    nodes = every.join(own, ["repo", "dir"], "left").join(forks, ["repo", "dir"], "left")
+    nodes = nodes.withColumn("name", F.when(F.col("dir") != "", last)).join(names, "name", "left")
+    nodes = nodes.where("dir = '' or u0 is not null or below > 1 or p1 is not null")
+    top = F.when(F.col("dir") == "", F.lit(_ROOT)).otherwise(F.lit(0.0))
+    own_b = [F.coalesce("u0", F.lit(0.0)) + top] + [F.coalesce(f"u{i}", F.lit(0.0)) + F.coalesce(f"p{i}", F.lit(0.0)) for i in range(1, 5)]
+    nodes = materialise(nodes.select("repo", "dir", F.when(F.coalesce("conventional", F.lit(False)), 0.0).otherwise(1.0).alias("tied"), *_named(own_b, "b")))
+    up = nodes.where("dir <> ''").select("repo", F.col("dir").alias("child"), F.explode(_prefixes("dir")).alias("dir")).where("dir <> child")
+    up = up.join(nodes.select("repo", "dir"), ["repo", "dir"]).groupBy("repo", "child").agg(F.count("*").cast("int").alias("depth"), F.max_by("dir", F.length("dir")).alias("parent"))
+    placed = nodes.join(up.withColumnRenamed("child", "dir"), ["repo", "dir"], "left")
+    return placed.select("repo", "dir", F.coalesce("depth", F.lit(0)).alias("depth"), "parent", "tied", *[f"b{i}" for i in range(5)])
+
+
 def hash_pair(text: str) -> bytes:
     """A 128-bit hash of a text."""
     import xxhash

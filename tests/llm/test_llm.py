@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import re
 import struct
@@ -345,6 +346,22 @@ def test_origins(spark):
     assert origins.label_files(df.limit(0), "repo", "path", "text").count() == 0
 
 
+def test_origin_files_overrule_a_name_and_names_are_learned(spark):
+    code = "import a\n\ndef f(x):\n    return g(x)\n"
+    own, mark = "# written by hand, see the notes\n" + code, "# Code generated by x. DO NOT EDIT.\n" + code
+    rows = [(1, f"gen/{i}.py", own) for i in range(3)] + [(1, "gen/plain.py", code), (2, "gen/plain.py", code), (2, "src/a.py", code)]
+    rows += [(r, f"stubs/{i}.py", mark) for r in range(3, 9) for i in range(3)] + [(3, "stubs/plain.py", code)]
+    rows += [(9, "/".join(f"d{i}" for i in range(200)) + "/x.py", code), (9, "/".join(f"d{i}" for i in range(100)) + "/third_party/y/z.py", code)]
+    df = spark.createDataFrame(rows, "repo long, path string, text string")
+    found = {(r.repo, r.path[-12:]): r.label for r in origins.label_files(df, "repo", "path", "text").collect()}
+    assert found[1, "gen/plain.py"] == "handwritten" and found[2, "gen/plain.py"] == "generated" and found[2, "src/a.py"] == "handwritten"
+    assert found[3, "ubs/plain.py"] == "generated"
+    assert [v for (r, _), v in sorted(found.items()) if r == 9] == ["handwritten", "vendored"]
+    judged = spark.createDataFrame([(1, "a/gen", 0.0, 9.0, 0.0, 0.0, 0.0)] * 4 + [(1, "a/gen", 4.0, 0.0, 0.0, 0.0, 0.0)] * 9, "repo long, dir string, e0 double, e1 double, e2 double, e3 double, e4 double")
+    names = {r.name: r for r in origins.name_evidence(judged).collect()}
+    assert set(names) == {"gen"} and names["gen"].p1 == pytest.approx(math.log(1004 / 10)) and names["gen"].p3 == 0
+
+
 def test_origin_marks_anywhere_in_the_text(spark):
     code = "import a\n\ndef f(x):\n    return g(x)\n" * 12
     licence = "".join(f"# Term {i} of the licence.\n" for i in range(40))
