@@ -3,7 +3,8 @@
 Texts are spread over shards by a hash, about `shard_rows` each. In a shard a BM25 inverted index returns, for the
 largest unused text, the unused texts most like it; they fill its container greedily, and what
 room is left goes to the largest unused texts that still fit. Containers that stay too empty are
-given back, and their texts go into fewer shards of the next round until one shard is left.
+given back, and their texts meet others in the shards of another round, as long as a round closes
+half of the texts that it takes. A shard never outgrows its size, and rounds are few.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ K1, B = 1.2, 0.75
 
 
 class _Cuts(dict):
-    """Token count (16 bits) and term hash (32 bits) of cut texts in one number."""
+    """Token count (31 bits) and term hash (32 bits) of cut texts in one number."""
 
     def __init__(self, vocabulary: str) -> None:
         super().__init__()
@@ -35,7 +36,7 @@ class _Cuts(dict):
         word = cut.strip().strip(".,;:!?()[]{}`\"'*#|>-").lower()
         term = xxhash.xxh32_intdigest(word) | 1 if len(word) > 2 else 0
         count = self.tokens[cut]
-        value = self[cut] = (term << 24) | min(count, (1 << 24) - 1)
+        value = self[cut] = (term << 31) | count
         return value
 
 
@@ -116,8 +117,12 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> list[list
     return containers
 
 
-def _packer(capacity: int, good_fill: float, last: bool, round_no: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """The function that packs one shard of one round."""
+def _packer(capacity: int, good_fill: float, smallest: int, last: bool, round_no: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The function that packs one shard of one round.
+
+    A container is good if it is full enough, or if it holds a single text beside which not even the
+    smallest of all texts has room.
+    """
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("id", "ascending"), ("piece", "ascending")])
@@ -128,7 +133,8 @@ def _packer(capacity: int, good_fill: float, last: bool, round_no: int) -> Calla
         for number, own in enumerate(fill(sizes, terms, capacity)):
             container[own] = base | number
             place[own] = np.arange(len(own))
-            good[own] = last or sizes[own].sum() >= good_fill * capacity
+            used = sizes[own].sum()
+            good[own] = last or used >= good_fill * capacity or (len(own) == 1 and capacity - used < smallest)
         out = table.select(["id", "piece", "first_token", "n_tokens", "terms"])
         for name, values in (("container_id", container), ("place", place), ("good", good)):
             out = out.append_column(name, pa.array(values))
@@ -162,8 +168,8 @@ def pack_texts(
             for text in batch.column(1).to_pylist():
                 found = _CUTS.findall(text)
                 values = np.fromiter(map(cuts.__getitem__, found), np.int64, len(found))
-                sizes.append(int((values & 0xFFFFFF).sum()))
-                names = values >> 24
+                sizes.append(int((values & 0x7FFFFFFF).sum()))
+                names = values >> 31
                 terms.append(names[names > 0].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary())], ["id", "n", "terms"])
 
@@ -175,16 +181,19 @@ def pack_texts(
 
     shape = "id long, piece int, first_token long, n_tokens long, terms binary, container_id long, place int, good boolean"
     done, round_no = None, 0
-    shards = max(1, -(-measured.count() // shard_rows))
+    total, smallest = items.agg(F.count("*"), F.min("n_tokens")).first()
     while True:
+        shards = max(1, -(-total // shard_rows))
         last = shards == 1
-
-        pack = _packer(capacity, good_fill, last, round_no)
+        pack = _packer(capacity, good_fill, smallest or 1, last, round_no)
         shard = F.pmod(F.xxhash64(F.lit(round_no), "id", "piece"), F.lit(shards)).alias("shard")
         packed = materialise(items.select(shard, "id", "piece", "first_token", "n_tokens", "terms").groupBy("shard").applyInArrow(pack, shape))
-        part = packed.where("good").select("id", "piece", "first_token", "n_tokens", "container_id", "place")
+        left, smallest = packed.where("not good").agg(F.count("*"), F.min("n_tokens")).first()
+        # Without progress another round would not help either: what it packed stays as it is.
+        last = last or left > total // 2
+        part = packed if last else packed.where("good")
+        part = part.select("id", "piece", "first_token", "n_tokens", "container_id", "place")
         done = part if done is None else done.unionByName(part)
-        if last:
+        if last or not left:
             return done
-        items = packed.where("not good").select("id", "piece", "first_token", "n_tokens", "terms")
-        shards, round_no = max(1, min(shards - 1, items.count() // shard_rows)), round_no + 1
+        items, total, round_no = packed.where("not good").select("id", "piece", "first_token", "n_tokens", "terms"), left, round_no + 1

@@ -2,6 +2,7 @@ import json
 import math
 import random
 import re
+from pathlib import Path
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tesserine.plans.scratch import shared_folder
 from tesserine.llm import clusters, documented, leaks, near_duplicates, neighbours, origins, packing, reading, tokens, trees, words
 from tesserine.llm.vectors import usable_vectors
 
@@ -413,6 +415,27 @@ def test_packing_table(spark):
     assert packing.pack_texts(df.limit(0), "id", "t").count() == 0
 
 
+def test_packing_ends_where_no_two_texts_fit(spark):
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(300)], "id long, t string")
+    before = len(list(Path(shared_folder(spark)[7:] + "/tesserine").glob("*")))
+    packed = packing.pack_texts(df, "id", "t", capacity=80, shard_rows=20)
+    tables = len(list(Path(shared_folder(spark)[7:] + "/tesserine").glob("*"))) - before
+    rows = packed.collect()
+    assert tables <= 6 and len(rows) == 300 and {r.id for r in rows} == set(range(300))
+    sums = {}
+    for r in rows:
+        sums[r.container_id] = sums.get(r.container_id, 0) + r.n_tokens
+    assert max(sums.values()) <= 80
+
+
+def test_long_cuts_keep_their_token_count():
+    cuts = packing._Cuts(tokens.VOCABULARY)
+    cuts.tokens = {"x": 20_000_000}
+    assert cuts["x"] & 0x7FFFFFFF == 20_000_000
+
+
 def test_neighbours_share_terms():
     terms = [np.array(t, dtype=np.uint32) for t in ([1, 2, 3], [1, 2, 9], [7, 8], [3, 5])]
     assert list(packing.Index(terms).neighbours(0, np.array([False, True, True, True]))) == [1, 3]
