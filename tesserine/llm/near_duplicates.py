@@ -1,9 +1,10 @@
 """Near-duplicate records by MinHash with Bayesian pruning of candidates, verified exactly.
 
-Records become sets of word shingles. Bands of MinHash values propose pairs; a pair's values are
-compared a few at a time, and it is dropped as soon as the posterior probability that its Jaccard
-similarity reaches the threshold falls below a tolerance. What is left is verified on the sets.
-Records with equal sets are one class until the end.
+Records become sets of word shingles. Bands of MinHash values propose pairs; the members of a
+crowded bucket, such as texts with the same notice, are proposed by the rarest shingles of their
+sets instead. A pair's values are compared a few at a time, and it is dropped as soon as the
+posterior probability that its Jaccard similarity reaches the threshold falls below a tolerance.
+What is left is verified on the sets. Records with equal sets are one class until the end.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.words import WORD, WordHashes, shingles
-from tesserine.plans.scratch import materialise
+from tesserine.operators.components import connected_components
+from tesserine.plans.scratch import discard, materialise
 
 STEP = 16  # MinHash values compared at a time
 
@@ -70,6 +72,7 @@ def near_duplicate_classes(
     bands: int = 56,
     compared: int = 112,
     tolerance: float = 1e-4,
+    crowd: int = 500,
     block_rows: int = 2000,
     seed: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +83,12 @@ def near_duplicate_classes(
     similar pair is either inside a class or between two linked classes. Ids count once (one of
     differing texts wins by its hash), null ids and texts of fewer than `min_words` words (default:
     one shingle) have no class, words are lower-cased runs of letters, digits and underscores, an
-    empty table gives empty results. Buckets beyond `block_rows` are compared block by block in
-    tasks of their own, none is capped.
+    empty table gives empty results.
+
+    In buckets of more than `crowd` classes not all pairs are compared. Their classes are joined on
+    the rarest part of their shingles, of which similar sets share at least one (prefix filtering), so
+    nothing is missed and what only a notice has in common is no candidate. Shingles shared by more
+    than `block_rows` classes are joined block by block in tasks of their own.
 
     With 56 bands of 4 values a pair right at 0.6 is missed with probability 4e-4; the tolerance
     adds at most 1e-4 for each of the comparisons. Until the end a class is its 64-bit hash, and
@@ -125,11 +132,7 @@ def near_duplicate_classes(
     size = (F.length("grams") / 8).cast("int").alias("size")
     slots = sketched.select("class", size, "keys").dropDuplicates(["class"]).select("class", "size", F.posexplode("keys").alias("band", "key"))
     slots = slots.withColumn("band", F.col("band").cast("byte"))
-    full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    full = materialise(full)
-    # The counts grow with the records, so they are merged, never broadcast.
-    slots = slots.join(full.hint("merge"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
-    small, large = slots.where("blocks = 1"), slots.where("blocks > 1")
+    full = materialise(slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     fits = F.expr(f"least(l.size, r.size) >= {threshold} * greatest(l.size, r.size)")
 
     def pairs(side: DataFrame, on: list[str], crossing: str) -> DataFrame:
@@ -137,12 +140,19 @@ def near_duplicate_classes(
         joined = left.join(right, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.class") < F.col("r.class"), fits])
         return joined.where(crossing).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
 
-    found = pairs(small.select("class", "size", "band", "key"), ["band", "key"], "true")
-    if full.where(F.col("n") > block_rows).limit(1).count():
-        large = large.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # The counts grow with the records, so they are merged, never broadcast.
+    found = pairs(slots.join(full.where(F.col("n") <= crowd).select("band", "key").hint("merge"), ["band", "key"]).select("class", "size", "band", "key"), ["band", "key"], "true")
+    crowded = full.where(F.col("n") > crowd)
+    if crowded.limit(1).count():
+        inside = slots.join(crowded.select("band", "key"), ["band", "key"], "left_semi").select("class").distinct()
+        rare = materialise(_rare_shingles(sketched.select("class", size, "grams").join(inside, "class", "left_semi").dropDuplicates(["class"]), threshold))
+        counts = rare.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+        rare = rare.join(counts.select("gram", "blocks").hint("merge"), "gram")
+        found = found.unionByName(pairs(rare.where("blocks = 1"), ["gram"], "true"))
+        large = rare.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         large = large.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-        found = found.unionByName(pairs(large, ["band", "key", "lo", "hi"], "l.lo = l.hi or l.own <> r.own"))
+        found = found.unionByName(pairs(large, ["gram", "lo", "hi"], "l.lo = l.hi or l.own <> r.own"))
     candidates = found.distinct()
     signed = sketched.select("class", "sign").dropDuplicates(["class"])
     sided = candidates.join(signed.toDF("a", "sign_a"), "a").join(signed.toDF("b", "sign_b"), "b")
@@ -174,7 +184,43 @@ def near_duplicate_classes(
     names = members.where("rep = id").select("class", "rep")
     links = links.where(exact).join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
     links = links.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "shared", "total")
-    return materialise(links), members.select("rep", "id")
+    links = materialise(links)
+    discard(sketched, full, left)
+    return links, members.select("rep", "id")
+
+
+def _rare_shingles(sets: DataFrame, threshold: float) -> DataFrame:
+    """(class, size, gram): of each set its rarest shingles, as many as leave out fewer than similar sets must share.
+
+    Two sets of at least `threshold` share threshold * size shingles or more, so the others of the
+    rarest-first order, and one more, always hold a common one.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                raws, sizes = part.column("grams").to_pylist(), part.column("size").to_numpy()
+                grams = np.frombuffer(b"".join(raws), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("class").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(grams)], ["class", "size", "gram"])
+
+    grams = sets.select("class", "size", "grams").mapInArrow(explode, "class long, size int, gram long")
+    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "gram"))
+    needed = F.col("size") - F.ceil(F.col("size") * F.lit(threshold - 1e-9)) + 1
+    return counted.withColumn("place", place).where((F.col("place") <= needed) & (F.col("df") > 1)).select("class", "size", "gram")
+
+
+def near_duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, links, group_id): one row per document.
+
+    class_id is the least id with an equal set, links the number of other classes that are similar to
+    its class, group_id the least id of all that links connect, directly or through others.
+    """
+    both = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    groups = connected_components(links, "rep_a", "rep_b").withColumnRenamed("node", "rep")
+    joined = members.join(both, "rep", "left").join(groups, "rep", "left")
+    return joined.select("id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("group_id"))
 
 
 def near_duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -34,6 +34,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per doc of repo_docs: its class, links and group, at the usual five words and 0.8."""
+    from tesserine.llm.near_duplicates import near_duplicate_classes, near_duplicate_groups
+
+    ship_package(spark)
+    links, members = near_duplicate_classes(load(spark, sf_dir, "repo_docs"), "id", "content", str, min_words=20, bands=28, compared=112)
+    return near_duplicate_groups(links, members)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm.origins import label_files
 
@@ -112,7 +121,7 @@ def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_agreement": p9_agreement}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_agreement": p9_agreement}
 
 
 def oracle_sql() -> dict[str, str]:

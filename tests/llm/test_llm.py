@@ -178,6 +178,27 @@ def test_near_duplicates_match_brute_force(spark, block_rows):
     assert found == jaccard_pairs(table, 0.6, 3, 20)
 
 
+@pytest.mark.parametrize("block_rows", [2000, 7])
+def test_texts_with_one_notice_are_joined_on_their_rare_shingles(spark, block_rows):
+    rng = random.Random(4)
+    notice = " ".join(f"n{i}" for i in range(60))
+    table = []
+    for i in range(40):
+        own = " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randrange(40)) for _ in range(30))
+        table += [(3 * i, notice + " " + own), (3 * i + 1, notice + " " + own + " more"), (3 * i + 2, own + " " + notice)]
+    df = spark.createDataFrame(table + [(500, table[0][1])], "id long, t string")
+    links, members = near_duplicates.near_duplicate_classes(df, "id", "t", threshold=0.6, shingle_words=3, min_words=20, crowd=3, block_rows=block_rows)
+    found = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(links, members).collect()}
+    expected = jaccard_pairs([(*r, "x") for r in table + [(500, table[0][1])]], 0.6, 3, 20)
+    assert found == expected
+    groups = {r.id: r for r in near_duplicates.near_duplicate_groups(links, members).collect()}
+    assert len(groups) == 121 and groups[500].class_id == 0
+    for a, b in expected:
+        assert groups[a].group_id == groups[b].group_id
+    classes = {r.class_id for r in groups.values()}
+    assert all(groups[c].links == sum(1 for a, b in expected if (a == c and b in classes) or (b == c and a in classes)) for c in classes)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     links, members = near_duplicates.near_duplicate_classes(spark.createDataFrame([], "id long, t string"), "id", "t")
     assert links.count() == 0 and members.count() == 0
