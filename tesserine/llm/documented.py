@@ -59,6 +59,10 @@ _RUBY_OPEN = re.compile(r"^\s*(?:def|class|module|if|unless|case|while|until|for
 _RUBY_END = re.compile(r"^\s*end\b")
 
 
+# What every signature of a language holds on its first line.
+_HINTS = {"python": "def", "javascript": "", "typescript": "", "java": "(", "go": "func", "ruby": "def", "rust": "fn"}
+
+
 class Function(NamedTuple):
     """One function with its documentation; lines count from 1 and include both ends."""
 
@@ -115,50 +119,95 @@ def _kinds(lines: list[str], language: str) -> list[str]:
     return kinds
 
 
-def _header_end(lines: list[str], start: int) -> int:
+_TEXTS = {
+    "python": re.compile(r"[rRbBuUfF]{0,2}(?:\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|#.*"),
+    "ruby": re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|(?<![\w$])#(?!\{).*"),
+    "rust": re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\[^']+|[^'\\])'|//.*|/\*.*?\*/"),
+    "javascript": re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|//.*|/\*.*?\*/"),
+}
+for _name in ("typescript", "java", "go"):
+    _TEXTS[_name] = _TEXTS["javascript"]
+
+
+_LONG = {"python": "", "ruby": "", "rust": "", "java": "", "javascript": "`", "typescript": "`", "go": "`"}
+_CLOSED_TRIPLE = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''")
+
+
+def _bare(lines: list[str], kinds: list[str], language: str) -> list[str]:
+    """The code of each line without strings and comments, '' for lines of other kinds."""
+    texts, mark = _TEXTS[language], _LONG[language]
+    found = []
+    for line, kind in zip(lines, kinds):
+        if kind != "code":
+            line = ""
+        elif language == "python" and _TRIPLE.search(line):
+            line = texts.sub("''", _TRIPLE.split(_CLOSED_TRIPLE.sub("''", line))[0])
+        else:
+            line = texts.sub("''", line)
+            if mark and mark in line:  # what is left of a text over several lines
+                line = line.partition(mark)[0]
+        found.append(line)
+    return found
+
+
+def _header_end(bare: list[str], start: int) -> int:
     """Index of the last line of a header that begins at `start`: where its brackets are closed."""
     depth = 0
-    for i in range(start, len(lines)):
-        depth += sum(lines[i].count(c) for c in "([") - sum(lines[i].count(c) for c in ")]")
+    for i in range(start, len(bare)):
+        depth += sum(map(bare[i].count, "([")) - sum(map(bare[i].count, ")]"))
         if depth <= 0:
             return i
     return start
 
 
-def _body_end(lines: list[str], kinds: list[str], start: int, head: int, language: str) -> int:
-    """Index of the last line of the body of the function whose header spans `start` to `head`."""
-    indent = len(lines[start]) - len(lines[start].lstrip())
-    last = head
-    if language == "python":
-        for i in range(head + 1, len(lines)):
-            if kinds[i] == "string":
-                last = i
-            elif kinds[i] == "code":
-                if len(lines[i]) - len(lines[i].lstrip()) <= indent:
-                    break
+def _body_ends(lines: list[str], kinds: list[str], bare: list[str], headers: dict[int, int], language: str) -> dict[int, int]:
+    """Of each header (first line -> last line) the index of the last line of its body, in one pass with a stack."""
+    ends: dict[int, int] = {}
+    stack: list[list[int]] = []  # first line and what closes it: an indentation or a depth
+    depth, last, opened = 0, 0, set()
+    for i, line in enumerate(lines):
+        if language == "python":
+            if kinds[i] == "code":
+                indent = len(line) - len(line.lstrip())
+                while stack and depth == 0 and indent <= stack[-1][1]:
+                    ends[stack.pop()[0]] = last
+                if i in headers:
+                    stack.append([i, indent])
+                depth = max(0, depth + sum(map(bare[i].count, "([{")) - sum(map(bare[i].count, ")]}")))
+            if kinds[i] in ("code", "string"):
                 last = i
-        return last
-    if language == "ruby":
-        stack = 0
-        for i in range(start, len(lines)):
-            if kinds[i] != "code":
-                continue
-            if _RUBY_END.match(lines[i]):
-                stack -= 1
-                if stack <= 0:
-                    return i
-            elif _RUBY_OPEN.search(lines[i]):
-                stack += 1
-        return len(lines) - 1
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
+            continue
         if kinds[i] != "code":
             continue
-        depth += lines[i].count("{") - lines[i].count("}")
-        opened = opened or "{" in lines[i]
-        if opened and depth <= 0:
-            return i
-    return len(lines) - 1
+        last = i
+        if i in headers:
+            stack.append([i, depth])
+        if language == "ruby":
+            if _RUBY_END.match(bare[i]):
+                depth -= 1
+                if stack and depth <= stack[-1][1]:
+                    ends[stack.pop()[0]] = i
+            elif _RUBY_OPEN.search(bare[i]):
+                depth += 1
+                if re.search(r"[;\s]end\s*$", bare[i]):  # opened and closed on one line
+                    depth -= 1
+                    if stack and stack[-1][0] == i:
+                        ends[stack.pop()[0]] = i
+            elif stack and stack[-1][0] == i and "=" in bare[i]:
+                ends[stack.pop()[0]] = i  # def of one expression
+            continue
+        if "{" in bare[i]:
+            opened.update(start for start, _ in stack)
+        depth += bare[i].count("{") - bare[i].count("}")
+        while stack:
+            start, level = stack[-1]
+            if depth <= level if start in opened else i >= headers[start] and bare[i].rstrip().endswith(";"):
+                ends[stack.pop()[0]] = i
+            else:
+                break
+    for start, _ in stack:
+        ends[start] = last
+    return ends
 
 
 def _comment_above(lines: list[str], kinds: list[str], start: int, language: str) -> str:
@@ -214,16 +263,18 @@ def documented_functions(source: str | None, language: str) -> list[Function]:
         return []
     lines = _BREAKS.split(source)
     kinds = _kinds(lines, language)
-    signature, found = _SIGNATURES[language], []
+    signature, found, headers = _SIGNATURES[language], [], {}
+    bare: list[str] = []
     for i, line in enumerate(lines):
-        if kinds[i] != "code":
+        if kinds[i] != "code" or not (_HINTS[language] in line):
             continue
+        bare = bare or _bare(lines, kinds, language)
         m = signature.match(line)
-        if not m and "(" in line and line.count("(") > line.count(")") and language not in ("python", "go", "ruby", "rust"):
-            m = signature.match(" ".join(x.strip() for x in lines[i : _header_end(lines, i) + 1]))
+        if not m and "(" in line and bare[i].count("(") > bare[i].count(")") and language not in ("python", "go", "ruby", "rust"):
+            m = signature.match(" ".join(x.strip() for x in lines[i : _header_end(bare, i) + 1]))
         bodiless = None
         if not m and language in ("java", "typescript") and "(" in line:
-            end = _header_end(lines, i)
+            end = _header_end(bare, i)
             header = " ".join(x.strip() for x in lines[i : end + 1])
             below = end + 1
             while below < len(lines) and kinds[below] == "blank":
@@ -235,15 +286,20 @@ def documented_functions(source: str | None, language: str) -> list[Function]:
         name = next((g for g in m.groups() if g), None) if m else None
         if not name or name in _NOT_NAMES or line.split(None, 1)[0] in ("return", "new", "else", "throw", "await", "}"):
             continue
-        head = _header_end(lines, i)
+        head = _header_end(bare, i)
+        if not bodiless:
+            headers[i] = head  # every function belongs on the stack, documented or not
         texts = [plain_comment(_comment_above(lines, kinds, i, language))]
         if language == "python":
             texts.append(_string_below(lines, head).strip())
         described = [t for t in texts if t and not is_trivial(t, name)]
         if described:
-            last = head if bodiless else _body_end(lines, kinds, i, head, language)
-            found.append(Function(name, i + 1, last + 1, "\n".join(lines[i : last + 1]), "\n".join(described)))
-    return found
+            found.append((name, i, head, "\n".join(described)))
+    if not found:
+        return []
+    ends = _body_ends(lines, kinds, bare, headers, language)
+    spans = [(name, i, ends.get(i, head), described) for name, i, head, described in found]
+    return [Function(name, i + 1, last + 1, "\n".join(lines[i : last + 1]), described) for name, i, last, described in spans]
 
 
 def function_pairs(df: DataFrame, id_col: str, content_col: str, path_col: str) -> DataFrame:

@@ -327,6 +327,39 @@ def test_documented_functions():
     assert documented.documented_functions(None, "go") == documented.documented_functions("", "python") == []
 
 
+BODIES = {
+    "python": [
+        "# Gives back one opening brace.", "def f(a,", "  b='('):", "    x = [", "1, 2", "    ]", '    """', "text at the margin", '    """', "    def inner():", "        # Counts what is inside here.", "        return '{'", "", "    return x", "", "# Does the very next thing.", "def g(): return 1", "y = 2",
+    ],
+    "javascript": [
+        "// Gives back one opening brace.", "function f(a) {", '  if (a) { return "{"; } // {', "  const t = `{ ${a}", "  { in a template`;", "  return '}';", "}", "// Adds both of the numbers.", "const add = (a, b) => a + b;", "// Closes over what it gets.", "const k = (a) => {", "  return function () {", "    return a;", "  };", "};",
+    ],
+    "java": ["class A {", "  /** Gives back one opening brace. */", "  char f(int a)", "  {", "    char c = '{'; /* } */", '    String s = "\\"{";', "    return c;", "  }", "  /** Reads the one next row. */", "  abstract int g(int a);", "}"],
+    "go": ["// Load reads one opening brace.", "func Load(a int) string {", '\tif a > 1 { return "}" }', "\treturn `{`", "}", "// Save writes one closing brace.", "func Save() {", "}"],
+    "ruby": ["# Gives back one of them.", "def f(a)", "  if a", "    x = 'end'", "  end", "  a.each do |y|", "    puts y # do", "  end", "end", "# Gives the other one back.", "def g(a)", "  a", "end"],
+    "rust": ["/// Gives back one opening brace.", "fn f<'a>(x: &'a str) -> char {", "    if x == \"}\" { return '{'; }", "    match x { _ => '}' }", "}", "/// Gives back one other thing.", "fn g() {}"],
+}
+SPANS = {
+    "python": [("f", 2, 14), ("inner", 10, 12), ("g", 17, 17)], "javascript": [("f", 2, 7), ("add", 9, 9), ("k", 11, 15)], "java": [("f", 3, 8), ("g", 10, 10)],
+    "go": [("Load", 2, 5), ("Save", 7, 8)], "ruby": [("f", 2, 9), ("g", 11, 13)], "rust": [("f", 2, 5), ("g", 7, 7)],
+}
+
+
+@pytest.mark.parametrize("language", sorted(BODIES))
+def test_bodies_end_where_they_end(language):
+    lines = [x.replace("\\t", "\t") for x in BODIES[language]]
+    found = documented.documented_functions("\n".join(lines), language)
+    # The inner function has its comment inside the body, not above: it is not documented.
+    assert [(f.name, f.first_line, f.last_line) for f in found] == [x for x in SPANS[language] if x[0] != "inner"]
+    assert all(f.code == "\n".join(lines[f.first_line - 1 : f.last_line]) for f in found)
+
+
+def test_headers_of_many_lines():
+    parameters = ",\n".join(f"    a{i}=0" for i in range(60))
+    source = f'def long(\n{parameters}\n):\n    """Takes very many of them."""\n    return 1\n'
+    assert [(f.name, f.last_line, f.description) for f in documented.documented_functions(source, "python")] == [("long", 64, "Takes very many of them.")]
+
+
 def test_trivial_descriptions():
     assert documented.is_trivial("The scan safe label function.", "scanSafeLabel")
     assert documented.is_trivial("@param a the first of all", "f") and documented.is_trivial("fixme: all of this is wrong", "f")
