@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tesserine.operators import nested as N
 from tesserine.operators.nested import child_table, flatten_records, parse_record, record_rows, table_elements
 
 KEYS = ["sections", "anchors", "params"]
@@ -81,3 +83,48 @@ def test_every_listed_object_has_a_row(value):
 
     found = [r for r in record_rows(parsed, frozenset(), frozenset(["params"])) if r[5]]
     assert len(found) == count(parsed) and len({r[1] for r in found}) == len(found)
+
+
+def test_deep_records(spark):
+    deep = '{"a": ' * 3000 + '{"parts": [{"x": 1}, null, {"y": "z"}]}' + "}" * 3000
+    broken = deep[:-1]
+    lists = "[" * 5000 + "]" * 5000
+    df = spark.createDataFrame([(1, deep), (2, broken), (3, lists)], "id long, j string")
+    rows, schema = N.flatten_records(df, "id", {"j": "t.j"})
+    found = rows.where("repeated").select("record_id", "element", "fields").collect()
+    assert sorted((r.record_id, r.element, r.fields) for r in found) == [(1, "parts", '{"x": 1}'), (1, "parts", '{"y": "z"}')]
+    assert {r.element: r.table_reason for r in schema.collect()} == {"a": "recursive", "parts": "repeated"}
+
+
+@pytest.mark.parametrize("raw", ['{"a": [1, -2.5e3, true, false, null, "x\\u00e9", {}], "b": {"c": []}}', " [ ] ", '{"a":1', '{"a" 1}', "[1,]", "[1 2]", "nul", "{} {}", '{"a":NaN}', "01"])
+def test_the_deep_decoder_reads_what_the_plain_one_reads(raw):
+    def value(f):
+        try:
+            return f(raw)
+        except ValueError:
+            return ValueError
+
+    assert value(N._deep_decode) == value(N._plain_decode)
+
+
+def test_large_schema_graphs_give_the_same_tables(spark):
+    records = [{f"k{i}": {"shared": {"n": i}, "tree": {"l": {"tree": {"v": i}}}}, "list": [{"only": {"p": 1}}]} for i in range(12)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, j string")
+    plain, joined = N.flatten_records(df, "id", {"j": "t.j"}), N.flatten_records(df, "id", {"j": "t.j"}, max_edges=3)
+    for a, b in zip(plain, joined):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {r.element: r.table_reason for r in joined[1].where("table_reason <> 'inlined'").collect()} == {"shared": "shared", "tree": "recursive", "l": "recursive", "list": "repeated"}
+
+
+def test_nodes_on_cycles_of_any_length(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e"), ("f", "g"), ("x", "x"), ("y", "a"), (None, "a")] + [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)]
+    found = {r.node for r in N.on_cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert found == {"a", "b", "c", "e", "f", "x"} | {f"r{i}" for i in range(30)}
+
+
+def test_child_tables_take_their_fields_from_the_rows(spark):
+    df = spark.createDataFrame([(1, '{"list": [{"b": 1, "a": {"x": 2}}, {"position": "p"}]}')], "id long, j string")
+    rows, _ = N.flatten_records(df, "id", {"j": "t.j"})
+    table = N.child_table(rows, "t.j", "list")
+    assert table.columns == ["record_id", "row_path", "parent_path", "position", "a.x", "b", "position_"]
+    assert N.child_table(rows, "t.j", "list", max_columns=2).columns[-1] == "fields"
