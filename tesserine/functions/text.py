@@ -7,28 +7,34 @@ from pyspark.sql import functions as F
 
 # Languages by file ending.
 LANGUAGE_OF = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java",
-    "cpp": "cpp", "c": "c", "h": "c", "cs": "csharp", "go": "go", "rb": "ruby", "php": "php", "rs": "rust",
-    "swift": "swift", "kt": "kotlin", "html": "html", "css": "css", "json": "json",
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "java": "java", "c": "c",
+    "cpp": "cpp", "h": "c", "hpp": "cpp", "cs": "c_sharp", "go": "go", "rb": "ruby", "php": "php", "html": "html", "css": "css",
+    "rs": "rust", "swift": "swift", "kt": "kotlin",
 }
-# Kinds of files by ending; the first kind that fits wins.
+# Kinds of files by ending, and builds by name; the first kind that fits wins.
 KIND_OF = {
-    "source": ["py", "js", "jsx", "ts", "tsx", "java", "cpp", "c", "cs", "go", "rb", "php", "rs", "swift", "kt"],
+    "source": ["py", "js", "ts", "java", "c", "cpp", "cs", "go", "rb", "php", "rs", "swift", "kt"],
     "header": ["h", "hpp", "hxx"],
-    "config": ["json", "yaml", "yml", "toml", "ini", "cfg"],
-    "documentation": ["md", "rst", "txt", "adoc"],
-    "markup": ["html", "xml", "css"],
-    "build": ["gradle", "cmake", "mk", "make"],
+    "config": ["json", "xml", "yaml", "yml", "toml"],
+    "documentation": ["md", "rst", "txt"],
+    "markup": ["html", "css"],
+    "build": ["sh", "bat", "ps1"],
 }
-IGNORED_PARTS = [".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".idea", ".vscode"]
+BUILD_NAMES = ["makefile", "dockerfile", "jenkinsfile"]
+# Path components that are ignored; they are compared whole, so those with a star never fit a real name.
+IGNORED_PARTS = ["*.tmp", "*.log", "*.pyc", "__pycache__", "node_modules", ".git", ".env", "*.swp", "*.swo"]
 CUSTOM_LANGUAGES = ["ini", "plaintext", "editorconfig", "asciidoc", "cobalt", "env", "graphql", "nim", "ocaml"]
-TREE_LANGUAGES = ["python", "javascript", "typescript", "java", "go", "rust", "ruby", "c", "cpp", "csharp", "php", "html", "css", "json", "yaml", "sql"]
+TREE_LANGUAGES = ["python", "javascript", "typescript", "java", "go", "rust", "ruby", "c", "cpp", "c_sharp", "php", "html", "css", "json", "yaml", "sql"]
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.regexp_extract(F.translate(path, "\\", "/"), "([^/]*)$", 1)
 
 
 def extension(path: Column) -> Column:
-    """The lower-cased ending of the last path part, '' without one."""
-    name = F.regexp_extract(F.translate(path, "\\", "/"), "([^/]*)$", 1)
-    return F.lower(F.regexp_extract(name, "\\.([^.]*)$", 1))
+    """The lower-cased ending of the last path part, '' without one; a leading dot begins no ending."""
+    return F.lower(F.regexp_extract(base_name(path), "[^.].*\\.([^.]*)$", 1))
 
 
 def language_of(path: Column) -> Column:
@@ -44,7 +50,9 @@ def kind_of(path: Column) -> Column:
     """The kind of a file by its ending, 'other' otherwise."""
     found, ending = F.lit("other"), extension(path)
     for kind, endings in reversed(KIND_OF.items()):
-        found = F.when(ending.isin(endings), kind).otherwise(found)
+        fits = ending.isin(endings)
+        fits = fits | F.lower(base_name(path)).isin(BUILD_NAMES) if kind == "build" else fits
+        found = F.when(fits, kind).otherwise(found)
     return found
 
 
@@ -101,6 +109,13 @@ def heading_share(text: Column) -> Column:
     return heads / F.nullif(F.size(own), F.lit(0)).cast("double")
 
 
+def structure(text: Column) -> Column:
+    """Lines that begin with a hash per line; 0 for no lines."""
+    own = lines(text)
+    heads = F.size(F.filter(own, lambda x: F.ltrim(F.translate(x, "\t", " ")).startswith("#")))
+    return F.when(F.size(own) == 0, 0.0).otherwise(heads / F.size(own).cast("double"))
+
+
 def pattern_complexity(pattern: Column) -> Column:
     """A weight of a query text: length, captures, alternatives, repetitions, options, groups."""
     def times(c: str) -> Column:
@@ -121,23 +136,55 @@ def maintainability_index(cyclomatic: Column, cognitive: Column, loc: Column) ->
     return 171 - 5.2 * (cyclomatic / 10.0) - 0.23 * cognitive - 16.2 * (loc / 1000.0)
 
 
+# Classes of error messages by what they contain, in order.
+ERROR_CLASSES = [
+    ("syntax_error", ["syntax"]), ("timeout_error", ["timeout", "time limit"]), ("memory_error", ["memory"]), ("match_limit_error", ["match limit"]),
+    ("partial_match_error", ["partial"]), ("ambiguous_match_error", ["ambiguous"]), ("recursion_error", ["recursion"]),
+]
+# Messages that are worth another try, and messages that are not.
+RETRYABLE = [
+    "connection refused", "timeout", "timed out", "temporarily unavailable", "deadlock", "connection reset", "broken pipe", "overloaded", "too many connections",
+    "resource temporarily unavailable", "connection lost", "network error", "server unavailable", "service unavailable", "connection error", "socket error", "connection was reset",
+]
+NOT_RETRYABLE = [
+    "syntax error", "constraint", "invalid", "not found", "already exists", "schema", "authentication", "authorization", "permission", "type error", "value error",
+    "index error", "out of bounds", "null", "undefined",
+]
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether a text contains one of `words`."""
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
 def error_class(message: Column) -> Column:
-    """The first of a few known words in an error message, else 'other'."""
-    found, low = F.lit("other"), F.lower(message)
-    for word in reversed(["timeout", "syntax", "memory", "permission", "encoding", "deadlock", "connection", "parse"]):
-        found = F.when(F.contains(low, F.lit(word)), word).otherwise(found)
+    """The class of an error message by the first words it contains, else 'unknown_error'."""
+    found, low = F.lit("unknown_error"), F.lower(message)
+    for name, words in reversed(ERROR_CLASSES):
+        found = F.when(holds_any(low, words), name).otherwise(found)
     return found
 
 
-def is_retryable(message: Column) -> Column:
-    """Whether a failure is worth another try: refusals win over transient causes."""
+def is_retryable(message: Column, by_type: Column | None = None) -> Column:
+    """Whether a failure is worth another try: refusals win over transient causes, else the type of the error decides (default: no)."""
+    low = F.lower(message)
+    return F.when(holds_any(low, NOT_RETRYABLE), False).when(holds_any(low, RETRYABLE), True).otherwise(F.lit(False) if by_type is None else by_type)
+
+
+def transaction_error(message: Column, status: Column) -> Column:
+    """The class of a failed transaction: by its message, then by its status; null for other failures and for none."""
     low = F.lower(message)
-    return F.when(low.rlike("syntax|permission|denied|invalid|constraint"), False).otherwise(low.rlike("timeout|deadlock|connection|temporar|unavailable"))
+    of_status = F.when(status == "commit_failed", "commit").when(status == "rollback_failed", "rollback")
+    return F.when(F.contains(low, F.lit("deadlock")), "deadlock").when(F.contains(low, F.lit("timeout")), "timeout").when(message.isNotNull(), of_status)
 
 
-def backoff(attempt: Column, base: float, most: float) -> Column:
-    """Base doubled for each attempt, at most `most`."""
-    return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float, most: float, slow: Column | None = None, factor: float = 2.0) -> Column:
+    """Base doubled for each attempt, at most `most`; `slow` operations start from `factor` times the base."""
+    start = F.lit(base) if slow is None else F.when(slow, base * factor).otherwise(base)
+    return F.least(F.lit(most), start * F.pow(F.lit(2.0), attempt))
 
 
 def repo_name_of(url: Column) -> Column:
@@ -146,21 +193,23 @@ def repo_name_of(url: Column) -> Column:
 
 
 def status_of_rate(rate: Column) -> Column:
-    """'healthy', 'degraded', 'error' or 'critical' by an error rate."""
-    return F.when(rate == 0, "healthy").when(rate < 0.1, "degraded").when(rate < 0.3, "error").otherwise("critical")
+    """'ok', 'degraded', 'error' or 'critical' by an error rate."""
+    return F.when(rate == 0, "ok").when(rate < 0.1, "degraded").when(rate < 0.3, "error").otherwise("critical")
+
+
+# Naming conventions in order; a name needs what stands second, too.
+CONVENTIONS = {
+    "camelCase": ("^[a-z][a-zA-Z0-9]*$", "[A-Z]"), "snake_case": ("^[a-z][a-z0-9_]*$", "_"), "kebab-case": ("^[a-z][a-z0-9-]*$", "-"),
+    "PascalCase": ("^[A-Z][a-zA-Z0-9]*$", ""), "UPPER_CASE": ("^[A-Z][A-Z0-9_]*$", "_"), "lowercase": ("^[a-z][a-z0-9]*$", ""),
+}
 
 
 def naming_convention(name: Column) -> Column:
-    """One of six naming conventions, else 'mixed'."""
-    return (
-        F.when(name.rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"), "UPPER_CASE")
-        .when(name.rlike("^[a-z0-9]+(_[a-z0-9]+)+$"), "snake_case")
-        .when(name.rlike("^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab-case")
-        .when(name.rlike("^[a-z]+[a-z0-9]*([A-Z][a-z0-9]*)+$"), "camelCase")
-        .when(name.rlike("^([A-Z][a-z0-9]+)+$"), "PascalCase")
-        .when(name.rlike("^[a-z0-9]+$"), "lowercase")
-        .otherwise("mixed")
-    )
+    """One of six naming conventions, null for none; no name fits two of them."""
+    found = F.lit(None).cast("string")
+    for convention, (whole, held) in reversed(CONVENTIONS.items()):
+        found = F.when(name.rlike(whole) & name.rlike(held), convention).otherwise(found)
+    return found
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -178,7 +227,8 @@ def similar_content(a: Column, b: Column) -> Column:
     """Whether two texts differ by less than 30 % in length and share most characters or half their words."""
     gap = F.abs(F.length(a) - F.length(b)) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
     letters = jaccard(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
-    parts = jaccard(F.array_distinct(F.split(F.trim(a), "\\s+")), F.array_distinct(F.split(F.trim(b), "\\s+")))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)\\w+"), F.lit(0)))
+    parts = jaccard(words(a), words(b))
     return F.coalesce((gap < 0.3) & ((letters > 0.7) | (parts > 0.5)), F.lit(False))
 
 
@@ -189,9 +239,11 @@ def capped_mean(*parts: tuple[Column, float]) -> Column:
 
 
 def embedded_language(text: Column) -> Column:
-    """The first of python, java and javascript that a text names, else null."""
-    low = F.lower(text)
-    return F.when(F.contains(low, F.lit("python")), "python").when(low.rlike("java(?!script)"), "java").when(F.contains(low, F.lit("javascript")), "javascript")
+    """The first of python, java and javascript that a source block of a text names, else 'unknown'."""
+    found = F.lit("unknown")
+    for name in ("javascript", "java", "python"):
+        found = F.when(F.contains(text, F.lit(f"[source,{name}]")), name).otherwise(found)
+    return found
 
 
 def capture_names(text: Column) -> Column:
@@ -211,10 +263,83 @@ def path_prefixes(path: Column) -> Column:
     return F.when(F.size(inner) > 0, F.transform(F.sequence(F.lit(1), F.size(inner)), lambda n: F.array_join(F.slice(inner, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+# Classes of option names by the words they contain, in order.
+OPTION_CLASSES = {
+    "connection": ["host", "server", "url", "endpoint"], "authentication": ["user", "password", "auth", "token", "key", "secret"], "logging": ["log", "debug", "verbose", "trace"],
+    "filesystem": ["dir", "path", "file", "folder"], "connection_params": ["port", "timeout", "retry", "max", "min"], "feature_flags": ["enable", "disable", "toggle", "feature"],
+}
+
+
 def option_class(name: Column) -> Column:
-    """One of seven classes of an option name by the first word it contains, else 'other'."""
+    """One of six classes of an option name by the first words it contains, else 'other'."""
     found, low = F.lit("other"), F.lower(name)
-    classes = [("path", "path|dir|file|folder"), ("network", "host|port|url|address"), ("security", "password|secret|token|key|auth"), ("logging", "log|debug|level|trace"), ("limit", "max|min|limit|size|count"), ("time", "timeout|interval|delay|time"), ("switch", "enable|disable|use|flag")]
-    for kind, words in reversed(classes):
-        found = F.when(low.rlike(words), kind).otherwise(found)
+    for kind, words in reversed(OPTION_CLASSES.items()):
+        found = F.when(holds_any(low, words), kind).otherwise(found)
+    return found
+
+
+def testability(counts: Column, cyclomatic: Column) -> Column:
+    """From 0 to 100: half the share of comment lines and 50 over the cyclomatic complexity; null for no lines."""
+    ratio = counts["comment"] / F.nullif(counts["total"], F.lit(0))
+    return F.when(ratio.isNotNull(), F.least(F.lit(100.0), ratio * 50 + 50.0 / F.greatest(cyclomatic, F.lit(1))))
+
+
+def reusability(counts: Column, cognitive: Column, blocks: Column) -> Column:
+    """From 0 to 100: 40 by comment lines, 30 by cognitive complexity, 30 by blocks per line; null for no lines."""
+    total = F.nullif(counts["total"], F.lit(0))
+    value = counts["comment"] / total * 40 + 30.0 / F.greatest(cognitive, F.lit(1)) + 30 * (blocks / total)
+    return F.when(value.isNotNull(), F.least(F.lit(100.0), value))
+
+
+def query_complexity(pattern: Column) -> Column:
+    """A weight of a query text: a tenth of its length, two for a capture, five for an alternative."""
+    times = lambda c: F.length(pattern) - F.length(F.replace(pattern, F.lit(c), F.lit("")))
+    return F.length(pattern) * 0.1 + times("@") * 2 + times("|") * 5
+
+
+def needs_adapting(uses: Column, rate: Column) -> Column:
+    """Whether a pattern was used more than 10 times with a success rate below a half."""
+    return (uses > 10) & (rate < 0.5)
+
+
+def is_skipped(rate: Column, least: float = 0.2) -> Column:
+    """Whether a pattern is left out for a success rate below `least`; a pattern without a rate is not."""
+    return F.coalesce(rate < least, F.lit(False))
+
+
+def compatibility(language: Column, pattern: Column) -> Column:
+    """0.6 of the languages' and 0.4 of the patterns' agreement."""
+    return language * 0.6 + pattern * 0.4
+
+
+def weighted_confidence(parts: list[tuple[Column, float]]) -> Column:
+    """Weighted sum of the scores that are given, at most 1; null counts as 0."""
+    total = F.lit(0.0)
+    for score, weight in parts:
+        total = total + F.coalesce(score, F.lit(0.0)) * weight
+    return F.least(F.lit(1.0), total)
+
+
+def is_valid_span(first_line: Column, first_col: Column, last_line: Column, last_col: Column) -> Column:
+    """Whether a location runs forwards from a place that exists."""
+    return (first_line >= 0) & (last_line >= first_line) & (first_col >= 0) & (last_col >= first_col)
+
+
+# Categories of tree nodes by type.
+NODE_CATEGORIES = {
+    "documentation": ["comment", "docstring", "javadoc"], "dependencies": ["import", "include", "namespace", "module"], "syntax": ["function", "class", "method", "constructor"],
+    "semantics": ["type", "variable", "parameter"], "common_issues": ["error", "warning", "issue"], "user_patterns": ["pattern", "style", "convention"],
+}
+
+
+def node_category(node_type: Column) -> Column:
+    """The category of a tree node by its type, else 'code_patterns'."""
+    found = F.lit("code_patterns")
+    for category, types in NODE_CATEGORIES.items():
+        found = F.when(node_type.isin(types), category).otherwise(found)
     return found
+
+
+def source_key(text: Column, *parts: Column) -> Column:
+    """A key of a text for caches: the md5 of the text after the given parts."""
+    return F.concat_ws(":", *parts, F.md5(F.coalesce(text, F.lit(""))))

@@ -51,7 +51,7 @@ def repeat_count(kind: str, text: str) -> int:
     one begins below that line. Time grows with the text, whatever its lines hold.
     """
     own = text.split("\n")
-    ends = {"property": _property_ends, "key": _key_ends, "conflict": _conflict_ends, "name": _name_ends}[kind](own)
+    ends = {"property": _property_ends, "key": _key_ends, "conflict": _conflict_ends, "name": _name_ends, "attribute": _attribute_ends}[kind](own)
     n, i = 0, 0
     while i < len(own):
         end = ends(i)
@@ -69,6 +69,44 @@ def _name_ends(own: list[str]) -> Callable[[int], int | None]:
     return after.__getitem__
 
 
+def _attribute_ends(own: list[str]) -> Callable[[int], int | None]:
+    """Attributes of a document: what stands between two colons, up to where it is set again with its value."""
+    n = len(own)
+    solid = [n] * (n + 1)  # the next line that does not consist of blanks
+    for i in range(n - 1, -1, -1):
+        solid[i] = i if own[i].strip() else solid[i + 1]
+    heads: list[tuple[str, int, str] | None] = [None] * n  # name, line of its second colon, what follows there
+    places: dict[str, list[int]] = {}
+    for i, line in enumerate(own):
+        if not line.startswith(":"):
+            continue
+        name, stop = line[1:], i
+        while ":" not in name and stop + 1 < n:
+            stop += 1
+            name += "\n" + own[stop]
+        name, colon, rest = name.partition(":")
+        if name and colon:
+            heads[i] = name, stop, rest
+            for known in {name, name[:-1] if name.endswith("!") else name} - {""}:
+                places.setdefault(known, []).append(i)
+
+    def end(i: int) -> int | None:
+        if not heads[i]:
+            return None
+        name, stop, rest = heads[i]
+        last = stop if rest.strip() else min(solid[stop + 1], n - 1)  # the value may stand below
+        for known in (name, name[:-1]) if name.endswith("!") and len(name) > 1 else (name,):
+            same = places.get(known, [])
+            at = bisect.bisect_right(same, last)
+            again = same[at] if at < len(same) else last if last > stop and last in same[at - 1 : at] else None
+            if again is not None:
+                _, under, value = heads[again]
+                return under if value.strip() else min(solid[under + 1], n - 1)
+        return None
+
+    return end
+
+
 def _conflict_ends(own: list[str]) -> Callable[[int], int | None]:
     """Pinned names: up to the next line that pins the same name and does not begin with the same version."""
     found = [_NAME_VERSION.match(line) for line in own]
@@ -174,10 +212,11 @@ def pattern_matches(df: DataFrame, key: str, text: str, patterns: Mapping[str, s
         for batch in batches:
             keys, rows = [], []
             for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
+                breaks = [i for i, c in enumerate(t) if c == "\n"] if t else []
                 for name, pattern in compiled.items() if t else ():
                     for m in pattern.finditer(t):
                         keys.append(k)
-                        rows.append((name, m.start(), m.end(), t.count("\n", 0, m.start()) + 1, m[0], list(m.groups())))
+                        rows.append((name, m.start(), m.end(), bisect.bisect_left(breaks, m.start()) + 1, m[0], list(m.groups())))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "pattern", "first", "last", "line", "text", "groups"])
@@ -231,9 +270,10 @@ def decorated_functions(df: DataFrame, key: Sequence[str], text: str) -> DataFra
 
 
 def tree_nodes(df: DataFrame, key: str, tree: str) -> DataFrame:
-    """(key, node, parent, type, depth, first_row, text) of JSON syntax trees in pre-order.
+    """(key, node, parent, type, depth, first_row, text, children, place) of JSON syntax trees in pre-order.
 
-    Trees that are null or not valid JSON have no nodes; depth counts from 1.
+    Trees that are null or not valid JSON have no nodes; depth counts from 1, the place among the
+    children of the parent from 0.
     """
     import json
 
@@ -247,24 +287,24 @@ def tree_nodes(df: DataFrame, key: str, tree: str) -> DataFrame:
                     root = json.loads(raw) if raw else None
                 except ValueError:
                     root = None
-                stack, number = [(root, None, 1)], 0
+                stack, number = [(root, None, 1, 0)], 0
                 while stack:
-                    node, parent, depth = stack.pop()
+                    node, parent, depth, place = stack.pop()
                     if not isinstance(node, dict):
                         continue
                     start = node.get("start_point")
                     row = start[0] if isinstance(start, list) and start and isinstance(start[0], int) else None
                     text = node.get("text")
                     keys.append(k)
-                    rows.append((number, parent, str(node.get("type", "")), depth, row, text if isinstance(text, str) else None))
-                    below = node.get("children")
-                    stack.extend((c, number, depth + 1) for c in reversed(below if isinstance(below, list) else []))
+                    below = [c for c in node["children"] if isinstance(c, dict)] if isinstance(node.get("children"), list) else []
+                    rows.append((number, parent, str(node.get("type", "")), depth, row, text if isinstance(text, str) else None, len(below), place))
+                    stack.extend((c, number, depth + 1, i) for i, c in reversed(list(enumerate(below))))
                     number += 1
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "node", "parent", "type", "depth", "first_row", "text"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "node", "parent", "type", "depth", "first_row", "text", "children", "place"])
 
-    return df.select(key, tree).mapInArrow(walk, f"`{key}` {key_type}, node long, parent long, type string, depth long, first_row long, text string")
+    return df.select(key, tree).mapInArrow(walk, f"`{key}` {key_type}, node long, parent long, type string, depth long, first_row long, text string, children long, place long")
 
 
 DECISIONS = ["if_statement", "for_statement", "while_statement", "case_statement", "catch_clause", "conditional_expression"]
@@ -280,6 +320,157 @@ def tree_statistics(nodes: DataFrame, key: str) -> DataFrame:
     return stats.withColumn("cyclomatic", F.col("decisions") + 1).withColumn("cognitive", F.col("cyclomatic") * F.col("max_depth") / 3.0)
 
 
+FUNCTIONS = ["function_definition", "method_definition", "arrow_function"]
+CLASSES = ["class_definition", "class_declaration"]
+IMPORTS = ["import_statement", "import_declaration", "using_directive", "include_statement"]
+# Node types that count as a decision, and that nest when they have children.
+DECISION_POINTS = ["if_statement", "while_statement", "for_statement", "switch_statement", "case_statement", "conditional_expression", "ternary_expression", "&&", "||"]
+NESTING = ["if_statement", "for_statement", "while_statement", "function_definition", "method_definition", "class_definition", "try_statement", "catch_clause", "block"]
+_FEATURES = "node long, kind string, type string, name string, parts array<string>, first_line long, last_line long, decisions long, nesting long"
+
+
+def tree_features(df: DataFrame, key: str, tree: str) -> DataFrame:
+    """(key, node, kind, type, name, parts, first_line, last_line, decisions, nesting) of syntax trees.
+
+    kind is 'function', 'class' or 'import'. A name is the text of the first child that is an
+    identifier; without one a function is named by type, row and column, other nodes have null.
+    parts are the parameters of a function and the superclasses of a class. decisions counts the
+    decision points at and below the node, nesting the deepest chain of nesting nodes that have
+    children. Lines count from 1 and are null where the tree does not tell them. Trees that are
+    null or not valid JSON give no row. Deep trees are walked with a stack.
+    """
+    import json
+
+    key_type = df.schema[key].dataType.simpleString()
+    kinds = {t: k for k, types in (("function", FUNCTIONS), ("class", CLASSES), ("import", IMPORTS)) for t in types}
+    lists = {"function": ("parameter_list", "formal_parameters"), "class": ("extends_clause", "superclass", "argument_list")}
+    members = {"function": ("identifier", "parameter"), "class": ("identifier", "type_identifier")}
+    decides, nests = frozenset(DECISION_POINTS), frozenset(NESTING)
+
+    def point(node: dict, name: str) -> tuple[int | None, int | None]:
+        value = node.get(name)
+        good = isinstance(value, list) and len(value) == 2 and all(isinstance(x, int) for x in value)
+        return (value[0], value[1]) if good else (None, None)
+
+    def features(root: object) -> Iterator[tuple]:
+        nodes, parents, stack = [], [], [(root, -1)]
+        while stack:
+            node, parent = stack.pop()
+            if not isinstance(node, dict):
+                continue
+            below = node.get("children")
+            below = [c for c in below if isinstance(c, dict)] if isinstance(below, list) else []
+            nodes.append((node, str(node.get("type", "")), below))
+            parents.append(parent)
+            stack.extend((c, len(nodes) - 1) for c in reversed(below))
+        decisions, nesting = [0] * len(nodes), [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+            _, kind, below = nodes[i]
+            decisions[i] += kind in decides
+            nesting[i] = nesting[i] + (kind in nests) if below else 0
+            if parents[i] >= 0:
+                decisions[parents[i]] += decisions[i]
+                nesting[parents[i]] = max(nesting[parents[i]], nesting[i])
+        for i, (node, own, below) in enumerate(nodes):
+            kind = kinds.get(own)
+            if not kind:
+                continue
+            (row, column), (end, _) = point(node, "start_point"), point(node, "end_point")
+            name = next((c.get("text") for c in below if c.get("type") == "identifier"), None)
+            if kind == "function" and not name:
+                name = f"{own}_{'' if row is None else row}_{'' if column is None else column}"
+            inner = [x for c in below if c.get("type") in lists.get(kind, ()) for x in (c.get("children") if isinstance(c.get("children"), list) else [])]
+            parts = [str(x.get("text", "")) for x in inner if isinstance(x, dict) and x.get("type") in members[kind]]
+            yield i, kind, own, name, parts, None if row is None else row + 1, None if end is None else end + 1, decisions[i], nesting[i]
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    root = json.loads(raw) if raw else None
+                except (ValueError, RecursionError):
+                    continue
+                own = list(features(root))
+                keys += [k] * len(own)
+                rows += own
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, types))], [key, *(f.split()[0] for f in _FEATURES.split(", "))])
+
+    return df.select(key, tree).mapInArrow(extract, f"`{key}` {key_type}, {_FEATURES}")
+
+
+def node_relations(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node, type, parent_type, siblings, children) of the nodes of `tree_nodes`; a root has no parent type and no siblings."""
+    above = nodes.select(key, F.col("node").alias("parent"), F.col("type").alias("parent_type"), (F.col("children") - 1).alias("siblings"))
+    return nodes.join(above, [key, "parent"], "left").select(key, "node", "type", "parent_type", F.coalesce("siblings", F.lit(0)).alias("siblings"), "children")
+
+
+def block_spans(df: DataFrame, key: str, text: str, patterns: Mapping[str, str]) -> DataFrame:
+    """(key, block_type, first, last, content, errors): the text of every match, with what is wrong about it."""
+    found = pattern_matches(df, key, text, patterns).select(key, F.col("pattern").alias("block_type"), "first", "last", F.col("text").alias("content"))
+    return found.withColumn("errors", block_errors(F.col("block_type"), F.col("first"), F.col("last"), F.col("content")))
+
+
+def block_errors(kind: Column, first: Column, last: Column, content: Column, kinds: Sequence[str] | None = None) -> Column:
+    """What is wrong about a block: missing fields, an unknown type, bounds that do not run forwards or do not fit the content."""
+    checks = [F.when(c.isNull(), F.lit(f"Missing required field: {n}")) for n, c in (("type", kind), ("start", first), ("end", last), ("content", content))]
+    if kinds is not None:
+        checks.append(F.when(~kind.isin(list(kinds)), F.concat(F.lit("Unsupported block type: "), kind)))
+    checks.append(F.when(last <= first, F.lit("Invalid block boundaries")))
+    checks.append(F.when(F.length(content) != last - first, F.lit("Content length does not match boundaries")))
+    return F.array_compact(F.array(*checks))
+
+
+def chunked_matches(df: DataFrame, key: str, text: str, patterns: Mapping[str, str], size: int = 102_400) -> DataFrame:
+    """As `pattern_matches` on cuts of `size` characters, with places counted in the whole text; lines count inside the cut.
+
+    Matches across a cut are not found, which is the price of the cuts: texts that fit into memory
+    are better searched whole.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")))
+    cuts = df.where(F.length(text) > 0).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.explode(starts).alias("_n"))
+    cuts = cuts.select(F.struct("_k", "_n").alias("cut"), F.substring(F.col("_t"), F.col("_n") * size + 1, F.lit(size)).alias("t"))
+    named = cuts.select(F.to_json("cut").alias("cut"), "t")
+    found = pattern_matches(named, "cut", "t", patterns)
+    cut = F.from_json("cut", f"_k {df.schema[key].dataType.simpleString()}, _n int")
+    moved = found.withColumn("cut", cut)
+    return moved.select(F.col("cut._k").alias(key), "pattern", *[(F.col(c) + F.col("cut._n") * size).alias(c) for c in ("first", "last")], "line", "text", "groups")
+
+
+def widening_windows(df: DataFrame, key: Sequence[str], text: str, pattern: str, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
+    """(key, size, first, n): windows of lines that match `pattern`, of the first of `sizes` at which any window does.
+
+    Windows step by half their size; sizes beyond the number of lines are not tried. n counts the matches.
+    """
+    own = F.split(F.col(text), "\n")
+    found = None
+    for size in sizes:
+        starts = F.sequence(F.lit(0), F.size("_l") - size, F.lit(size // 2))
+        cut = F.transform(starts, lambda s, size=size: F.struct(s.cast("long").alias("first"), F.array_join(F.slice("_l", s + 1, size), "\n").alias("window")))
+        part = df.where(F.length(text) > 0).select(*key, own.alias("_l")).where(F.size("_l") >= size).select(*key, F.explode(cut).alias("w"))
+        part = part.select(*key, F.lit(size).cast("long").alias("size"), "w.first", F.regexp_count("w.window", F.lit(portable(pattern))).cast("long").alias("n")).where("n > 0")
+        found = part if found is None else found.unionByName(part)
+    least = found.groupBy(*key).agg(F.min("size").alias("size"))
+    return found.join(least, [*key, "size"]).select(*key, "size", "first", "n")
+
+
+def recovered_matches(df: DataFrame, key: Sequence[str], text: str, fallbacks: Sequence[str], regex: str) -> DataFrame:
+    """(key, strategy, n): matches by the first way that finds any: the fallback patterns in order, a plain pattern, then windows of lines.
+
+    strategy is 'fallback_patterns:<place>', 'regex_fallback' or 'partial_match:<size>'; texts that no way
+    matches have no row.
+    """
+    ways = [(f"fallback_patterns:{i}", p) for i, p in enumerate(fallbacks)] + [("regex_fallback", regex)]
+    tried = [F.struct(F.lit(name).alias("strategy"), F.regexp_count(F.col(text), F.lit(portable(p))).cast("long").alias("n")) for name, p in ways]
+    first = F.get(F.filter(F.array(*tried), lambda w: w["n"] > 0), 0)  # null where none matches
+    counted = df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("_t"), first.alias("w"))
+    whole = counted.where("w is not null").select(*key, "w.strategy", "w.n")
+    windows = widening_windows(counted.where("w is null"), key, "_t", regex).groupBy(*key, "size").agg(F.sum("n").alias("n"))
+    return whole.unionByName(windows.select(*key, F.concat(F.lit("partial_match:"), F.col("size").cast("string")).alias("strategy"), "n"))
+
+
 def change_ratio(old: Column, new: Column) -> Column:
     """Similarity of two texts as matched characters over all characters; null for a null text."""
 

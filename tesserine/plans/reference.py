@@ -257,7 +257,7 @@ def error_recommendations(spark, d):
     return A.missing(errors, e.where("event_type = 'purchase' and value > 480"), ["user_id"])
 
 
-@query("""SELECT user_id, CASE WHEN r = 0 THEN 'healthy' WHEN r < 0.1 THEN 'degraded' WHEN r < 0.3 THEN 'error' ELSE 'critical' END AS status FROM (SELECT user_id, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS r FROM events GROUP BY user_id)""")
+@query("""SELECT user_id, CASE WHEN r = 0 THEN 'ok' WHEN r < 0.1 THEN 'degraded' WHEN r < 0.3 THEN 'error' ELSE 'critical' END AS status FROM (SELECT user_id, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS r FROM events GROUP BY user_id)""")
 def component_status(spark, d):
     own = load(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("r"))
     return own.select("user_id", T.status_of_rate(F.col("r")).alias("status"))
@@ -266,16 +266,16 @@ def component_status(spark, d):
 @query("""SELECT max(CASE WHEN r = 0 THEN 0 WHEN r < 0.1 THEN 1 WHEN r < 0.3 THEN 2 ELSE 3 END)::BIGINT AS worst FROM (SELECT CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS r FROM events GROUP BY user_id)""")
 def system_status(spark, d):
     own = component_status(spark, d)
-    rank = F.when(F.col("status") == "healthy", 0).when(F.col("status") == "degraded", 1).when(F.col("status") == "error", 2).otherwise(3)
+    rank = F.when(F.col("status") == "ok", 0).when(F.col("status") == "degraded", 1).when(F.col("status") == "error", 2).otherwise(3)
     return own.agg(F.max(rank).cast("long").alias("worst"))
 
 
-@query("""SELECT event_type, hits, misses, CAST(hits AS DOUBLE) / nullif(hits + misses, 0) AS rate, CASE WHEN CAST(hits AS DOUBLE) / nullif(hits + misses, 0) > 0.9 THEN 'shrink' WHEN CAST(hits AS DOUBLE) / nullif(hits + misses, 0) < 0.5 THEN 'grow' ELSE 'keep' END AS advice
-  FROM (SELECT event_type, count(*) FILTER (value >= 25) AS hits, count(*) FILTER (value < 25) AS misses FROM events GROUP BY event_type)""")
+@query("""SELECT event_type, hits, misses, rate, CASE WHEN rate > 0.9 THEN 'increase' WHEN rate < 0.5 THEN 'decrease' ELSE 'keep' END AS ttl FROM (SELECT *, coalesce(CAST(hits AS DOUBLE) / nullif(hits + misses, 0), 0.0) AS rate
+  FROM (SELECT event_type, count(*) FILTER (value >= 25) AS hits, count(*) FILTER (value < 25) AS misses FROM events GROUP BY event_type))""")
 def hit_rates(spark, d):
     own = load(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") >= 25).alias("hits"), F.count_if(F.col("value") < 25).alias("misses"))
-    rate = F.try_divide(F.col("hits"), F.col("hits") + F.col("misses"))
-    return own.withColumn("rate", rate).withColumn("advice", F.when(F.col("rate") > 0.9, "shrink").when(F.col("rate") < 0.5, "grow").otherwise("keep"))
+    rate = F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0))
+    return own.withColumn("rate", rate).withColumn("ttl", F.when(F.col("rate") > 0.9, "increase").when(F.col("rate") < 0.5, "decrease").otherwise("keep"))
 
 
 @query("""SELECT user_id, round(slope, 6) AS slope, CASE WHEN slope IS NOT NULL THEN round(greatest(0, least(1, (sy - slope * sx) / n + slope * 60)), 6) END AS forecast FROM (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
@@ -417,8 +417,11 @@ def merge_edges(spark, d):
 
 @query("""SELECT repo_id, string_agg(language, '|' ORDER BY language) AS languages FROM (SELECT DISTINCT repo_id, language FROM code_files WHERE language IS NOT NULL) GROUP BY repo_id""")
 def union_languages(spark, d):
-    own = load(spark, d, "code_files").where("language is not null").groupBy("repo_id").agg(F.collect_set("language").alias("languages"))
-    return K.union_arrays(own, own.limit(0), "repo_id", "languages").select("repo_id", F.array_join("languages", "|").alias("languages"))
+    # The languages of the files a tree parser reads, united with those of all others.
+    own = load(spark, d, "code_files").where("language is not null")
+    listed = lambda part: part.groupBy("repo_id").agg(F.collect_set("language").alias("languages"))
+    trees = F.coalesce(F.col("parser_type"), F.lit("")) == "tree_sitter"
+    return K.union_arrays(listed(own.where(trees)), listed(own.where(~trees)), "repo_id", "languages").select("repo_id", F.array_join("languages", "|").alias("languages"))
 
 
 # ---------------------------------------------------------------- graphs
@@ -499,18 +502,28 @@ def repository_groups(spark, d):
 # ---------------------------------------------------------------- texts
 
 
-@query(f"""SELECT id, words / 100.0::DOUBLE AS completeness, code > 0 AS has_examples, heads > 0 AS has_sections FROM (SELECT id, CASE WHEN regexp_replace(content, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\s+')) END AS words,
-  len(regexp_extract_all(content, '```')) AS code, len(regexp_extract_all(content, '(?m)^#{{1,6}} ')) AS heads FROM ({_DOCS}) WHERE content IS NOT NULL)""")
-def doc_quality(spark, d):
+_QUALITY = f"""SELECT id, words / 100.0::DOUBLE AS completeness, contains(content, '```') AS has_examples, contains(content, '#') AS has_sections, CASE WHEN len(l) = 0 THEN 0.0 ELSE CAST(len(list_filter(l, lambda x: starts_with(ltrim(x), '#'))) AS DOUBLE) / len(l) END AS structure
+  FROM (SELECT id, content, CASE WHEN t = '' THEN [] ELSE string_split(regexp_replace(t, '\\n$', ''), chr(10)) END AS l, CASE WHEN trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ')) END AS words
+    FROM (SELECT id, content, replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' ') AS t FROM ({_DOCS}) WHERE content IS NOT NULL))"""
+
+
+def quality(spark, d):
     c = F.col("content")
-    return docs(spark, d).where("content is not null").select("id", T.completeness(c).alias("completeness"), (F.regexp_count(c, F.lit("```")) > 0).alias("has_examples"), (F.regexp_count(c, F.lit("(?md)^#{1,6} ")) > 0).alias("has_sections"))
+    return docs(spark, d).where("content is not null").select("id", T.completeness(c).alias("completeness"), F.contains(c, F.lit("```")).alias("has_examples"), F.contains(c, F.lit("#")).alias("has_sections"), T.structure(c).alias("structure"))
+
+
+@query(_QUALITY)
+def doc_quality(spark, d):
+    return quality(spark, d)
 
 
-@query(f"""SELECT id, 'add content' AS advice FROM ({_DOCS}) WHERE content IS NOT NULL AND length(content) < 300 UNION ALL SELECT id, 'add headings' FROM ({_DOCS}) WHERE content IS NOT NULL AND NOT regexp_matches(content, '(?m)^#{{1,6}} ')""")
+@query(f"""WITH q AS ({_QUALITY}) SELECT id AS doc_id, 'completeness' AS type, 'Add more detailed explanations and examples' AS suggestion FROM q WHERE completeness < 0.7 UNION ALL SELECT id, 'structure', 'Improve document structure with headers and sections' FROM q WHERE structure < 0.7""")
 def doc_suggestions(spark, d):
-    c = F.col("content")
-    advice = F.array_compact(F.array(F.when(F.length(c) < 300, "add content"), F.when(~c.rlike("(?md)^#{1,6} "), "add headings")))
-    return docs(spark, d).where("content is not null").select("id", F.explode(advice).alias("advice"))
+    found = F.array_compact(F.array(
+        F.when(F.col("completeness") < 0.7, F.struct(F.lit("completeness").alias("type"), F.lit("Add more detailed explanations and examples").alias("suggestion"))),
+        F.when(F.col("structure") < 0.7, F.struct(F.lit("structure").alias("type"), F.lit("Improve document structure with headers and sections").alias("suggestion"))),
+    ))
+    return quality(spark, d).select(F.col("id").alias("doc_id"), F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
 @query("""SELECT lower(title) AS title, count(*) AS n FROM (SELECT trim(regexp_extract(trim(l), '^# (.*)$', 1)) AS title FROM (SELECT unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS l FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(trim(l), '^# ')) GROUP BY lower(title)""")
@@ -554,7 +567,7 @@ def format_catalogues(spark, d):
 @query()
 def todo_spans(spark, d):
     one = files(spark, d).where("file_content is not null").select(F.concat_ws(":", "repo_id", "file_path").alias("file"), "file_content")
-    found = R.pattern_matches(one, "file", "file_content", {k: PATTERNS["common"][k] for k in ("todo", "fixme", "docstring", "class")})
+    found = R.pattern_matches(one, "file", "file_content", {k: PATTERNS["common"][k] for k in ("todo_comment", "fixme_comment", "docstring", "class_definition")})
     return found.select("file", "pattern", "first", "last", "line")
 
 
@@ -573,14 +586,19 @@ def line_counts(spark, d):
     return one.select("repo_id", "file_path", T.line_counts(F.col("t")).alias("c")).select("repo_id", "file_path", "c.*")
 
 
-@query("""SELECT ending, count(*) AS n FROM (SELECT lower(regexp_extract(regexp_extract(replace(file_path, '\\', '/'), '([^/]*)$', 1), '\\.([^.]*)$', 1)) AS ending FROM (SELECT DISTINCT repo_id, file_path FROM code_files)) GROUP BY ending""")
+_ENDING = "lower(regexp_extract(regexp_extract(replace(file_path, '\\', '/'), '([^/]*)$', 1), '[^.].*\\.([^.]*)$', 1))"
+
+
+@query(f"""SELECT ending, count(*) AS n FROM (SELECT {_ENDING} AS ending FROM (SELECT DISTINCT repo_id, file_path FROM code_files)) GROUP BY ending""")
 def files_by_ending(spark, d):
     one = load(spark, d, "code_files").select("repo_id", "file_path").distinct()
     return A.count_by(one.select(T.extension(F.col("file_path")).alias("ending")), "ending")
 
 
-@query("""SELECT language, kind, count(*) AS n FROM (SELECT CASE e WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'unknown' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust' ELSE 'unknown' END AS language,
-  CASE WHEN e IN ('py', 'js', 'ts', 'java', 'go', 'rb', 'rs') THEN 'source' ELSE 'other' END AS kind FROM (SELECT lower(regexp_extract(regexp_extract(replace(file_path, '\\', '/'), '([^/]*)$', 1), '\\.([^.]*)$', 1)) AS e FROM (SELECT DISTINCT repo_id, file_path FROM code_files))) GROUP BY language, kind""")
+@query(f"""SELECT language, kind, count(*) AS n FROM (SELECT CASE WHEN e = 'py' THEN 'python' WHEN e IN ('js', 'jsx') THEN 'javascript' WHEN e IN ('ts', 'tsx') THEN 'typescript' WHEN e IN ('c', 'h') THEN 'c' WHEN e IN ('cpp', 'hpp') THEN 'cpp' WHEN e = 'cs' THEN 'c_sharp' WHEN e = 'rb' THEN 'ruby' WHEN e = 'rs' THEN 'rust' WHEN e = 'kt' THEN 'kotlin'
+  WHEN e IN ('java', 'go', 'php', 'html', 'css', 'swift') THEN e ELSE 'unknown' END AS language, CASE WHEN e IN ('py', 'js', 'ts', 'java', 'c', 'cpp', 'cs', 'go', 'rb', 'php', 'rs', 'swift', 'kt') THEN 'source' WHEN e IN ('h', 'hpp', 'hxx') THEN 'header' WHEN e IN ('json', 'xml', 'yaml', 'yml', 'toml') THEN 'config'
+  WHEN e IN ('md', 'rst', 'txt') THEN 'documentation' WHEN e IN ('html', 'css') THEN 'markup' WHEN e IN ('sh', 'bat', 'ps1') OR b IN ('makefile', 'dockerfile', 'jenkinsfile') THEN 'build' ELSE 'other' END AS kind
+  FROM (SELECT {_ENDING} AS e, lower(regexp_extract(replace(file_path, '\\', '/'), '([^/]*)$', 1)) AS b FROM (SELECT DISTINCT repo_id, file_path FROM code_files))) GROUP BY language, kind""")
 def files_by_kind(spark, d):
     one = load(spark, d, "code_files").select("repo_id", "file_path").distinct()
     return A.count_by(one.select(T.language_of(F.col("file_path")).alias("language"), T.kind_of(F.col("file_path")).alias("kind")), "language", "kind")
@@ -593,19 +611,22 @@ def directory_parts(spark, d):
     return one.select("repo_id", F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.size(parts) - 1))).alias("part")).groupBy("repo_id", "part").agg(F.count("*").alias("files"))
 
 
-@query("""SELECT count(*) FILTER (ignored) AS ignored, count(*) FILTER (NOT ignored) AS kept FROM (SELECT len(list_intersect(string_split(replace(file_path, '\\', '/'), '/'), ['.git', '__pycache__', 'node_modules', '.venv', 'venv', 'dist', 'build', '.idea', '.vscode'])) > 0 AS ignored FROM (SELECT DISTINCT repo_id, file_path FROM code_files))""")
+@query("""SELECT count(*) FILTER (ignored) AS ignored, count(*) FILTER (NOT ignored) AS kept FROM (SELECT len(list_intersect(string_split(replace(file_path, '\\', '/'), '/'), ['*.tmp', '*.log', '*.pyc', '__pycache__', 'node_modules', '.git', '.env', '*.swp', '*.swo'])) > 0 AS ignored FROM (SELECT DISTINCT repo_id, file_path FROM code_files))""")
 def ignored_files(spark, d):
     one = load(spark, d, "code_files").select("repo_id", "file_path").distinct().withColumn("i", T.is_ignored(F.col("file_path")))
     return one.agg(F.count_if("i").alias("ignored"), F.count_if(~F.col("i")).alias("kept"))
 
 
-@query("""SELECT repo_id, name AS convention, n FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, name) AS r FROM (SELECT repo_id, name, count(*) AS n FROM (SELECT repo_id, CASE WHEN regexp_matches(s, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') THEN 'UPPER_CASE' WHEN regexp_matches(s, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(s, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab-case'
-  WHEN regexp_matches(s, '^[a-z]+[a-z0-9]*([A-Z][a-z0-9]*)+$') THEN 'camelCase' WHEN regexp_matches(s, '^([A-Z][a-z0-9]+)+$') THEN 'PascalCase' WHEN regexp_matches(s, '^[a-z0-9]+$') THEN 'lowercase' ELSE 'mixed' END AS name FROM (
-    SELECT DISTINCT repo_id, file_path, regexp_extract(replace(file_path, '\\', '/'), '([^/.]*)[^/]*$', 1) AS s FROM code_files)) GROUP BY repo_id, name)) WHERE r = 1""")
+@query("""WITH f AS (SELECT DISTINCT repo_id, file_path, regexp_extract(replace(file_path, '\\', '/'), '([^/.]*)[^/]*$', 1) AS s FROM code_files),
+  c AS (SELECT repo_id, file_path, CASE WHEN regexp_matches(s, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches(s, '[A-Z]') THEN 'camelCase' WHEN regexp_matches(s, '^[a-z][a-z0-9_]*$') AND contains(s, '_') THEN 'snake_case' WHEN regexp_matches(s, '^[a-z][a-z0-9-]*$') AND contains(s, '-') THEN 'kebab-case'
+    WHEN regexp_matches(s, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(s, '^[A-Z][A-Z0-9_]*$') AND contains(s, '_') THEN 'UPPER_CASE' WHEN regexp_matches(s, '^[a-z][a-z0-9]*$') THEN 'lowercase' END AS convention FROM f)
+  SELECT repo_id, convention, n FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, first) AS r FROM (SELECT repo_id, convention, count(*) AS n, min(file_path) AS first FROM c WHERE convention IS NOT NULL GROUP BY repo_id, convention)) WHERE r = 1""")
 def naming_convention(spark, d):
     stem = F.regexp_extract(F.translate("file_path", "\\", "/"), "([^/.]*)[^/]*$", 1)
-    one = load(spark, d, "code_files").select("repo_id", "file_path").distinct().select("repo_id", T.naming_convention(stem).alias("convention"))
-    return A.top_per_key(A.count_by(one, "repo_id", "convention"), ["repo_id"], [F.desc("n"), F.col("convention")], 1).select("repo_id", "convention", "n")
+    one = load(spark, d, "code_files").select("repo_id", "file_path").distinct().select("repo_id", "file_path", T.naming_convention(stem).alias("convention"))
+    # Ties go to the convention that is seen first, in the order of the paths.
+    counted = one.where("convention is not null").groupBy("repo_id", "convention").agg(F.count("*").alias("n"), F.min("file_path").alias("first"))
+    return A.top_per_key(counted, ["repo_id"], [F.desc("n"), F.col("first")], 1).select("repo_id", "convention", "n")
 
 
 @query()
@@ -640,12 +661,14 @@ def directory_tree(spark, d):
     return A.count_by(one.select("repo_id", F.explode(T.path_prefixes(F.col("file_path"))).alias("prefix")), "repo_id", "prefix").withColumnRenamed("n", "files")
 
 
-@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(w), 'path|dir|file|folder') THEN 'path' WHEN regexp_matches(lower(w), 'host|port|url|address') THEN 'network' WHEN regexp_matches(lower(w), 'password|secret|token|key|auth') THEN 'security' WHEN regexp_matches(lower(w), 'log|debug|level|trace') THEN 'logging'
-  WHEN regexp_matches(lower(w), 'max|min|limit|size|count') THEN 'limit' WHEN regexp_matches(lower(w), 'timeout|interval|delay|time') THEN 'time' WHEN regexp_matches(lower(w), 'enable|disable|use|flag') THEN 'switch' ELSE 'other' END AS class FROM (SELECT DISTINCT repo_id, file_path, regexp_extract(replace(file_path, '\\', '/'), '([^/.]*)[^/]*$', 1) AS w FROM code_files)) GROUP BY class""")
+@query("""WITH w AS (SELECT DISTINCT regexp_extract(replace(file_path, '\\', '/'), '([^/.]*)[^/]*$', 1) AS w FROM code_files), c AS (SELECT w, CASE WHEN regexp_matches(lower(w), 'host|server|url|endpoint') THEN 'connection' WHEN regexp_matches(lower(w), 'user|password|auth|token|key|secret') THEN 'authentication' WHEN regexp_matches(lower(w), 'log|debug|verbose|trace') THEN 'logging'
+  WHEN regexp_matches(lower(w), 'dir|path|file|folder') THEN 'filesystem' WHEN regexp_matches(lower(w), 'port|timeout|retry|max|min') THEN 'connection_params' WHEN regexp_matches(lower(w), 'enable|disable|toggle|feature') THEN 'feature_flags' ELSE 'other' END AS class FROM w)
+  SELECT class, count(*) AS n, string_agg(w, '|' ORDER BY w) FILTER (r <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY w) AS r FROM c) GROUP BY class""")
 def option_classes(spark, d):
     stem = F.regexp_extract(F.translate("file_path", "\\", "/"), "([^/.]*)[^/]*$", 1)
-    one = load(spark, d, "code_files").select("repo_id", "file_path").distinct()
-    return A.count_by(one.select(T.option_class(stem).alias("class")), "class")
+    named = load(spark, d, "code_files").select(stem.alias("w")).distinct().select("w", T.option_class(F.col("w")).alias("class"))
+    least = A.top_per_key(named, ["class"], [F.col("w")], 3).groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("w")), "|").alias("examples"))
+    return A.count_by(named, "class").join(least, "class")
 
 
 @query(f"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '@([a-zA-Z0-9._]+)', 1))), '|') AS names FROM ({_DOCS}) WHERE content LIKE '%@%'""")
@@ -678,10 +701,30 @@ def last_errors(spark, d):
     return A.top_per_key(load(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).drop("ts")
 
 
-@query("""SELECT class, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM (SELECT value, CASE WHEN event_type = 'error' AND value > 100 THEN 'deadlock' WHEN event_type = 'error' AND value > 50 THEN 'timeout' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS class FROM events) GROUP BY class""")
-def duration_classes(spark, d):
-    kind = F.when((F.col("event_type") == "error") & (F.col("value") > 100), "deadlock").when((F.col("event_type") == "error") & (F.col("value") > 50), "timeout").when(F.col("event_type") == "error", "failed").otherwise("done")
-    return load(spark, d, "events").groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+_TRANSACTIONS = """(SELECT value, CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'view' THEN 'rolled_back' WHEN 'error' THEN 'commit_failed' WHEN 'signup' THEN 'rollback_failed' ELSE 'open' END AS status,
+  CASE WHEN event_type IN ('error', 'signup') THEN CASE WHEN value > 40 THEN 'Deadlock found' WHEN value > 30 THEN 'lock wait TIMEOUT' ELSE 'lost' END END AS message FROM events)"""
+
+
+def transactions(spark, d):
+    """Events read as transactions that end one way or another, with the message of a failed one."""
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "committed").when(kind == "view", "rolled_back").when(kind == "error", "commit_failed").when(kind == "signup", "rollback_failed").otherwise("open")
+    message = F.when(kind.isin("error", "signup"), F.when(F.col("value") > 40, "Deadlock found").when(F.col("value") > 30, "lock wait TIMEOUT").otherwise("lost"))
+    return load(spark, d, "events").select("value", status.alias("status"), message.alias("message"))
+
+
+@query(f"""SELECT class, count(*) AS n FROM (SELECT CASE WHEN contains(lower(message), 'deadlock') THEN 'deadlock' WHEN contains(lower(message), 'timeout') THEN 'timeout' WHEN message IS NOT NULL AND status = 'commit_failed' THEN 'commit' WHEN message IS NOT NULL AND status = 'rollback_failed' THEN 'rollback' END AS class FROM {_TRANSACTIONS}) WHERE class IS NOT NULL GROUP BY class""")
+def transaction_errors(spark, d):
+    own = transactions(spark, d).select(T.transaction_error(F.col("message"), F.col("status")).alias("class"))
+    return A.count_by(own.where("class is not null"), "class")
+
+
+@query(f"""WITH t AS (SELECT 'total' AS kind, value FROM {_TRANSACTIONS} WHERE value IS NOT NULL UNION ALL SELECT CASE status WHEN 'committed' THEN 'commit' ELSE 'rollback' END, value FROM {_TRANSACTIONS} WHERE status IN ('committed', 'rolled_back') AND value IS NOT NULL)
+  SELECT kind, n, avg, min, max, p FROM (SELECT kind, value AS p, row_number() OVER (PARTITION BY kind ORDER BY value) - 1 AS i FROM t) JOIN (SELECT kind AS k, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg, min(value) AS min, max(value) AS max FROM t GROUP BY kind) ON k = kind
+  WHERE i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1)""")
+def transaction_durations(spark, d):
+    kinds = F.array_compact(F.array(F.lit("total"), F.when(F.col("status") == "committed", "commit").when(F.col("status") == "rolled_back", "rollback")))
+    return A.nearest_rank(transactions(spark, d).select("value", F.explode(kinds).alias("kind")), ["kind"], "value", 0.95)
 
 
 @query("""SELECT repo_id, file_path, array_to_string(regexp_extract_all(file_content, '[a-z]+_[a-z]+')[1:10], '|') AS found FROM (SELECT DISTINCT repo_id, file_path, file_content FROM code_files WHERE file_content IS NOT NULL) WHERE len(regexp_extract_all(file_content, '[a-z]+_[a-z]+')) > 0""")

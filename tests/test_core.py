@@ -60,9 +60,9 @@ def test_text_functions(spark):
         "lines": (T.lines(F.lit("a\r\nb\rc\n")), ["a", "b", "c"]), "no_lines": (T.lines(F.lit("")), []), "words": (T.word_count(F.lit("  a b\n c ")), 3), "no_words": (T.word_count(F.lit(" ")), 0),
         "ext": (T.extension(F.lit("a\\b.d\\c.PY")), "py"), "no_ext": (T.extension(F.lit("a.b/c")), ""), "lang": (T.language_of(F.lit("x.rs")), "rust"), "kind": (T.kind_of(F.lit("x.yml")), "config"),
         "ignored": (T.is_ignored(F.lit("a/node_modules/b")), True), "kept": (T.is_ignored(F.lit("a/node_modules2/b")), False), "norm": (T.normalised_language(F.lit("Objective-C x")), "objective_c_x"),
-        "camel": (T.naming_convention(F.lit("fooBar")), "camelCase"), "snake": (T.naming_convention(F.lit("foo_bar")), "snake_case"), "pascal": (T.naming_convention(F.lit("FooBar")), "PascalCase"), "mixed": (T.naming_convention(F.lit("Foo_bar")), "mixed"),
+        "camel": (T.naming_convention(F.lit("fooBar")), "camelCase"), "snake": (T.naming_convention(F.lit("foo_bar")), "snake_case"), "pascal": (T.naming_convention(F.lit("FooBar")), "PascalCase"), "mixed": (T.naming_convention(F.lit("Foo_bar")), None),
         "url": (T.repo_name_of(F.lit("https://h/x/y.git/")), "y"), "jaccard": (T.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2))), 0.5), "retry": (T.is_retryable(F.lit("timeout: permission denied")), False),
-        "backoff": (T.backoff(F.lit(3), 1.0, 5.0), 5.0), "cplx": (T.pattern_complexity(F.lit("(a) @b | c*")), 11), "error": (T.error_class(F.lit("Syntax problem")), "syntax"),
+        "backoff": (T.backoff(F.lit(3), 1.0, 5.0), 5.0), "cplx": (T.pattern_complexity(F.lit("(a) @b | c*")), 11), "error": (T.error_class(F.lit("Syntax problem")), "syntax_error"),
     }
     row = spark.range(1).select(*[c.alias(n) for n, (c, _) in cases.items()]).collect()[0].asDict()
     assert row == {n: v for n, (_, v) in cases.items()}
@@ -77,10 +77,10 @@ def test_catalogues_compile_for_spark(spark):
 
 def test_pattern_matches_and_counts(spark):
     df = spark.createDataFrame([(1, "# TODO: a\nx\n// FIXME b\n"), (2, None), (3, "")], "id long, t string")
-    found = R.pattern_matches(df, "id", "t", {k: PATTERNS["common"][k] for k in ("todo", "fixme")} | {"broken": "("})
-    assert [(r.pattern, r.line, r.groups) for r in found.orderBy("first").collect()] == [("todo", 1, [" a"]), ("fixme", 3, [" b"])]
-    counts = R.pattern_counts(df, ["id"], "t", {k: PATTERNS["common"][k] for k in ("todo", "fixme")})
-    assert sorted((r.pattern, r.n) for r in counts.collect()) == [("fixme", 1), ("todo", 1)]
+    found = R.pattern_matches(df, "id", "t", {k: PATTERNS["common"][k] for k in ("todo_comment", "fixme_comment")} | {"broken": "("})
+    assert [(r.pattern, r.line, r.groups) for r in found.orderBy("first").collect()] == [("todo_comment", 1, [" a"]), ("fixme_comment", 3, [" b"])]
+    counts = R.pattern_counts(df, ["id"], "t", {k: PATTERNS["common"][k] for k in ("todo_comment", "fixme_comment")})
+    assert sorted((r.pattern, r.n) for r in counts.collect()) == [("fixme_comment", 1), ("todo_comment", 1)]
 
 
 def test_blocks_headings_sections_and_trees(spark):
@@ -150,7 +150,7 @@ def test_upserts(spark):
 
 def test_repeat_counts_equal_the_expressions():
     rng = np.random.default_rng(4)
-    signs = {"property": "a b = = \n \n", "key": "a b : : \n \n #", "conflict": "a b == == 1 2 . \n \n", "name": "a b == > \n \n !"}
+    signs = {"property": "a b = = \n \n", "key": "a b : : \n \n #", "conflict": "a b == == 1 2 . \n \n", "name": "a b == > \n \n !", "attribute": ": : a ! \n \n"}
     for pattern, kind in REPEATS.items():
         hits = 0
         for _ in range(4000):
@@ -256,8 +256,8 @@ def test_streams(spark, tmp_path):
 def test_more_text_functions(spark):
     cases = {
         "same": (T.similar_content(F.lit("a b c d"), F.lit("a b c e")), True), "other": (T.similar_content(F.lit("abc"), F.lit("x y z w v u t")), False), "empty": (T.similar_content(F.lit(""), F.lit("")), False),
-        "mean": (T.capped_mean((F.lit(20), 10.0), (F.lit(None).cast("int"), 5.0), (F.lit(1), 2.0)), 0.75), "tongue": (T.embedded_language(F.lit("Some JavaScript")), "javascript"), "names": (T.capture_names(F.lit("(a) @b.c @a @a")), ["a", "b.c"]),
-        "tests": (T.predicates(F.lit('(a) (#eq? @a "b")')), ['(#eq? @a "b")']), "prefixes": (T.path_prefixes(F.lit("a\\b/c.py")), ["a", "a/b"]), "none": (T.path_prefixes(F.lit("c.py")), []), "option": (T.option_class(F.lit("LogDir")), "path"),
+        "mean": (T.capped_mean((F.lit(20), 10.0), (F.lit(None).cast("int"), 5.0), (F.lit(1), 2.0)), 0.75), "tongue": (T.embedded_language(F.lit("a\n[source,javascript]\nx java")), "javascript"), "names": (T.capture_names(F.lit("(a) @b.c @a @a")), ["a", "b.c"]),
+        "tests": (T.predicates(F.lit('(a) (#eq? @a "b")')), ['(#eq? @a "b")']), "prefixes": (T.path_prefixes(F.lit("a\\b/c.py")), ["a", "a/b"]), "none": (T.path_prefixes(F.lit("c.py")), []), "option": (T.option_class(F.lit("LogDir")), "logging"),
     }
     row = spark.range(1).select(*[c.alias(n) for n, (c, _) in cases.items()]).collect()[0].asDict()
     assert row == {n: v for n, (_, v) in cases.items()}
