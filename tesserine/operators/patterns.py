@@ -445,10 +445,14 @@ def widening_windows(df: DataFrame, key: Sequence[str], text: str, pattern: str,
     Windows step by half their size; sizes beyond the number of lines are not tried. n counts the matches.
     """
     own = F.split(F.col(text), "\n")
+
+    def windows(size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("_l") - size, F.lit(size // 2))
+        return F.transform(starts, lambda s: F.struct(s.cast("long").alias("first"), F.array_join(F.slice("_l", s + 1, F.lit(size)), "\n").alias("window")))
+
     found = None
     for size in sizes:
-        starts = F.sequence(F.lit(0), F.size("_l") - size, F.lit(size // 2))
-        cut = F.transform(starts, lambda s, size=size: F.struct(s.cast("long").alias("first"), F.array_join(F.slice("_l", s + 1, size), "\n").alias("window")))
+        cut = windows(size)
         part = df.where(F.length(text) > 0).select(*key, own.alias("_l")).where(F.size("_l") >= size).select(*key, F.explode(cut).alias("w"))
         part = part.select(*key, F.lit(size).cast("long").alias("size"), "w.first", F.regexp_count("w.window", F.lit(portable(pattern))).cast("long").alias("n")).where("n > 0")
         found = part if found is None else found.unionByName(part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.operators.nested import flatten_records
-from tesserine.plans import reference
+from tesserine.plans import reference, registry, trees  # noqa: F401
 from tesserine.session import ship_package
 from tesserine.sources.tables import load
 
@@ -21,8 +21,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found} | reference.QUERIES
+    return {"p2_found": p2_found} | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference.SQL)
+    return dict(registry.SQL)

@@ -6,8 +6,6 @@ to the last digit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,53 +20,12 @@ from tesserine.operators import search as S
 from tesserine.operators import upsert as K
 from tesserine.operators import windows as W
 from tesserine.operators.components import connected_components
-from tesserine.session import ship_package
+from tesserine.plans.registry import query
+from tesserine.plans.tables import DOCS, EDGES, docs, files, part_edges, relations
 from tesserine.sources.tables import load
 from tesserine.streaming import changes as C
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-# Docs with their latest version, and one row per doc and repository.
-_DOCS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, version DESC NULLS LAST) AS rn FROM repo_docs) WHERE rn = 1"
-
-
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return K.latest_by_key(load(spark, d, "repo_docs"), ["id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("version")])
-
-
-def relations(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "repo_doc_relations").select("repo_id", "doc_id").distinct()
-
-
-def files(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "code_files").select("repo_id", "file_path", "file_content", "language", "parser_type").distinct()
-
-
-def part_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Directed edges from a part to the next part of the same order."""
-    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    return lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
-
-
-_EDGES = "SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+_DOCS, _EDGES = DOCS, EDGES
 
 # ---------------------------------------------------------------- search
 
@@ -629,18 +586,6 @@ def naming_convention(spark, d):
     return A.top_per_key(counted, ["repo_id"], [F.desc("n"), F.col("first")], 1).select("repo_id", "convention", "n")
 
 
-@query()
-def tree_statistics(spark, d):
-    one = load(spark, d, "code_snippets").select("id", "ast").dropDuplicates(["id"])
-    return R.tree_statistics(R.tree_nodes(one, "id", "ast"), "id")
-
-
-@query()
-def tree_type_histogram(spark, d):
-    one = load(spark, d, "code_snippets").select("id", "ast").dropDuplicates(["id"])
-    return A.count_by(R.tree_nodes(one, "id", "ast"), "type")
-
-
 @query()
 def learned_patterns(spark, d):
     one = load(spark, d, "documents").select("source", "doc_kind").distinct()
@@ -758,11 +703,6 @@ def node_embeddings(spark, d):
     return G.node_embeddings(part_edges(spark, d)).select("node", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
 
 
-@query()
-def line_windows(spark, d):
-    return A.count_by(R.line_windows(load(spark, d, "documents"), ["doc_id"], "text", 10), "doc_id")
-
-
 # ---------------------------------------------------------------- streams
 
 

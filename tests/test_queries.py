@@ -95,7 +95,7 @@ def test_format_catalogues_run_every_format(spark, tmp_path):
     one = spark.read.parquet(f"{DATA}/repo_docs.parquet").limit(1).drop("id", "content")
     spark.createDataFrame(list(texts.items()), "id string, content string").crossJoin(one).write.parquet(f"{tmp_path}/repo_docs.parquet")
     found = {(r.id, r.pattern, r.n) for r in entry.queries()["format_catalogues"](spark, str(tmp_path)).collect()}
-    wanted = {("ini", "ini.duplicate_property", 1), ("ini", "ini.section", 1), ("requirements", "requirements.conflict", 1), ("requirements", "requirements.duplicate", 1), ("yaml", "yaml.duplicate_key", 1), ("editorconfig", "editorconfig.root", 1), ("editorconfig", "editorconfig.indent", 1)}
+    wanted = {("ini", "ini.duplicate_property", 1), ("ini", "ini.section", 1), ("requirements", "requirements.version_conflict", 1), ("requirements", "requirements.duplicate_requirement", 1), ("yaml", "yaml.duplicate_key", 1), ("editorconfig", "editorconfig.root", 1), ("editorconfig", "editorconfig.indent", 1)}
     assert wanted <= found
 
 
