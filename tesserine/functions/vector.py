@@ -57,3 +57,8 @@ def enriched_text(text: Column, path: Column, language: Column, dependencies: Co
     tongue = F.when(language.isNotNull(), F.concat(F.lit("Language: "), language))
     needs = F.when(F.size(dependencies) > 0, F.concat(F.lit("Dependencies: "), F.array_join(dependencies, ", ")))
     return F.concat_ws("\n", needs, tongue, file, text)
+
+
+def architecture_text(parts: dict[str, Column]) -> Column:
+    """One line `name: value` for every part that is given."""
+    return F.concat_ws("\n", *[F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value)) for name, value in parts.items()])

@@ -148,3 +148,73 @@ def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float) -> D
     fit = sums.withColumn("slope", slope).withColumn("intercept", F.expr("(sy - slope * sx) / n"))
     value = F.col("intercept") + F.col("slope") * at
     return fit.select(*keys, "slope", "intercept", F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("forecast"))
+
+
+def frequent_top(df: DataFrame, keys: Sequence[str], within: Sequence[str], k: int = 20, more_than: int = 3) -> DataFrame:
+    """(within, keys, n): of every group of `within` the `k` most frequent keys, less those of `more_than` rows or fewer.
+
+    The cut at `k` comes first; ties go to the lesser key.
+    """
+    counted = df.groupBy(*within, *keys).agg(F.count("*").alias("n"))
+    return top_per_key(counted, within, [F.desc("n"), *[F.col(c) for c in keys]], k, "_p").where(F.col("n") > more_than).drop("_p")
+
+
+def series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "series") -> DataFrame:
+    """(keys, n, series): the values (hundredths) of a key in order, joined by ','; null values are left out.
+
+    A key's values meet in one list, so give it the rows of a bounded time.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("decimal(18,2)").alias("_v"))))
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), listed.alias("_l"))
+    return own.select(*keys, "n", F.array_join(F.transform("_l", lambda x: x["_v"].cast("string")), ",").alias(name))
+
+
+def summarised(df: DataFrame, key: str, member: str, kind: str) -> DataFrame:
+    """(key, n, members, kinds): the size of a group, its distinct members and kinds in order, joined by '|'."""
+    own = df.where(F.col(key).isNotNull())
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|")
+    return own.groupBy(key).agg(F.count_distinct(member).alias("n"), listed(member).alias("members"), listed(kind).alias("kinds"))
+
+
+def collected(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row with all rows of a small table as a JSON list, in order. The result is one row by definition: filter first."""
+    return df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("_r")))), lambda x: x["_r"])).alias("rows"))
+
+
+def where_given(df: DataFrame, **wanted: object) -> DataFrame:
+    """Rows that equal every value that is given; None asks for nothing, a list asks for any of its values."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+    return df
+
+
+def since(df: DataFrame, stamp: str, days: int, now: Column | None = None) -> DataFrame:
+    """Rows of the last `days` days before `now`, or before the latest row."""
+    if now is None:
+        latest = df.agg(F.max(stamp).alias("_now"))  # one row
+        return df.join(F.broadcast(latest), F.col(stamp) >= F.col("_now") - F.make_interval(days=F.lit(days))).drop("_now")
+    return df.where(F.col(stamp) >= now - F.make_interval(days=F.lit(days)))
+
+
+def best_above(df: DataFrame, keys: Sequence[str], choice: str, score: str, least: float, default: str) -> DataFrame:
+    """(keys, choice): the choice of the highest score above `least` (ties: the lesser), else `default`."""
+    best = df.groupBy(*keys).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(choice).alias("c"))).alias("b"))
+    return best.select(*keys, F.when(-F.col("b.s") > least, F.col("b.c")).otherwise(F.lit(default)).alias(choice))
+
+
+def validity(df: DataFrame, valid: Column, *keys: str) -> DataFrame:
+    """(keys, total, valid, invalid); a test that is null counts as failed."""
+    ok = F.coalesce(valid, F.lit(False))
+    return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
+def property_usage(df: DataFrame, prop: str, owner: str, kind: str, required: Column) -> DataFrame:
+    """(prop, owners, kinds, required, optional): how many owners use a property, with which kinds ('any' for null) and how often it must be given."""
+    own = df.withColumn("_k", F.coalesce(F.col(kind).cast("string"), F.lit("any"))).withColumn("_r", F.coalesce(required, F.lit(False)))
+    return own.groupBy(prop).agg(F.count_distinct(owner).alias("owners"), F.array_join(F.array_sort(F.collect_set("_k")), "|").alias("kinds"), F.count_if("_r").alias("required"), F.count_if(~F.col("_r")).alias("optional"))
+
+
+def pivoted_counts(df: DataFrame, classes: dict[str, Column]) -> DataFrame:
+    """One row with a count for each named test."""
+    return df.agg(*[F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in classes.items()])

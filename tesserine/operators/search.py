@@ -15,13 +15,13 @@ def nearest(
     id_col: str,
     vec_col: str,
     queries: DataFrame,
-    k: int = 5,
+    k: int | None = 5,
     min_similarity: float = -1.0,
     keep: Column | None = None,
     block_rows: int = 4096,
     same_set: bool = True,
 ) -> DataFrame:
-    """(query, id, similarity, place): up to `k` rows most similar to every query.
+    """(query, id, similarity, place): up to `k` rows most similar to every query, or all of `min_similarity` for None.
 
     With `same_set` queries are rows of `df` themselves, and a row is no match for itself.
 
@@ -46,10 +46,11 @@ def nearest(
     if found is None:
         return spark.createDataFrame([], "query long, id long, similarity double, place long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")).cast("long")
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    ranked = found.withColumn("place", place)
+    return ranked if k is None else ranked.where(F.col("place") <= k)
 
 
-def _search(shared, k: int, least: float, same_set: bool):
+def _search(shared, k: int | None, least: float, same_set: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
         asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
@@ -80,3 +81,11 @@ def _search(shared, k: int, least: float, same_set: bool):
 def best_match(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, **options) -> DataFrame:
     """(query, similarity): the highest similarity of a query to any row of the set."""
     return nearest(df, id_col, vec_col, queries, k=1, **options).select("query", "id", "similarity")
+
+
+def search_docs(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, relations: DataFrame, repo_id: int | None = None, **options) -> DataFrame:
+    """`nearest` among all documents, or among those of a repository if one is given; only then are relations (repo_id, doc_id) read."""
+    if repo_id is not None:
+        own = relations.where(F.col("repo_id") == repo_id).select(F.col("doc_id").alias(id_col)).distinct()
+        df = df.join(own, id_col, "left_semi")
+    return nearest(df, id_col, vec_col, queries, **options)

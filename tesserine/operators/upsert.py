@@ -70,3 +70,45 @@ def union_arrays(existing: DataFrame, incoming: DataFrame, key: str, column: str
     """Array columns united per key, sorted, without duplicates and nulls."""
     both = existing.select(key, column).unionByName(incoming.select(key, column))
     return both.groupBy(key).agg(F.array_compact(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(column, F.array().cast("array<string>"))))))).alias(column))
+
+
+def insert_with_ids(incoming: DataFrame, order: Sequence[str], id_col: str, after: int = 0) -> DataFrame:
+    """Incoming rows with consecutive ids after `after`, in the order of `order`.
+
+    Rows are placed within ranges of the order, and every range starts where those before it end, so no
+    task numbers the whole table. Only the sizes of the ranges go to the driver, one number a partition.
+    """
+    from tesserine.plans.scratch import materialise
+
+    ranged = materialise(incoming.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
+    starts, total = [], after
+    for part, count in sizes:
+        starts.append((part, total))
+        total += count
+    spark = incoming.sparkSession
+    begun = spark.createDataFrame(starts, "_part int, _start long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbered = ranged.join(F.broadcast(begun), "_part")
+    return numbered.withColumn(id_col, F.col("_start") + place).drop("_part", "_start")
+
+
+def violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n) of keys that are not unique, or null in a part: what a uniqueness constraint would refuse."""
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | missing)
+
+
+def created(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """All rows of both; unlike a merge it keeps duplicates."""
+    return existing.unionByName(incoming, allowMissingColumns=True)
+
+
+def with_nested(parents: DataFrame, key: str, children: DataFrame, foreign: str, name: str, order: Sequence[str]) -> DataFrame:
+    """Parents with a list of their children as structs, in order; no child gives an empty list."""
+    own = [c for c in children.columns if c != foreign]
+    listed = children.groupBy(F.col(foreign).alias(key)).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in own if c not in order]))).alias(name))
+    joined = parents.join(listed, key, "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
