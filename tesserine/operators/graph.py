@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.operators.components import connected_components
+from tesserine.operators.components import connected_components, on_cycles
+from tesserine.operators.relational import top_per_key
 from tesserine.plans.scratch import discard, materialise
 
 
@@ -101,16 +102,17 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def betweenness(edges: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, max_edges: int = 2_000_000, block_sources: int = 1000) -> DataFrame:
     """(node, score) by Brandes' accumulation, directed, exact, one breadth-first search per node.
 
-    Sources are spread over tasks and searched in blocks, level by level over all edges at once. The
-    edge list is broadcast, so graphs of more than `max_edges` edges are refused rather than sampled.
+    Sources are spread over tasks and searched in blocks, level by level over all edges at once, with
+    the edge list broadcast. Graphs of more than `max_edges` edges are searched by joins instead, for
+    about `block_sources` sources at a time, one join a level, with the same result.
     """
     spark = edges.sparkSession
     links = materialise(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     if links.count() > max_edges:
-        raise ValueError(f"betweenness needs a graph of at most {max_edges} edges")
+        return _betweenness_joined(links, block_sources)
     pairs = links.toPandas()  # bounded by max_edges
     names, ends = np.unique(np.concatenate([pairs["src"].to_numpy(), pairs["dst"].to_numpy()]), return_inverse=True)
     shared = spark.sparkContext.broadcast((names, ends[: len(pairs)].astype(np.int32), ends[len(pairs) :].astype(np.int32)))
@@ -164,6 +166,190 @@ def betweenness(edges: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
     return sources.mapInPandas(search, "node long, part double").groupBy("node").agg(F.sum("part").alias("score"))
 
 
+def _betweenness_joined(links: DataFrame, block_sources: int) -> DataFrame:
+    """As `betweenness`, by joins of frontiers with the edges: nothing but counts goes to the driver."""
+    nodes = materialise(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    blocks = max(1, -(-nodes.count() // block_sources))
+    whole = None
+    for block in range(blocks):
+        own = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        levels = [materialise(own.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("s", "node")
+        while True:
+            ahead = levels[-1].join(links, levels[-1]["node"] == links["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            new = materialise(ahead.join(seen, ["s", "node"], "left_anti"))
+            if not new.limit(1).count():
+                break
+            levels.append(new)
+            seen = seen.unionByName(new.select("s", "node"))
+        depends = None
+        part = None
+        for level in range(len(levels) - 1, 0, -1):
+            here = levels[level] if depends is None else levels[level].join(depends, ["s", "node"], "left")
+            here = here.select("s", F.col("node").alias("dst"), ((1 + (F.coalesce("d", F.lit(0.0)) if depends is not None else F.lit(0.0))) / F.col("paths")).alias("share"))
+            back = here.join(links, "dst").join(levels[level - 1].withColumnRenamed("node", "src"), ["s", "src"])
+            depends = materialise(back.groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("paths")).alias("d")))
+            scored = depends.where("s <> node").groupBy("node").agg(F.sum("d").alias("part"))
+            part = scored if part is None else part.unionByName(scored)
+        if part is not None:
+            part = materialise(part.groupBy("node").agg(F.sum("part").alias("part")))
+            whole = part if whole is None else whole.unionByName(part)
+    if whole is None:
+        whole = nodes.select("node", F.lit(0.0).alias("part"))
+    return whole.groupBy("node").agg(F.sum("part").alias("score")).where("score > 0")
+
+
+def modularity_communities(edges: DataFrame, rounds: int = 6, levels: int = 4) -> DataFrame:
+    """(node, community): communities that modularity favours, by local moves and merging (Blondel 2008), without chance.
+
+    In every round half of the nodes, dealt by their hash, move to the neighbouring community of the
+    greatest gain (ties: the least); then communities become the nodes of the next level. Links are
+    taken undirected and parallel ones add up. A community is named by its least node.
+    """
+    both = edges.where("src is not null and dst is not null and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    links = both.groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    links = materialise(links.select("a", "b", "w").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    total = links.agg(F.sum("w")).first()[0]
+    found = materialise(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    if not total:
+        return found
+    for level in range(levels):
+        weight = materialise(links.groupBy("a").agg(F.sum("w").alias("k")))  # loops of merged nodes count in full
+        label = materialise(weight.select(F.col("a").alias("node"), F.col("a").alias("c"), "k"))
+        for turn in range(rounds):
+            sums = label.groupBy("c").agg(F.sum("k").alias("tot"))
+            near = links.where("a <> b").join(label.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("inside"))
+            near = near.unionByName(label.select("node", "c", F.lit(0.0).alias("inside"))).groupBy("node", "c").agg(F.sum("inside").alias("inside"))
+            rated = near.join(sums, "c").join(label.select("node", F.col("c").alias("own"), "k"), "node")
+            others = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+            rated = rated.withColumn("gain", F.round(F.col("inside") - F.col("k") * others / total, 9))
+            best = rated.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("c") != F.col("own")).alias("moves"), "c")).alias("m"), F.first("own").alias("own"), F.first("k").alias("k"))
+            moves = F.pmod(F.xxhash64(F.lit(level * 100 + turn // 2), "node"), F.lit(2)) == turn % 2
+            new = materialise(best.select("node", F.when(moves, F.col("m.c")).otherwise(F.col("own")).alias("c"), "k", "own"))
+            changed = new.where("c <> own").limit(1).count()
+            discard(label)
+            label = new.drop("own")
+            if not changed and turn % 2:
+                break
+        named = label.groupBy("c").agg(F.min("node").alias("name"))
+        label = materialise(label.join(named, "c").select("node", "name"))
+        found = materialise(found.join(label.withColumnRenamed("node", "community"), "community").select("node", F.col("name").alias("community")))
+        merged = links.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+        if merged.select("a").distinct().count() == weight.count():
+            break
+        links = materialise(merged)
+    # Names across levels are least nodes of least nodes already; a last pass makes sure.
+    least = found.groupBy("community").agg(F.min("node").alias("least"))
+    return found.join(least, "community").select("node", F.col("least").alias("community"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(modularity) of communities (node, community) over undirected links; one row."""
+    both = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    named = both.join(labels.toDF("src", "x"), "src").join(labels.toDF("dst", "y"), "dst")
+    per = named.groupBy(F.col("x").alias("c")).agg(F.count("*").alias("k"), F.count_if(F.col("x") == F.col("y")).alias("inside"))
+    return per.agg((F.sum("inside") / F.sum("k") - F.sum(F.col("k").cast("double") * F.col("k")) / F.pow(F.sum("k").cast("double"), F.lit(2.0))).alias("modularity"))
+
+
+def hierarchy(edges: DataFrame, roots: DataFrame, longest: int = 100) -> DataFrame:
+    """(root, node, depth, path, circular) of every way down from the roots; a node that a way already holds ends it as circular."""
+    links = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    now = roots.select(F.col("node").alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("way"), F.lit(False).alias("circular"))
+    found = None
+    for depth in range(longest + 1):
+        now = materialise(now)
+        if depth and not now.limit(1).count():
+            break
+        part = now.withColumn("depth", F.lit(depth).cast("long"))
+        found = part if found is None else found.unionByName(part)
+        ahead = now.where("not circular").join(links, F.col("node") == F.col("src"))
+        now = ahead.select("root", F.col("dst").alias("node"), F.concat("way", F.array("dst")).alias("way"), F.array_contains("way", F.col("dst")).alias("circular"))
+    return found.select("root", "node", "depth", F.array_join(F.transform("way", lambda x: x.cast("string")), ">").alias("path"), "circular")
+
+
+def waiting_cycles(edges: DataFrame, started: DataFrame, before: Column) -> DataFrame:
+    """(txn, reason, cycle): transactions that wait for one another in a cycle of any length, and those started before a time."""
+    cyclic = on_cycles(edges).select(F.col("node").alias("txn"), F.lit("deadlock").alias("reason"), "cycle")
+    stale = started.where(before).select("txn").distinct().select("txn", F.lit("timeout").alias("reason"), F.col("txn").alias("cycle"))
+    return cyclic.unionByName(stale)
+
+
+def relationship_ranks(edges: DataFrame, k: int = 10) -> DataFrame:
+    """(src, dst, kinds, n, place): the `k` nodes that a node has most kinds of relations with, then most relations."""
+    counted = edges.groupBy("src", "dst").agg(F.count_distinct("type").alias("kinds"), F.count("*").alias("n"))
+    return top_per_key(counted, ["src"], [F.desc("kinds"), F.desc("n"), F.col("dst")], k)
+
+
+def random_walks(edges: DataFrame, walks: int = 10, length: int = 80, seed: int = 1) -> DataFrame:
+    """(start, walk, step, node): walks whose steps follow from hashes, so the same graph gives the same walks.
+
+    Links are numbered per node, and a step is a join on node and number: no list of neighbours is built.
+    A node without an out link ends its walks.
+    """
+    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    numbered = materialise(links.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1))
+    degree = materialise(numbered.groupBy("src").agg(F.count("*").alias("n")))
+    now = degree.select(F.col("src").alias("start"), F.col("src").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
+    found = None
+    for step in range(length):
+        now = materialise(now)
+        part = now.withColumn("step", F.lit(step))
+        found = part if found is None else found.unionByName(part)
+        pick = F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(step)), F.col("n")).cast("int")
+        chosen = now.join(degree.withColumnRenamed("src", "node"), "node").select("start", "walk", F.col("node").alias("src"), pick.alias("i"))
+        now = chosen.join(numbered, ["src", "i"]).select("start", F.col("dst").alias("node"), "walk")
+    return found.select("start", "walk", "step", "node")
+
+
+def walk_embeddings(edges: DataFrame, dim: int = 128, walks: int = 10, length: int = 80, window: int = 5, seed: int = 1) -> DataFrame:
+    """(node, vec): nodes by the company they keep on walks.
+
+    Nodes within `window` steps of one another are counted, a count weighs by its logarithm, and the
+    counts of a node are summed up with signs by hashes of the other node, which keeps their cosines.
+    """
+    steps = materialise(random_walks(edges, walks, length, seed))
+    a = steps.select("start", "walk", F.col("step").alias("s"), F.col("node").alias("a"))
+    b = steps.select("start", "walk", F.explode(F.sequence(F.col("step") - window, F.col("step") + window)).alias("s"), "step", F.col("node").alias("b"))
+    together = a.join(b, ["start", "walk", "s"]).where(F.col("s") != F.col("step")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    weight = F.log1p("n")
+    signs = [F.sum(weight * (F.pmod(F.xxhash64(F.lit(seed * 1000 + i), "b"), F.lit(2)) * 2 - 1)).alias(f"v{i}") for i in range(dim)]
+    return together.groupBy(F.col("a").alias("node")).agg(*signs).select("node", F.array(*[F.col(f"v{i}") for i in range(dim)]).alias("vec"))
+
+
+class ProjectionCache:
+    """Projected graphs kept as tables, with the version of what they were made from."""
+
+    def __init__(self) -> None:
+        self._kept: dict[str, tuple[object, tuple[DataFrame, DataFrame]]] = {}
+
+    def exists(self, name: str) -> bool:
+        return name in self._kept
+
+    def valid(self, name: str, version: object) -> bool:
+        return name in self._kept and self._kept[name][0] == version
+
+    def get(self, name: str, version: object, make: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        """The projection of this version, made anew where there is none; one without nodes is not kept."""
+        if not self.valid(name, version):
+            self.drop(name)
+            nodes, links = (materialise(t) for t in make())
+            if not nodes.limit(1).count():
+                discard(nodes, links)
+                return nodes, links
+            self._kept[name] = (version, (nodes, links))
+        return self._kept[name][1]
+
+    def invalidate(self, name: str) -> None:
+        """The projection stays but is made anew at the next request."""
+        if name in self._kept:
+            self._kept[name] = (object(), self._kept[name][1])
+
+    def drop(self, name: str) -> None:
+        if name in self._kept:
+            discard(*self._kept.pop(name)[1])
+
+
 def grid_neighbours(df: DataFrame, id_col: str, vec_col: str, radius: float, features: int = 3, block_rows: int = 4096, seed: int = 1) -> DataFrame:
     """(a, b, distance) of ids a < b at a Euclidean distance of at most `radius`, exactly.
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.plans.scratch import discard, materialise
+from tesserine.operators.components import on_cycles
+from tesserine.plans.scratch import materialise
 
 ROOT = ""
 
@@ -305,51 +306,12 @@ def _table_reasons(graph: DataFrame) -> DataFrame:
     """(src_field, element, table_reason) of the elements that get tables, as aggregations of the graph."""
     degree = graph.groupBy("src_field", "element").agg(F.max("repeated").alias("repeated"), F.count_distinct("holder").alias("holders"))
     node = lambda c: F.concat_ws("\u0000", "src_field", c)
-    cyclic = on_cycles(graph.select(node("holder").alias("src"), node("element").alias("dst")))
+    cyclic = on_cycles(graph.select(node("holder").alias("src"), node("element").alias("dst"))).select("node")
     marked = degree.withColumn("node", node("element")).join(cyclic.withColumn("cyclic", F.lit(True)), "node", "left")
     reason = F.when(F.col("repeated"), "repeated").when(F.col("cyclic"), "recursive").when(F.col("holders") > 1, "shared")
     return marked.select("src_field", "element", reason.alias("table_reason")).where("table_reason is not null")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node) of every node that lies on a cycle of the directed `edges` (src, dst), a loop included.
-
-    Nodes without an edge in or out are trimmed until none is left. In the rest the greatest name
-    that reaches a node colours it; what reaches the node of its colour back is a cycle with it and is
-    taken out, and the rest is trimmed again. Only rows of nodes are carried along, no paths.
-    """
-    links = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = materialise(links.where("src = dst").select(F.col("src").alias("node")).distinct())
-    while True:
-        left = -1
-        while (count := links.count()) != left:  # trim
-            left = count
-            inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            links, old = materialise(inner.where("src <> dst")), links
-            discard(old)
-        if not left:
-            return found
-        colour, changed = materialise(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("colour", F.col("node"))), 1
-        while changed:
-            sent = links.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
-            both = materialise(colour.join(sent, "node", "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") > F.col("colour")).alias("moved")))
-            changed = both.where("moved").limit(1).count()
-            discard(colour)
-            colour = both.drop("moved")
-        # Backwards from the node that gave a colour, inside the colour.
-        core, size = materialise(colour.where("node = colour")), -1
-        back = links.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour"))
-        while (count := core.count()) != size:
-            size = count
-            more = back.join(core.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour")
-            core, old = materialise(core.unionByName(more).distinct()), core
-            discard(old)
-        sizes = core.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
-        found = materialise(found.union(core.join(sizes, "colour", "left_semi").select("node")).distinct())
-        gone = core.select("node")
-        links = materialise(links.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-
-
 _KINDS = {"record_id": pa.int64(), "position": pa.int32(), "repeated": pa.bool_()}
 
 

@@ -103,17 +103,24 @@ def common_groups(df: DataFrame, keys: Sequence[str], member: str, least: int =
     return grouped.where(F.col("members") >= least)
 
 
-def members_in_common(df: DataFrame, key: str, member: str) -> DataFrame:
-    """(key_a, key_b, shared, similarity) of keys that share members: Jaccard of their member sets.
+def members_in_common(df: DataFrame, key: str, member: str, min_similarity: float = 0.0, block_keys: int = 1000) -> DataFrame:
+    """(key_a, key_b, shared, similarity) of keys that share members: Jaccard of their member sets, from `min_similarity` on.
 
-    Keys are few next to members here; a member's keys are paired after duplicates are gone.
+    Keys whose sizes rule the similarity out are not paired. The keys of a member beyond `block_keys`
+    are paired block by block in tasks of their own.
     """
     pairs = df.select(F.col(key).alias("k"), F.col(member).alias("m")).where("k is not null and m is not null").distinct()
     sizes = pairs.groupBy("k").agg(F.count("*").alias("size"))
-    a, b = pairs.toDF("key_a", "m"), pairs.toDF("key_b", "m")
-    shared = a.join(b, "m").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.toDF("key_a", "size_a"), "key_a").join(sizes.toDF("key_b", "size_b"), "key_b")
-    return out.select("key_a", "key_b", "shared", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity"))
+    blocks = pairs.groupBy("m").agg(F.ceil(F.count("*") / block_keys).cast("int").alias("blocks"), F.count("*").alias("held")).where("held > 1")
+    sized = pairs.join(sizes, "k").join(blocks.drop("held"), "m")
+    placed = sized.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("m", "k", "size", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = placed.alias("a"), placed.alias("b")
+    fits = F.expr(f"a.k < b.k and (a.lo = a.hi or a.own <> b.own) and least(a.size, b.size) >= {min_similarity} * greatest(a.size, b.size)")
+    both = a.join(b, [F.col("a.m") == F.col("b.m"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi")]).where(fits)
+    shared = both.groupBy(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).agg(F.count("*").alias("shared"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb"))
+    found = shared.select("key_a", "key_b", "shared", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("similarity"))
+    return found.where(F.col("similarity") >= min_similarity)
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:

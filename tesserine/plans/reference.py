@@ -268,7 +268,7 @@ def repo_language_similarity(spark, d):
 @query("""WITH x AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS m FROM lineitem), s AS (SELECT k, count(*) AS size FROM x GROUP BY k)
   SELECT key_a, key_b, shared, similarity FROM (SELECT a.k AS key_a, b.k AS key_b, count(*) AS shared, CAST(count(*) AS DOUBLE) / (max(sa.size) + max(sb.size) - count(*)) AS similarity FROM x a JOIN x b ON a.m = b.m AND a.k < b.k JOIN s sa ON sa.k = a.k JOIN s sb ON sb.k = b.k GROUP BY a.k, b.k) WHERE similarity >= 0.05""")
 def node_similarity(spark, d):
-    return A.members_in_common(load(spark, d, "lineitem"), "l_suppkey", "l_partkey").where("similarity >= 0.05")
+    return A.members_in_common(load(spark, d, "lineitem"), "l_suppkey", "l_partkey", 0.05)
 
 
 @query("""SELECT r.repo_id, coalesce(languages, '') AS languages, coalesce(doc_types, '') AS doc_types FROM (SELECT DISTINCT id AS repo_id FROM repositories) r
@@ -711,18 +711,54 @@ def stream_monitor(spark, d):
     own = load(spark, d, "events")
     stream = C.read_changes(spark, d, own.schema, "events.parquet")
     hours = C.monitored(stream, "ts", "1 hour", [F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")], "user_id")
-    folder = _stream_folder(spark)
-    # Every window is wanted, the open ones too: each batch writes the whole state anew.
-    writer = hours.writeStream.outputMode("complete").foreachBatch(C.overwriting(f"{folder}/out"))
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("user_id", F.unix_timestamp("window_start").alias("hour"), "n", "errors")
+    # Windows that a batch changed replace their earlier counts; those behind the watermark leave the state.
+    folder = run_stream(spark, hours, lambda out: C.bucketed_upsert_sink(out, ["user_id", "window_start"], "n", 8), "update")
+    return C.read_bucketed(spark, folder).select("user_id", F.unix_timestamp("window_start").alias("hour"), "n", "errors")
 
 
 @query("""SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS changes FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '10 minutes' THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s) GROUP BY user_id""")
 def debounced_changes(spark, d):
-    own = C.debounced(load(spark, d, "events"), "user_id", "ts", "10 minutes")
-    return own.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("changes").alias("changes"))
+    own = load(spark, d, "events")
+    changes = C.debounced(C.read_changes(spark, d, own.schema, "events.parquet"), "user_id", "ts", "10 minutes")
+    folder = run_stream(spark, changes, C.overwriting, "complete")
+    return spark.read.parquet(folder).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("changes").alias("changes"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view') AND user_id IS NOT NULL")
+def stream_relevant(spark, d):
+    own = load(spark, d, "events")
+    kept = C.relevant(C.read_changes(spark, d, own.schema, "events.parquet"), "event_type", ["click", "view"], F.col("user_id").isNotNull())
+    folder = _stream_folder(spark)
+    C.run_to_end(kept.select("event_id", "user_id"), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def stream_upsert(spark, d):
+    own = load(spark, d, "events").select("user_id", "ts", "event_id")
+    stream = C.read_changes(spark, d, load(spark, d, "events").schema, "events.parquet").where("user_id is not null").select("user_id", "ts", "event_id")
+    # Of changes at the same time the greater id is the later one.
+    timed = stream.withColumn("at", F.struct("ts", "event_id"))
+    folder = run_stream(spark, timed, lambda out: C.bucketed_upsert_sink(out, ["user_id"], "at", 8), "append")
+    return C.read_bucketed(spark, folder).select(*own.columns)
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def stream_view(spark, d):
+    own = load(spark, d, "events")
+    stream = C.read_changes(spark, d, own.schema, "events.parquet").select("event_type")
+    view = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    folder = run_stream(spark, stream, lambda out: C.rebuilding(view, lambda: load(spark, d, "events"), "event_type", out), "append")
+    return spark.read.parquet(folder).select("event_type", "n", "users")
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, sink, mode: str) -> str:  # noqa: ANN001
+    """Process all that is there through the foreachBatch function that `sink` gives for a folder; that folder."""
+    folder = _stream_folder(spark)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink(f"{folder}/out"))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/out"
 
 
 def _stream_folder(spark: SparkSession) -> str:

@@ -69,3 +69,56 @@ def overwriting(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(path)
 
     return write
+
+
+def bucketed_upsert_sink(folder: str, keys: Sequence[str], stamp: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts the latest change of every key and rewrites only the buckets it falls into.
+
+    The table at `folder` is partitioned by the hash of its keys. The new content of the touched buckets
+    is written aside before it replaces them, so the batch never reads what it overwrites; writing a
+    batch again gives the same table.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        from tesserine.plans.scratch import discard, materialise
+
+        spark = batch.sparkSession
+        changed = materialise(batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = [r["_bucket"] for r in changed.select("_bucket").distinct().collect()]  # at most `buckets` rows
+        if not touched:
+            return
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        old = spark.read.schema(changed.schema).parquet(folder).where(F.col("_bucket").isin(touched)) if there else changed.limit(0)
+        # A change that is older than the row it would replace stays out.
+        both = old.select(*changed.columns).unionByName(changed)
+        new = materialise(upsert(both.limit(0), both, keys, [F.desc(stamp)]))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
+        discard(changed, new)
+
+    return apply
+
+
+def read_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that `bucketed_upsert_sink` keeps."""
+    return spark.read.parquet(folder).drop("_bucket")
+
+
+def rebuilding(view: Callable[[DataFrame], DataFrame], source: Callable[[], DataFrame], key: str, folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that makes a view anew for the keys that changed, and for them only.
+
+    Changes of a key within a batch count once. The view at `folder` is partitioned by the key.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        invalid = batch.where(F.col(key).isNotNull()).select(key).distinct()
+        fresh = view(source().join(invalid, key, "left_semi"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
+
+    return apply
+
+
+def unexpired(df: DataFrame, stamp: str, seconds: int, now: Column | None = None) -> DataFrame:
+    """Rows younger than `seconds`; rows without a time never expire."""
+    at = F.current_timestamp() if now is None else now
+    return df.where(F.col(stamp).isNull() | (F.col(stamp).cast("timestamp") > at - F.make_interval(secs=F.lit(seconds))))

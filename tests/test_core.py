@@ -210,8 +210,6 @@ def test_learning(spark):
     assert L.regex_of_examples([]) == ""
     df = spark.createDataFrame([("a", "x1.py"), ("a", "x22.py"), (None, "q"), ("b", None)], "k string, e string")
     assert [(r.k, r.pattern) for r in L.learned_patterns(df, "k", "e").collect()] == [("a", r"x\d+\.py")]
-    new, conf = L.filled_wildcards(F.lit("(_) @x"), F.lit("call"), F.lit(0.93))
-    assert spark.range(1).select(new.alias("p"), conf.alias("c")).collect()[0].asDict() == {"p": "(call) @x", "c": 0.95}
     assert one(spark.range(1).select(L.improvement(F.lit(0), F.lit(3)))) == 1.0
     assert one(spark.range(1).select(L.variation_score(F.lit("(a|b)")))) == 7
 

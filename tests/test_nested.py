@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesserine.operators import nested as N
+from tesserine.operators.components import on_cycles
 from tesserine.operators.nested import child_table, flatten_records, parse_record, record_rows, table_elements
 
 KEYS = ["sections", "anchors", "params"]
@@ -118,8 +119,8 @@ def test_large_schema_graphs_give_the_same_tables(spark):
 
 def test_nodes_on_cycles_of_any_length(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e"), ("f", "g"), ("x", "x"), ("y", "a"), (None, "a")] + [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)]
-    found = {r.node for r in N.on_cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()}
-    assert found == {"a", "b", "c", "e", "f", "x"} | {f"r{i}" for i in range(30)}
+    found = {r.node: r.cycle for r in on_cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert found == {"a": "c", "b": "c", "c": "c", "e": "f", "f": "f", "x": "x"} | {f"r{i}": "r9" for i in range(30)}
 
 
 def test_child_tables_take_their_fields_from_the_rows(spark):
