@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +76,23 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
 
     Contributions are summed map-side; the lineage is cut to a table every few rounds.
     """
+    spark = edges.sparkSession
     links = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     out = links.groupBy("src").agg(F.count("*").alias("n"))
-    weighted = materialise(links.join(out, "src"))
     nodes = materialise(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    # The links are laid out by their source once; a round then moves only the ranks. A lost part is laid out again from the table.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weighted = links.join(out, "src").repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
     ranks, cut = nodes.withColumn("rank", F.lit(1.0)), None
     for i in range(1, rounds + 1):
         sent = weighted.join(ranks, weighted["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("s"))
         ranks = nodes.join(sent, nodes["node"] == sent["dst"], "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if i % cut_every == 0 and i < rounds:
+        if i % cut_every == 0 or i == rounds:
             new = materialise(ranks)
             discard(cut)
             ranks = cut = new
+    weighted.unpersist()
+    discard(links, nodes)
     return ranks
 
 
@@ -354,46 +360,52 @@ def grid_neighbours(df: DataFrame, id_col: str, vec_col: str, radius: float, fea
     """(a, b, distance) of ids a < b at a Euclidean distance of at most `radius`, exactly.
 
     Projections onto orthonormal directions never lengthen a distance, so close pairs lie in the
-    same or in adjacent cells of a grid of that width. The rows of a cell meet those of the cells
-    around it in one task; beyond `block_rows` rows they do so block by block. Null ids, null
-    vectors, null elements and other lengths than the greatest are left out.
+    same or in adjacent cells of a grid of that width. Two adjacent cells that hold rows meet in one
+    task, beyond `block_rows` rows block by block. Null ids, null vectors, null elements and other
+    lengths than the greatest are left out.
     """
     v = F.col(vec_col).cast("array<double>")
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
     axes = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, min(features, dim))))[0].T
     place = [F.floor(F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axis]), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) / radius) for axis in axes]
-    cells = materialise(rows.where(F.size("v") == dim).select("id", "v", *[p.alias(f"h{i}") for i, p in enumerate(place)]))
-    near = cells
+    home = F.array(*place).alias("home")
+    cells = materialise(rows.where(F.size("v") == dim).select("id", "v", home))
+    sizes = cells.groupBy("home").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    # Which cells that hold rows lie side by side: each pair once, the lesser first. Vectors go only to these.
+    around = sizes
     for i in range(len(axes)):
-        near = near.withColumn(f"c{i}", F.explode(F.array(F.col(f"h{i}") - 1, F.col(f"h{i}"), F.col(f"h{i}") + 1)))
-    keys = [f"c{i}" for i in range(len(axes))]
-    near = near.withColumn("home", F.expr(" and ".join(f"h{i} = c{i}" for i in range(len(axes))))).drop(*[f"h{i}" for i in range(len(axes))])
-    sizes = near.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("home").alias("m")).where("m > 0")
-    near = near.join(sizes, keys).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    near = near.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = near.where("home").select(*keys, F.col("own").alias("p"), F.col("other").alias("q"), "id", "v", F.lit(True).alias("left"))
-    given = near.select(*keys, F.col("other").alias("p"), F.col("own").alias("q"), "id", "v", F.lit(False).alias("left"))
+        near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(f"d{i}")
+        around = around.select("*", near)
+    other = F.array(*[F.col("home")[i] + F.col(f"d{i}") for i in range(len(axes))])
+    pairs = around.select("home", "blocks", other.alias("other")).where("home <= other").join(sizes.select(F.col("home").alias("other"), F.col("blocks").alias("others")), "other")
+    pairs = materialise(pairs.select("home", "other", "blocks", "others"))
+    asked = cells.join(pairs, "home").withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    given = cells.withColumnRenamed("home", "other").join(pairs, "other").withColumn("q", F.pmod(F.xxhash64("id"), F.col("others")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.select("home", "other", "p", "q", "id", "v", F.lit(True).alias("left"))
+    given = given.select("home", "other", "p", "q", "id", "v", F.lit(False).alias("left"))
 
     def measure(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        found = []
+        found, one_cell = [], key[0].as_py() == key[1].as_py()
         squares = (values * values).sum(axis=1)
         heads, rest = np.flatnonzero(left), np.flatnonzero(~left)
         for start in range(0, len(heads), 512):
             part = heads[start : start + 512]
             far = squares[part][:, None] + squares[rest][None, :] - 2 * (values[part] @ values[rest].T)
-            a, b = np.nonzero((far <= radius * radius + 1e-6) & (ids[part][:, None] < ids[rest][None, :]))
+            ordered = ids[part][:, None] < ids[rest][None, :] if one_cell else ids[part][:, None] != ids[rest][None, :]
+            a, b = np.nonzero((far <= radius * radius + 1e-6) & ordered)
             a, b = part[a], rest[b]
             exact = np.sqrt(((values[a] - values[b]) ** 2).sum(axis=1))
             kept = exact <= radius
-            found.append((ids[a[kept]], ids[b[kept]], exact[kept]))
+            a, b = ids[a[kept]], ids[b[kept]]
+            found.append((np.minimum(a, b), np.maximum(a, b), exact[kept]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         return pa.table(dict(zip(("a", "b", "distance"), columns)))
 
-    return asked.unionByName(given).groupBy(*keys, "p", "q").applyInArrow(measure, "a long, b long, distance double")
+    return asked.unionByName(given).groupBy("home", "other", "p", "q").applyInArrow(measure, "a long, b long, distance double")
 
 
 def density_clusters(df: DataFrame, id_col: str, vec_col: str, radius: float) -> DataFrame:

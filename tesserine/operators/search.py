@@ -18,7 +18,7 @@ def nearest(
     k: int | None = 5,
     min_similarity: float = -1.0,
     keep: Column | None = None,
-    block_rows: int = 4096,
+    block_rows: int = 32_768,
     same_set: bool = True,
 ) -> DataFrame:
     """(query, id, similarity, place): up to `k` rows most similar to every query, or all of `min_similarity` for None.
@@ -27,8 +27,9 @@ def nearest(
 
     Ties go to the smaller id, cosines are in double precision and rounded to 9 decimals. `keep`
     filters rows before they are compared, so `k` counts what is left. Queries are (query, vec);
-    each block of `block_rows` of them is broadcast, the rows are read and pruned to `k` per query in
-    every partition, and only those are shuffled. Rows without a usable vector are left out.
+    each block of about `block_rows` of them is broadcast, the rows are read once a block and pruned to
+    about `k` per query in every batch, and only those are shuffled. Rows without a usable vector are
+    left out.
     """
     spark = df.sparkSession
     rows = df if keep is None else df.where(keep)
@@ -65,15 +66,17 @@ def _search(shared, k: int | None, least: float, same_set: bool):
             ids, rows = ids[good], rows[good] / length[good][:, None]
             if not len(ids):
                 continue
-            order = np.argsort(ids, kind="stable")
-            ids, rows = ids[order], rows[order]
-            scores = np.round(asked @ rows.T, 9)
-            if same_set:
-                scores[names[:, None] == ids[None, :]] = -9
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(scores, best, 1)
-            line, place = np.nonzero(value >= max(least, -1.0))
-            yield pa.RecordBatch.from_arrays([pa.array(names[line]), pa.array(ids[best[line, place]]), pa.array(value[line, place])], ["query", "id", "similarity"])
+            floor = max(least, -1.0)
+            for first in range(0, len(names), 512):
+                own = names[first : first + 512]
+                scores = np.round(asked[first : first + 512] @ rows.T, 9)
+                if same_set:
+                    scores[own[:, None] == ids[None, :]] = -9
+                lowest = np.full(len(own), floor)
+                if k is not None and k < len(ids):  # ties with the k-th stay until all partitions are seen
+                    lowest = np.maximum(lowest, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+                line, place = np.nonzero(scores >= lowest[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(own[line]), pa.array(ids[place]), pa.array(scores[line, place])], ["query", "id", "similarity"])
 
     return run
 
