@@ -197,6 +197,11 @@ def status_of_rate(rate: Column) -> Column:
     return F.when(rate == 0, "ok").when(rate < 0.1, "degraded").when(rate < 0.3, "error").otherwise("critical")
 
 
+def component_health(success: Column, seconds: Column, least: float = 0.8, slow: float = 1.0) -> Column:
+    """'degraded' for a success rate below `least` (0 without operations) or a mean time above `slow`, else 'healthy'."""
+    return F.when(F.coalesce(success, F.lit(0.0)) < least, "degraded").when(seconds > slow, "degraded").otherwise("healthy")
+
+
 # Naming conventions in order; a name needs what stands second, too.
 CONVENTIONS = {
     "camelCase": ("^[a-z][a-zA-Z0-9]*$", "[A-Z]"), "snake_case": ("^[a-z][a-z0-9_]*$", "_"), "kebab-case": ("^[a-z][a-z0-9-]*$", "-"),
@@ -343,3 +348,21 @@ def node_category(node_type: Column) -> Column:
 def source_key(text: Column, *parts: Column) -> Column:
     """A key of a text for caches: the md5 of the text after the given parts."""
     return F.concat_ws(":", *parts, F.md5(F.coalesce(text, F.lit(""))))
+
+
+def encoded(df, columns: list[str] | None = None, charset: str = "UTF-8"):  # noqa: ANN001, ANN201
+    """`df` with its strings as bytes, inside arrays, maps and structs too."""
+    from pyspark.sql import types as t
+
+    def deep(value: Column, kind: t.DataType) -> Column:
+        if isinstance(kind, t.StringType):
+            return F.encode(value, charset)
+        if isinstance(kind, t.ArrayType):
+            return F.transform(value, lambda x: deep(x, kind.elementType))
+        if isinstance(kind, t.MapType):
+            return F.transform_values(value, lambda _, x: deep(x, kind.valueType))
+        if isinstance(kind, t.StructType):
+            return F.when(value.isNotNull(), F.struct(*[deep(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return value
+
+    return df.select(*[deep(F.col(f.name), f.dataType).alias(f.name) if columns is None or f.name in columns else F.col(f.name) for f in df.schema.fields])

@@ -258,6 +258,23 @@ def sections(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     return options.select(*key, "section", F.trim(F.regexp_extract("l", "^([^=]+)=", 1)).alias("option"), F.trim(F.regexp_extract("l", "^[^=]+=(.*)$", 1)).alias("value"))
 
 
+def asciidoc_lines(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """(key, line, kind, level, section, content) of AsciiDoc lines by a state machine: fences switch it, headers open sections.
+
+    kind is 'fence', 'code' (between fences), 'header', 'list', 'link', 'emphasis', 'paragraph' or
+    'blank'; section is the title of the last header above, '' before any; a null text has no lines.
+    """
+    fenced = fenced_lines(df, key, text, "^----\\s*$")
+    line = F.col("text")
+    kind = F.when(line.rlike("^----\\s*$"), "fence").when(F.col("inside"), "code").when(F.trim(line) == "", "blank").when(line.rlike("^=+\\s+\\S"), "header")
+    kind = kind.when(line.rlike("^\\s*(?:\\*+|-|\\.+|\\d+\\.)\\s+\\S"), "list").when(line.rlike("link:[^\\[]+\\["), "link").when(line.rlike("\\*[^*]+\\*|_[^_]+_"), "emphasis").otherwise("paragraph")
+    marked = fenced.withColumn("kind", kind)
+    header = F.when(F.col("kind") == "header", F.trim(F.regexp_replace("text", "^=+\\s+", "")))
+    before = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.when(F.col("kind") == "header", F.length(F.regexp_extract("text", "^(=+)", 1)).cast("long"))
+    return marked.select(*key, "line", "kind", level.alias("level"), F.coalesce(F.last(header, ignorenulls=True).over(before), F.lit("")).alias("section"), F.col("text").alias("content"))
+
+
 def decorated_functions(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """(key, line, kind, name): try lines, decorators with the name on the next line, and def lines."""
     numbered = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.transform(lines(F.col(text)), lambda x: F.trim(x))).alias("line", "l"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.operators.nested import flatten_records
-from tesserine.plans import graphs, reference, registry, trees, usage  # noqa: F401
+from tesserine.plans import graphs, reference, registry, rules, trees, usage  # noqa: F401
 from tesserine.session import ship_package
 from tesserine.sources.tables import load
 
