@@ -270,6 +270,8 @@ def similarity_clusters(
     typical = means.groupBy("cluster_head").agg(F.min(F.struct((-F.col("mean")).alias("m"), "id")).alias("t"))
     described = heads.join(typical, "cluster_head").select("id", "cluster_head", F.col("t.id").alias("typical_id"), "cluster_size")
     if not describe:
+        described = materialise(described)
+        discard(vectors, members, quantised, labels, units)
         return described
     cell = quantised.select("rep", F.slice("cells", 1, features).alias("cell"))
     inside = members.join(cell, "rep").join(heads.select("id", "cluster_head"), "id").groupBy("cluster_head", "cell").agg(F.count("*").alias("n"), F.min("id").alias("least"))

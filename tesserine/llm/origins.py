@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.plans.scratch import materialise
+from tesserine.plans.scratch import discard, materialise
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 
@@ -178,7 +178,8 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     # Messages of the files to their directories are needed on the way up and down: computed once.
     known = materialise(_send(known, [F.col(f"e{i}") for i in range(5)], "u", _FILES))
 
-    nodes = materialise(_tree(known, materialise(name_evidence(judged))))
+    names = materialise(name_evidence(judged))
+    nodes = materialise(_tree(known, names))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return known.select("repo", "path", F.lit("").alias("label"), F.lit(0.0).alias("belief"))
@@ -207,7 +208,9 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     final = joined.select("repo", "path", *_named([F.col(f"e{i}") + F.col(f"g{i}") + (F.col("copied") if i == 3 else F.lit(0.0)) for i in range(5)], "f"))
     best = F.greatest(*[F.struct(F.col(f"f{i}").alias("v"), F.lit(-i).alias("o"), F.lit(name).alias("label")) for i, name in enumerate(LABELS)])
     share = 1 / sum(F.exp(F.col(f"f{i}") - F.col("best.v")) for i in range(5))
-    return final.withColumn("best", best).select("repo", "path", F.col("best.label").alias("label"), share.alias("belief"))
+    labelled = materialise(final.withColumn("best", best).select("repo", "path", F.col("best.label").alias("label"), share.alias("belief")))
+    discard(judged, known, nodes, names, *levels.values(), *beliefs[1:])
+    return labelled
 
 
 def _prefixes(path: str) -> Column:

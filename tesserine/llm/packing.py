@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.tokens import _CUTS, VOCABULARY, TokenCounter
+from tesserine.llm.tokens import _CUTS, VOCABULARY, TokenCounter, read_vocabulary
 from tesserine.plans.scratch import materialise
 
 K1, B = 1.2, 0.75
@@ -26,7 +26,7 @@ K1, B = 1.2, 0.75
 class _Cuts(dict):
     """Token count (31 bits) and term hash (32 bits) of cut texts in one number."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str | bytes) -> None:
         super().__init__()
         self.tokens = TokenCounter(vocabulary)
 
@@ -161,8 +161,10 @@ def pack_texts(
     a seed are candidates.
     """
 
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = _Cuts(vocabulary)
+        cuts = _Cuts(shared.value)
         for batch in batches:
             sizes, terms = [], []
             for text in batch.column(1).to_pylist():

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 # Fixed value: how the vocabulary's tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -20,12 +19,12 @@ class TokenCounter(dict):
 
     LIMIT = 400_000
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: str | bytes = VOCABULARY) -> None:
         import tiktoken
 
         super().__init__()
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        raw = vocabulary if isinstance(vocabulary, bytes) else read_vocabulary(vocabulary)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, cut: str) -> int:
@@ -38,7 +37,7 @@ class TokenCounter(dict):
         return sum(map(self.__getitem__, _CUTS.findall(text)))
 
 
-@lru_cache(maxsize=2)
-def counter(vocabulary: str = VOCABULARY) -> TokenCounter:
-    """The counter of this process."""
-    return TokenCounter(vocabulary)
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The lines of a vocabulary file; jobs read it on the driver and send it along, a few megabytes at most."""
+    with open(path, "rb") as lines:
+        return lines.read()

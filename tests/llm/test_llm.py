@@ -30,6 +30,7 @@ def vectors(seed=0, n=300, copies=30):
     return rows, table
 
 
+COUNTER = tokens.TokenCounter()
 SCHEMA = "id long, v array<float>, rep string"
 
 
@@ -437,7 +438,7 @@ def test_token_counts_equal_the_tokenizer():
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\tab'1!é漢", max_size=40))
 def test_token_counts_of_any_text(text):
-    counter = tokens.counter()
+    counter = COUNTER
     assert counter.count(text) == len(counter.encoding.encode_ordinary(text))
 
 
@@ -456,7 +457,7 @@ def test_packing_table(spark):
     rows += [(900, "word " * 500, 1), (901, "", 1), (902, None, 1), (None, "x", 1), rows[5]]
     df = spark.createDataFrame(rows, "id long, t string, place int")
     packed = packing.pack_texts(df, "id", "t", capacity=128, shard_rows=90).collect()
-    counter = tokens.counter()
+    counter = COUNTER
     total = {}
     for r in packed:
         total[r.id] = total.get(r.id, 0) + r.n_tokens
