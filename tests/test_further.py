@@ -13,7 +13,9 @@ from tesserine.operators import learning as L
 from tesserine.operators import patterns as R
 from tesserine.operators import relational as A
 from tesserine.operators import upsert as K
+from tesserine.operators.tree_queries import tree_captures
 from tesserine.sources import settings, sinks
+from tesserine.sources.files import classified_content, relative_path
 from tesserine.streaming import changes as C
 
 
@@ -366,3 +368,51 @@ def test_scores(spark):
     assert row(T.node_category(F.lit("javadoc"))) == "documentation" and row(T.node_category(F.lit("zzz"))) == "code_patterns"
     assert row(T.kind_of(F.lit("a/Makefile"))) == "build" and row(T.extension(F.lit("a/.env"))) == ""
     assert row(T.is_skipped(F.lit(0.1))) is True and row(T.is_skipped(F.lit(None).cast("double"))) is False
+
+
+def node(kind, *children, text=None):
+    return {"type": kind, "text": text or kind, "children": list(children)}
+
+
+TREE = node("module", node("call", node("identifier", text="print"), node("arguments", node("string", text="a"), node("number", text="1"), node("string", text="b"))), node("def", node("identifier", text="f"), node("body", node("call", node("identifier", text="g")))))
+
+
+@pytest.mark.parametrize("query, expected", [
+    ("(call (identifier) @name) @call", [("call", "call"), ("name", "print"), ("call", "call"), ("name", "g")]),
+    ('(call (identifier) @name (#eq? @name "g"))', [("name", "g")]),
+    ('(call (identifier) @name (#not-eq? @name "g"))', [("name", "print")]),
+    ('((identifier) @x (#match? @x "^p"))', [("x", "print")]),
+    ('(identifier) @x (#any-of? @x "f" "g")', [("x", "f"), ("x", "g")]),
+    ("(arguments (string) @a (string) @b)", [("a", "a"), ("b", "b")]),
+    ("(arguments (string)* @s)", [("s", "a"), ("s", "b")]),
+    ("(call (identifier) @n (missing)? @m)", [("n", "print"), ("n", "g")]),
+    ("(arguments [(number) (string)] @v (number) @n)", [("v", "a"), ("n", "1")]),
+    ("(def name: (identifier) @n body: (_) @b)", [("n", "f"), ("b", "body")]),
+    ("(module (_) @first)", [("first", "call"), ("first", "def")]),
+    ("(nothing) @x", []),
+    ("(call (identifier", []),
+])
+def test_captures_of_queries(spark, query, expected):
+    df = spark.createDataFrame([(1, json.dumps(TREE)), (2, "{"), (3, None)], "id long, a string")
+    found = tree_captures(df, "id", "a", {"q": query}).collect()
+    assert [(r.capture, r.text) for r in sorted(found, key=lambda r: r.match)] == expected
+
+
+def test_deep_trees_have_captures(spark):
+    deep = '{"type": "a", "children": [' * 2000 + '{"type": "b"}' + "]}" * 2000
+    df = spark.createDataFrame([(1, deep)], "id long, a string")
+    assert [r.node for r in tree_captures(df, "id", "a", {"q": "(a (b) @x)"}).collect()] == [2000]
+
+
+def test_asciidoc_machine_contents_and_encodings(spark):
+    text = "= Title\n\n* item\n----\n= no\n----\n== Part\nlink:a[b]\nsome *bold* text\nplain"
+    rows = R.asciidoc_lines(spark.createDataFrame([(1, text), (2, None)], "id long, t string"), ["id"], "t").orderBy("line").collect()
+    assert [r.kind for r in rows] == ["header", "blank", "list", "fence", "code", "fence", "header", "link", "emphasis", "paragraph"]
+    assert [r.section for r in rows][::3] == ["Title", "Title", "Part", "Part"] and [r.level for r in rows if r.level] == [1, 2]
+    files = spark.createDataFrame([("a", "#!/usr/bin/env python3\n# coding: latin-1\n"), ("b.rs", "x\0"), ("c", None), ("d", "<!DOCTYPE html>")], "path string, text string")
+    found = {r.path: (r.language, r.kind, r.encoding, r.is_binary) for r in classified_content(files).collect()}
+    assert found == {"a": ("python", "other", "latin-1", False), "b.rs": ("rust", "source", "utf-8", True), "c": ("unknown", "other", None, False), "d": ("html", "other", "utf-8", False)}
+    deep = spark.sql("SELECT 'a' AS s, array('b', NULL) AS l, map('k', 'v') AS m, named_struct('x', 'y', 'n', 1) AS t")
+    row = T.encoded(deep).collect()[0]
+    assert (bytes(row.s), [x and bytes(x) for x in row.l], {k: bytes(v) for k, v in row.m.items()}, bytes(row.t.x), row.t.n) == (b"a", [b"b", None], {"k": b"v"}, b"y", 1)
+    assert spark.range(1).select(relative_path(F.lit("./a\\b//c"), "a").alias("p")).collect()[0].p == "b/c"

@@ -1,10 +1,17 @@
+import json
 import os
+import re
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tesserine.functions.catalogue import PATTERNS
+from tesserine.operators import graph as G
+from tesserine.operators.extensions import HashedWords
+from tesserine.plans.queries import LIST_KEYS
+from tesserine.plans.tables import DOCS
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -30,9 +37,152 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(found) == rows(duck.execute(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry._core.queries()) - set(entry._core.oracle_sql())))
-def test_query_runs(spark, name):
-    assert entry.queries()[name](spark, str(DATA)).count() >= 0
+def test_every_query_without_sql_is_tested_here():
+    """Names that other tests of this module (or tests/test_nested.py for p2) take from `entry.queries()`."""
+    known = {"common_catalogue", "markdown_catalogue", "format_catalogues", "todo_spans", "try_and_decorators", "learned_patterns", "communities", "modularity_communities", "betweenness", "cycles_whole", "reachable_depth3_whole", "node_embeddings", "walk_similarities", "pattern_variations", "embedded_texts", "p2_found"}
+    assert set(entry._core.queries()) - set(entry._core.oracle_sql()) == known
+
+
+def found_counts(spark, name, key):
+    return {(*(r[k] for k in key), r.pattern): r.n for r in entry.queries()[name](spark, str(DATA)).collect()}
+
+
+def counted(texts, patterns):
+    """Matches by Python's own expressions, in texts by key."""
+    compiled = {n: re.compile(p, re.MULTILINE) for n, p in patterns.items()}
+    counts = {(*k, n): sum(1 for _ in p.finditer(t)) for k, t in texts.items() for n, p in compiled.items()}
+    return {k: n for k, n in counts.items() if n}
+
+
+def latest_docs(duck):
+    return {(i,): t for i, t in duck.execute(f"select id, content from ({DOCS}) where content is not null").fetchall()}
+
+
+def test_catalogues_count_what_python_counts(spark, duck):
+    docs = latest_docs(duck)
+    files = {(r, p): t for r, p, t in duck.execute("select distinct repo_id, file_path, file_content from code_files where file_content is not null").fetchall()}
+    assert found_counts(spark, "common_catalogue", ["repo_id", "file_path"]) == counted(files, PATTERNS["common"])
+    assert found_counts(spark, "markdown_catalogue", ["id"]) == counted(docs, PATTERNS["markdown"] | {f"text_{k}": v for k, v in PATTERNS["plaintext"].items()})
+    # Java's ^ does not match behind a final line end, which one expression asks for.
+    odd = "python.indentation_error"
+    others = {f"{f}.{n}": p for f, own in PATTERNS.items() if f not in ("common", "markdown", "plaintext") for n, p in own.items() if f"{f}.{n}" != odd}
+    assert {k: n for k, n in found_counts(spark, "format_catalogues", ["id"]).items() if k[-1] != odd} == counted(docs, others)
+
+
+def test_spans_of_comments(spark, duck):
+    files = {f"{r}:{p}": t for r, p, t in duck.execute("select distinct repo_id, file_path, file_content from code_files where file_content is not null").fetchall()}
+    expected = [(f, n, m.start(), m.end(), t.count("\n", 0, m.start()) + 1) for f, t in files.items() for n in ("todo_comment", "fixme_comment", "docstring", "class_definition") for m in re.finditer(PATTERNS["common"][n], t, re.MULTILINE)]
+    assert sorted(map(tuple, entry.queries()["todo_spans"](spark, str(DATA)).collect())) == sorted(expected)
+
+
+def test_try_and_decorators(spark, duck):
+    expected = {}
+    for repo, text in duck.execute("select repo_id, file_content from (select distinct repo_id, file_path, file_content from code_files where language = 'python' and file_content is not null)").fetchall():
+        for line in (x.strip() for x in text.splitlines()):
+            kind = "try" if line == "try:" else "decorator" if line.startswith("@") else "function" if line.startswith("def ") else None
+            if kind:
+                expected[repo, kind] = expected.get((repo, kind), 0) + 1
+    assert {(r.repo_id, r.kind): r.n for r in entry.queries()["try_and_decorators"](spark, str(DATA)).collect()} == expected
+
+
+def test_learned_patterns_match_all_their_examples(spark, duck):
+    examples = {}
+    for kind, source in duck.execute("select distinct doc_kind, source from documents where doc_kind is not null and source is not null and source <> ''").fetchall():
+        examples.setdefault(kind, []).append(source)
+    found = {r.doc_kind: r.pattern for r in entry.queries()["learned_patterns"](spark, str(DATA)).collect()}
+    assert set(found) == set(examples) and all(re.fullmatch(found[k], e) for k, own in examples.items() for e in own)
+    names = {}
+    for brand, name in duck.execute("select distinct p_brand, p_name from part").fetchall():
+        names.setdefault(brand, set()).add(name)
+    rows = entry.queries()["pattern_variations"](spark, str(DATA)).collect()
+    for brand, own in names.items():
+        groups = [r for r in rows if r.p_brand == brand]
+        assert sum(r.n for r in groups) == len(own) and all(any(re.fullmatch(r.pattern, n) for r in groups) for n in own)
+
+
+def test_communities(spark, part_graph):
+    near = {}
+    for a, b in part_graph[0]:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    label = {n: n for n in near}
+    for _ in range(5):
+        votes = {n: {} for n in near}
+        for n, others in near.items():
+            for o in others:
+                votes[n][label[o]] = votes[n].get(label[o], 0) + 1
+        label = {n: min(v, key=lambda c: (-v[c], c)) for n, v in votes.items()}
+    assert {r.node: r.community for r in entry.queries()["communities"](spark, str(DATA)).collect()} == label
+    links = spark.createDataFrame([(a, b) for a in near for b in near[a] if a < b], "src long, dst long")
+    score = lambda own: G.modularity(links, spark.createDataFrame(list(own.items()), "node long, community long")).collect()[0][0]
+    better = {r.node: r.community for r in entry.queries()["modularity_communities"](spark, str(DATA)).collect()}
+    assert set(better) == set(near) and score(better) > score(label) + 0.05  # a random graph has little structure
+    assert all(better[c] == c and c <= n for n, c in better.items())
+
+
+def test_embeddings_of_nodes_and_texts(spark, duck, part_graph):
+    nodes = {x for a, b in part_graph[0] if a != b for x in (a, b)}
+    rows = entry.queries()["node_embeddings"](spark, str(DATA)).collect()
+    assert {r.node for r in rows} == nodes and {len(r.vec.split(",")) for r in rows} == {16}
+    near = entry.queries()["walk_similarities"](spark, str(DATA)).collect()
+    assert all(0.8 <= r.similarity <= 1 and r.id != r.query and r.query % 50 == 0 and r.place <= 5 for r in near)
+    model = HashedWords(16)
+    texts = dict(duck.execute("select doc_id, text from documents where text is not null").fetchall())
+    expected = {i: ",".join(str(int(x)) for x in model.embed([t])[0]) for i, t in texts.items()}
+    assert {r.doc_id: r.embedding for r in entry.queries()["embedded_texts"](spark, str(DATA)).collect() if r.embedding is not None} == expected
+
+
+def test_elements_of_lists_in_records(spark, duck):
+    """p2: every object of a list, by a recursion of its own."""
+    def opened(x):
+        while isinstance(x, str) and x.strip()[:1] in ("{", "[", '"'):
+            try:
+                y = json.loads(x)
+            except ValueError:
+                return x
+            if not isinstance(y, (dict, list)) and not (isinstance(y, str) and y.strip()[:1] in ("{", "[", '"')):
+                return x
+            x = y
+        return x
+
+    def walk(x, path, case, name, out):
+        x = opened(x)
+        if isinstance(x, list):
+            for i, y in enumerate(x):
+                y = opened(y)
+                here = f"{path}[{i}]"
+                if isinstance(y, dict):
+                    out.append((here, case))
+                    for k, v in y.items():
+                        walk(v, f"{here}.{k}", here, k, out)
+                else:
+                    walk(y, here, case, name, out)
+        elif isinstance(x, dict):
+            if name in LIST_KEYS:
+                walk([x], path, case, "", out)
+            else:
+                for k, v in x.items():
+                    walk(v, f"{path}.{k}" if path else k, case, k, out)
+
+    expected = set()
+    for table, column in (("code_snippets", "enriched_features"), ("repo_docs", "metadata"), ("repo_docs", "quality_metrics")):
+        columns = ["enriched_features"] if table == "code_snippets" else ["metadata", "quality_metrics"]
+        latest = {}
+        for i, at, *raws in duck.execute(f"select id, updated_at, {', '.join(columns)} from {table} where id is not null").fetchall():
+            order = [(at is not None, at or 0)] + [(r is not None, (r or "").encode()) for r in raws]
+            if i not in latest or order > latest[i][0]:
+                latest[i] = (order, raws[columns.index(column)])
+        for i, (_, raw) in latest.items():
+            try:
+                value = json.loads(raw, parse_constant=lambda c: 1 / 0) if raw else None
+            except (ValueError, ZeroDivisionError):
+                continue
+            out = []
+            walk(value, "", "", "", out)
+            expected |= {(f"{table}.{column}", i, a, b) for a, b in out}
+    found = {tuple(r) for r in entry.queries()["p2_found"](spark, str(DATA)).select("src_field", "record_id", "child_path", "parent_path").collect()}
+    assert found == expected
 
 
 @pytest.fixture(scope="session")
