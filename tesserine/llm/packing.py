@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers: lexical retrieval packing.
 
-Texts are spread over shards by a hash, about `shard_rows` each. In a shard a BM25 inverted index returns, for the
-largest unused text, the unused texts most like it; they fill its container greedily, and what
+Texts are spread over shards of about `shard_rows` by a topic, so that texts with words in common meet. In a shard a
+BM25 inverted index returns, for the largest unused text, the unused texts most like it; they fill its container greedily, and what
 room is left goes to the largest unused texts that still fit. Containers that stay too empty are
 given back, and their texts meet others in the shards of another round, as long as a round closes
 half of the texts that it takes. A shard never outgrows its size, and rounds are few.
@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.tokens import _CUTS, VOCABULARY, TokenCounter, read_vocabulary
+from tesserine.operators.upsert import insert_with_ids
 from tesserine.plans.scratch import materialise
 
 K1, B = 1.2, 0.75
+TOPICAL = 9  # letters of a word that tells a topic
 
 
 class _Cuts(dict):
@@ -34,12 +36,21 @@ class _Cuts(dict):
         if len(self) >= TokenCounter.LIMIT:
             self.clear()
         word = cut.strip().strip(".,;:!?()[]{}`\"'*#|>-").lower()
-        term = xxhash.xxh32_intdigest(word) | 1 if len(word) > 2 else 0
+        # Long words have odd terms, shorter ones even terms, the shortest none.
+        term = (xxhash.xxh32_intdigest(word) & ~1 | 2 | (len(word) >= TOPICAL)) if len(word) > 2 else 0
         count = self.tokens[cut]
         value = self[cut] = (term << 31) | count
         return value
 
 
+def topic_of(terms: np.ndarray) -> int:
+    """The term of least mixed hash among the topical ones, else among all: texts share it as they share words; 0 for none."""
+    own = terms[terms & 1 == 1]
+    own = (own if len(own) else terms).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return int(((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).min()) if len(own) else 0
+
+
 class Index:
     """BM25 over the term lists of one shard."""
 
@@ -143,6 +154,17 @@ def _packer(capacity: int, good_fill: float, smallest: int, last: bool, round_no
     return pack
 
 
+def _topic_shards(items: DataFrame, shard_rows: int, shards: int) -> DataFrame:
+    """(topic, start, blocks) of the topics that fill half a shard or more: they get shards of their own, from number `shards` on.
+
+    There is at most one such topic for every `shard_rows` / 2 texts; all other topics share the first `shards` shards.
+    """
+    large = items.groupBy("topic").agg(F.count("*").alias("rows")).where(F.col("rows") * 2 >= shard_rows)
+    blocks = large.select("topic", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / shard_rows).cast("int") - 1)).alias("block"))
+    numbered = insert_with_ids(blocks, ["topic", "block"], "number", after=shards - 1)
+    return numbered.groupBy("topic").agg(F.min("number").alias("start"), F.count("*").alias("blocks"))
+
+
 def pack_texts(
     df: DataFrame,
     id_col: str,
@@ -166,20 +188,22 @@ def pack_texts(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = _Cuts(shared.value)
         for batch in batches:
-            sizes, terms = [], []
+            sizes, terms, topics = [], [], []
             for text in batch.column(1).to_pylist():
                 found = _CUTS.findall(text)
                 values = np.fromiter(map(cuts.__getitem__, found), np.int64, len(found))
                 sizes.append(int((values & 0x7FFFFFFF).sum()))
-                names = values >> 31
-                terms.append(names[names > 0].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary())], ["id", "n", "terms"])
+                names = (values >> 31).astype(np.uint32)
+                names = names[names > 0]
+                terms.append(names.tobytes())
+                topics.append(topic_of(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(topics, pa.int64()), pa.array(terms, pa.binary())], ["id", "n", "topic", "terms"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null and t <> ''")
-    measured = texts.mapInArrow(measure, "id long, n long, terms binary").groupBy("id").agg(F.max(F.struct("n", "terms")).alias("m")).select("id", "m.*")
+    measured = texts.mapInArrow(measure, "id long, n long, topic long, terms binary").groupBy("id").agg(F.max(F.struct("n", "topic", "terms")).alias("m")).select("id", "m.*")
     measured = materialise(measured.where("n > 0"))
     cut = F.expr(f"transform(sequence(0, cast((n - 1) div {capacity} as int)), p -> struct(p as piece, p * {capacity}L as first_token, least({capacity}L, n - p * {capacity}L) as n_tokens))")
-    items = measured.select("id", "terms", F.explode(cut).alias("c")).select("id", "c.*", F.when(F.col("c.n_tokens") < capacity, F.col("terms")).otherwise(F.lit(b"")).alias("terms"))
+    items = measured.select("id", "topic", "terms", F.explode(cut).alias("c")).select("id", "topic", "c.*", F.when(F.col("c.n_tokens") < capacity, F.col("terms")).otherwise(F.lit(b"")).alias("terms"))
 
     shape = "id long, piece int, first_token long, n_tokens long, terms binary, container_id long, place int, good boolean"
     done, round_no = None, 0
@@ -188,8 +212,13 @@ def pack_texts(
         shards = max(1, -(-total // shard_rows))
         last = shards == 1
         pack = _packer(capacity, good_fill, smallest or 1, last, round_no)
-        shard = F.pmod(F.xxhash64(F.lit(round_no), "id", "piece"), F.lit(shards)).alias("shard")
-        packed = materialise(items.select(shard, "id", "piece", "first_token", "n_tokens", "terms").groupBy("shard").applyInArrow(pack, shape))
+        if round_no == 0 and not last:
+            items = items.join(_topic_shards(items, shard_rows, shards), "topic", "left")
+            spread = F.col("start") + F.pmod(F.xxhash64("id", "piece"), F.col("blocks"))
+            items = items.withColumn("shard", F.coalesce(spread, F.pmod(F.xxhash64("topic"), F.lit(shards))))
+        else:
+            items = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), "id", "piece"), F.lit(shards)))
+        packed = materialise(items.select("shard", "id", "piece", "first_token", "n_tokens", "terms").groupBy("shard").applyInArrow(pack, shape))
         left, smallest = packed.where("not good").agg(F.count("*"), F.min("n_tokens")).first()
         # Without progress another round would not help either: what it packed stays as it is.
         last = last or left > total // 2

@@ -145,6 +145,7 @@ def test_clusters_tell_the_member_of_their_densest_cell(spark):
 
 
 def test_clusters_of_an_empty_table(spark):
+    assert clusters.similarity_clusters(spark.createDataFrame([], SCHEMA), "id", "v", describe=True).count() == 0
     assert clusters.similarity_clusters(spark.createDataFrame([], SCHEMA), "id", "v").count() == 0
 
 
@@ -202,6 +203,7 @@ def test_texts_with_one_notice_are_joined_on_their_rare_shingles(spark, block_ro
 
 def test_near_duplicates_of_an_empty_table(spark):
     links, members = near_duplicates.near_duplicate_classes(spark.createDataFrame([], "id long, t string"), "id", "t")
+    assert near_duplicates.near_duplicate_groups(links, members).count() == 0
     assert links.count() == 0 and members.count() == 0
 
 
@@ -485,6 +487,21 @@ def test_packing_ends_where_no_two_texts_fit(spark):
     assert max(sums.values()) <= 80
 
 
+def test_topics_bring_like_texts_into_one_shard(spark):
+    rng = random.Random(2)
+    words = {k: [f"{k}wordnumber{i}x" for i in range(25)] for k in ("astro", "botan")}
+    rows = [(i, " ".join(rng.choice(words["astro" if i % 3 == 0 else "botan"]) for _ in range(12))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    packed = packing.pack_texts(df, "id", "t", capacity=1500, shard_rows=150).collect()
+    assert {r.id for r in packed} == set(range(900))
+    held = {}
+    for r in packed:
+        held.setdefault(r.container_id, []).append(r.id % 3 == 0)
+    mixed = np.mean([2 * min(np.mean(v), 1 - np.mean(v)) for v in held.values()])
+    assert mixed < 0.35  # drawn at random it would be about 0.67
+    assert packing.topic_of(np.array([2, 6], np.uint32)) == packing.topic_of(np.array([6, 2], np.uint32)) > 0 == packing.topic_of(np.empty(0, np.uint32))
+
+
 def test_long_cuts_keep_their_token_count():
     cuts = packing._Cuts(tokens.VOCABULARY)
     cuts.tokens = {"x": 20_000_000}
