@@ -162,7 +162,8 @@ def _topic_shards(items: DataFrame, shard_rows: int, shards: int) -> DataFrame:
     large = items.groupBy("topic").agg(F.count("*").alias("rows")).where(F.col("rows") * 2 >= shard_rows)
     blocks = large.select("topic", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / shard_rows).cast("int") - 1)).alias("block"))
     numbered = insert_with_ids(blocks, ["topic", "block"], "number", after=shards - 1)
-    return numbered.groupBy("topic").agg(F.min("number").alias("start"), F.count("*").alias("blocks"))
+    # As a table its size is known before the join, so the texts are not shuffled for it while it is small.
+    return materialise(numbered.groupBy("topic").agg(F.min("number").alias("start"), F.count("*").alias("blocks")))
 
 
 def pack_texts(
