@@ -89,6 +89,21 @@ def pattern_chain(spark, d):
     return chained.join(code, ["repo_id", "file_path"], "left").groupBy("repo_id").agg(listed("doc").alias("docs"), listed("file").alias("files"))
 
 
+def _versions(spark, d):
+    """Docs delivered with two contents or more: the last one beside the one before it."""
+    own = load(spark, d, "repo_docs").where("id is not null and content is not null").groupBy("id", "content").agg(F.max(F.struct("updated_at", "version")).alias("at"))
+    order = [F.desc("at"), F.desc("content")]
+    two = A.top_per_key(own, ["id"], order, 2)
+    return two.groupBy("id").agg(F.max(F.when(F.col("place") == 2, F.col("content"))).alias("old"), F.max(F.when(F.col("place") == 1, F.col("content"))).alias("new")).where("old is not null")
+
+
+@query()
+def doc_changes(spark, d):
+    own = _versions(spark, d)
+    edits = R.edit_script(own, "id", "old", "new").groupBy("id").agg(F.count("*").alias("edits"))
+    return own.select("id", F.round(R.change_ratio(F.col("old"), F.col("new")), 9).alias("ratio")).join(edits, "id", "left").select("id", "ratio", F.coalesce("edits", F.lit(0)).alias("edits"))
+
+
 # ---------------------------------------------------------------- health and scores
 
 

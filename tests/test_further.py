@@ -1,5 +1,6 @@
 import json
 import subprocess
+import time
 
 import numpy as np
 import pytest
@@ -352,6 +353,23 @@ def test_views_are_made_anew_for_changed_keys(spark, tmp_path):
     assert {r.k: r.n for r in spark.read.parquet(folder).collect()} == {1: 2, 2: 3}
 
 
+def test_progress_of_a_stream(spark, tmp_path):
+    seen, ended = [], []
+    listener = E.ProgressListener(lambda q, batch, rows: seen.append(rows), ended.append)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).write.parquet(f"{tmp_path}/in")
+        C.run_to_end(C.read_changes(spark, f"{tmp_path}/in", "id long"), f"{tmp_path}/s")
+        for _ in range(100):
+            if ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(seen) == 7 and len(ended) == 1
+    assert spark.read.parquet(f"{tmp_path}/s/out").count() == 7
+
+
 def test_expiry_and_time_ranges(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-09 00:00:00"), (3, None)], "id long, s string").select("id", F.col("s").cast("timestamp").alias("t"))
     now = F.lit("2024-01-09 00:00:10").cast("timestamp")

@@ -1,3 +1,4 @@
+import difflib
 import json
 import os
 import re
@@ -39,7 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_without_sql_is_tested_here():
     """Names that other tests of this module (or tests/test_nested.py for p2) take from `entry.queries()`."""
-    known = {"common_catalogue", "markdown_catalogue", "format_catalogues", "todo_spans", "try_and_decorators", "learned_patterns", "communities", "modularity_communities", "betweenness", "cycles_whole", "reachable_depth3_whole", "node_embeddings", "walk_similarities", "pattern_variations", "embedded_texts", "p2_found"}
+    known = {"common_catalogue", "markdown_catalogue", "format_catalogues", "todo_spans", "try_and_decorators", "learned_patterns", "communities", "modularity_communities", "betweenness", "cycles_whole", "reachable_depth3_whole", "node_embeddings", "walk_similarities", "pattern_variations", "embedded_texts", "doc_changes", "p2_found"}
     assert set(entry._core.queries()) - set(entry._core.oracle_sql()) == known
 
 
@@ -100,6 +101,20 @@ def test_learned_patterns_match_all_their_examples(spark, duck):
         assert sum(r.n for r in groups) == len(own) and all(any(re.fullmatch(r.pattern, n) for r in groups) for n in own)
 
 
+def test_changes_of_documents(spark, duck):
+    seen = {}
+    for i, text, at, version in duck.execute("select id, content, updated_at, version from repo_docs where id is not null and content is not null").fetchall():
+        order = ((at is not None, at or 0), (version is not None, version or 0))
+        seen.setdefault(i, {})[text] = max(seen.get(i, {}).get(text, order), order)
+    expected = {}
+    for i, texts in seen.items():
+        if len(texts) > 1:
+            new, old = sorted(texts, key=lambda t: (texts[t], t.encode()), reverse=True)[:2]
+            script = difflib.SequenceMatcher(None, old.splitlines(), new.splitlines(), autojunk=False).get_opcodes()
+            expected[i] = (round(difflib.SequenceMatcher(None, old, new, autojunk=False).ratio(), 9), sum(s[0] != "equal" for s in script))
+    assert {r.id: (r.ratio, r.edits) for r in entry.queries()["doc_changes"](spark, str(DATA)).collect()} == expected
+
+
 def test_communities(spark, part_graph):
     near = {}
     for a, b in part_graph[0]:
