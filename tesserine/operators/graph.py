@@ -82,7 +82,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
     nodes = materialise(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
     # The links are laid out by their source once; a round then moves only the ranks. A lost part is laid out again from the table.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weighted = links.join(out, "src").repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+    weighted = links.join(out, "src").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks, cut = nodes.withColumn("rank", F.lit(1.0)), None
     for i in range(1, rounds + 1):
         sent = weighted.join(ranks, weighted["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("s"))

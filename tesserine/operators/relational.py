@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.plans.scratch import materialise
+
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of every group, as column n."""
@@ -109,16 +111,23 @@ def members_in_common(df: DataFrame, key: str, member: str, min_similarity: floa
     Keys whose sizes rule the similarity out are not paired. The keys of a member beyond `block_keys`
     are paired block by block in tasks of their own.
     """
-    pairs = df.select(F.col(key).alias("k"), F.col(member).alias("m")).where("k is not null and m is not null").distinct()
-    sizes = pairs.groupBy("k").agg(F.count("*").alias("size"))
-    blocks = pairs.groupBy("m").agg(F.ceil(F.count("*") / block_keys).cast("int").alias("blocks"), F.count("*").alias("held")).where("held > 1")
-    sized = pairs.join(sizes, "k").join(blocks.drop("held"), "m")
-    placed = sized.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("m", "k", "size", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    a, b = placed.alias("a"), placed.alias("b")
-    fits = F.expr(f"a.k < b.k and (a.lo = a.hi or a.own <> b.own) and least(a.size, b.size) >= {min_similarity} * greatest(a.size, b.size)")
-    both = a.join(b, [F.col("a.m") == F.col("b.m"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi")]).where(fits)
-    shared = both.groupBy(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).agg(F.count("*").alias("shared"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb"))
+    pairs = materialise(df.select(F.col(key).alias("k"), F.col(member).alias("m")).where("k is not null and m is not null").distinct())
+    sized = pairs.join(pairs.groupBy("k").agg(F.count("*").alias("size")), "k")
+    blocks = pairs.groupBy("m").agg(F.ceil(F.count("*") / block_keys).cast("int").alias("blocks"))
+    hot = materialise(blocks.where("blocks > 1"))  # at most one row for every block_keys pairs
+
+    def paired(side: DataFrame, on: Sequence[str], crossing: str) -> DataFrame:
+        fits = F.expr(f"a.k < b.k and ({crossing}) and least(a.size, b.size) >= {min_similarity} * greatest(a.size, b.size)")
+        both = side.alias("a").join(side.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]).where(fits)
+        return both.select(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb"))
+
+    if hot.limit(1).count():
+        split = sized.join(hot, "m").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        split = split.select("m", "k", "size", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        both = paired(sized.join(hot, "m", "left_anti"), ["m"], "true").unionByName(paired(split, ["m", "lo", "hi"], "a.lo = a.hi or a.own <> b.own"))
+    else:
+        both = paired(sized, ["m"], "true")
+    shared = both.groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
     found = shared.select("key_a", "key_b", "shared", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("similarity"))
     return found.where(F.col("similarity") >= min_similarity)
 

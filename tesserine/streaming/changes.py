@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tesserine.operators.upsert import upsert
+from tesserine.operators.upsert import latest_by_key, upsert
 
 
 def read_changes(spark: SparkSession, folder: str, schema, files: str = "*.parquet", per_trigger: int = 10) -> DataFrame:
@@ -91,8 +91,8 @@ def bucketed_upsert_sink(folder: str, keys: Sequence[str], stamp: str, buckets:
         there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
         old = spark.read.schema(changed.schema).parquet(folder).where(F.col("_bucket").isin(touched)) if there else changed.limit(0)
         # A change that is older than the row it would replace stays out.
-        both = old.select(*changed.columns).unionByName(changed)
-        new = materialise(upsert(both.limit(0), both, keys, [F.desc(stamp)]))
+        both = old.select(*changed.columns).unionByName(changed).repartition("_bucket")
+        new = materialise(latest_by_key(both, ["_bucket", *keys], [F.desc(stamp)]))
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
         discard(changed, new)
 
