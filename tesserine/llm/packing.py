@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.tokens import _CUTS, VOCABULARY, TokenCounter, read_vocabulary
-from tesserine.operators.upsert import insert_with_ids
 from tesserine.plans.scratch import materialise
 
 K1, B = 1.2, 0.75
@@ -154,16 +153,14 @@ def _packer(capacity: int, good_fill: float, smallest: int, last: bool, round_no
     return pack
 
 
-def _topic_shards(items: DataFrame, shard_rows: int, shards: int) -> DataFrame:
-    """(topic, start, blocks) of the topics that fill half a shard or more: they get shards of their own, from number `shards` on.
+def _large_topics(items: DataFrame, shard_rows: int) -> DataFrame:
+    """(topic, blocks) of the topics that fill half a shard or more, and how many shards they get.
 
-    There is at most one such topic for every `shard_rows` / 2 texts; all other topics share the first `shards` shards.
+    There is at most one such topic for every `shard_rows` / 2 texts. As a table its size is known before
+    it is joined, so the texts are not shuffled for it while it is small.
     """
-    large = items.groupBy("topic").agg(F.count("*").alias("rows")).where(F.col("rows") * 2 >= shard_rows)
-    blocks = large.select("topic", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / shard_rows).cast("int") - 1)).alias("block"))
-    numbered = insert_with_ids(blocks, ["topic", "block"], "number", after=shards - 1)
-    # As a table its size is known before the join, so the texts are not shuffled for it while it is small.
-    return materialise(numbered.groupBy("topic").agg(F.min("number").alias("start"), F.count("*").alias("blocks")))
+    counted = items.groupBy("topic").agg(F.count("*").alias("rows")).where(F.col("rows") * 2 >= shard_rows)
+    return materialise(counted.select("topic", F.ceil(F.col("rows") / shard_rows).cast("int").alias("blocks")))
 
 
 def pack_texts(
@@ -214,8 +211,10 @@ def pack_texts(
         last = shards == 1
         pack = _packer(capacity, good_fill, smallest or 1, last, round_no)
         if round_no == 0 and not last:
-            items = items.join(_topic_shards(items, shard_rows, shards), "topic", "left")
-            spread = F.col("start") + F.pmod(F.xxhash64("id", "piece"), F.col("blocks"))
+            # Large topics get shards of their own, named by a hash behind the numbers that small topics share.
+            items = items.join(_large_topics(items, shard_rows), "topic", "left")
+            own = F.xxhash64("topic", F.pmod(F.xxhash64("id", "piece"), F.col("blocks")))
+            spread = F.when(F.col("blocks").isNotNull(), F.pmod(own, F.lit(1 << 35)) + shards)
             items = items.withColumn("shard", F.coalesce(spread, F.pmod(F.xxhash64("topic"), F.lit(shards))))
         else:
             items = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), "id", "piece"), F.lit(shards)))
