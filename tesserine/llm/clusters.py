@@ -145,6 +145,22 @@ def link_cell(codes: np.ndarray, ids: np.ndarray, own: np.ndarray, face: np.ndar
     return np.r_[ids[tied], ids[a]], np.r_[ids[label[tied]], ids[b]], sure
 
 
+def _around_pivots(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """`rows` (k, rep, code, face) with `pivot`, one row of each k by its hash, and `tied`: surely as close to it as links ask."""
+    pivots = rows.groupBy("k").agg(F.min_by(F.struct("rep", "code"), F.xxhash64(F.lit(1), "rep")).alias("p"))
+    both = rows.join(pivots, "k").select("k", "rep", "code", "face", F.col("p.rep").alias("pivot"), F.col("p.code").alias("near"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _code_type(dim)) for c in ("code", "near"))
+            value = np.einsum("ij,ij->i", own["values"].astype(np.float64), pivot["values"].astype(np.float64)) * own["scale"] * pivot["scale"]
+            doubt = own["error"] * (1 + pivot["error"]) + pivot["error"] + 1e-6
+            tied = (value - doubt >= threshold) | (batch.column("rep").to_numpy() == batch.column("pivot").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(tied)], ["k", "rep", "code", "face", "pivot", "tied"])
+
+    return both.mapInArrow(test, "k long, rep long, code binary, face byte, pivot long, tied boolean")
+
+
 def similarity_clusters(
     df: DataFrame,
     id_col: str,
@@ -169,7 +185,8 @@ def similarity_clusters(
 
     A cell is dense with at least two members, and two adjacent cells are with a member each near
     their common face. Only rows shortened to a byte a feature are shuffled; pairs that these cannot
-    decide are verified with the whole vectors. Cells beyond `block_rows` are compared block by block.
+    decide are verified with the whole vectors. In cells beyond `block_rows` the rows close to a pivot are
+    tied to it at once; the others are compared with all, block by block in tasks of their own.
     """
     spark = df.sparkSession
     vectors = materialise(usable_vectors(df, id_col, vec_col, dim))
@@ -233,8 +250,12 @@ def similarity_clusters(
     found = rows.join(dense.where("blocks = 1").select("k"), "k").withColumn("own", F.lit(0)).groupBy("k").applyInArrow(link, shape)
     hot = dense.where("blocks > 1")
     if hot.limit(1).count():
-        split = rows.join(hot, "k").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        crowds = materialise(_around_pivots(rows.join(hot.select("k"), "k"), dim, threshold))
+        found = found.unionByName(crowds.where("tied and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("sure")))
+        # What is tied to the pivot of its cell is compared with the rest only, so a crowd around one point costs no pairs of its own.
+        blocks = crowds.groupBy("k").agg(F.ceil(F.count_if(~F.col("tied")) / block_rows).cast("int").alias("rest"), F.ceil(F.count_if("tied") / block_rows).cast("int").alias("crowd")).where("rest > 0")
+        split = crowds.join(blocks, "k").withColumn("own", F.when(F.col("tied"), F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("crowd"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("tied"), 0).otherwise(F.col("crowd")))))
         split = split.select("k", "rep", "code", "face", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         found = found.unionByName(split.groupBy("k", "lo", "hi").applyInArrow(link, shape))
     links = materialise(found.distinct())

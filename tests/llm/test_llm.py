@@ -136,6 +136,19 @@ def test_links_of_a_crowded_cell_tie_what_all_pairs_tie():
     assert len(a) < len(x) / 20
 
 
+def test_a_crowd_in_one_cell_is_tied_to_its_pivot(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(64)
+    rows = [centre + 0.2 * rng.standard_normal(64) for _ in range(150)] + [centre + 0.42 * rng.standard_normal(64) for _ in range(60)] + [rng.standard_normal(64) for _ in range(40)]
+    rows = [r.astype(np.float32) for r in rows]
+    _, scores = exact_neighbours(rows, 1, 0.9)
+    label = clusters._merge(np.arange(len(rows)), *np.nonzero(np.triu(scores >= 0.9, 1)))
+    expected = {i + 1: int(label[i]) + 1 for i in range(len(rows)) if (label == label[i]).sum() >= 3}
+    df = spark.createDataFrame([(i + 1, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, v array<float>")
+    found = clusters.similarity_clusters(df, "id", "v", block_rows=20, recall=0.9999)
+    assert {r.id: r.cluster_head for r in found.collect()} == expected
+
+
 def test_clusters_tell_the_member_of_their_densest_cell(spark):
     rows, table = vectors(2)
     df = spark.createDataFrame(table, SCHEMA)
