@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.vectors import equal_groups, matrix, packed, unit, usable_vectors
+from tesserine.llm.vectors import equal_groups, matrix, unit, usable_vectors
 from tesserine.plans.scratch import discard, materialise
 
 
@@ -233,9 +233,10 @@ def most_similar(
     lists = min(memberships, quantiser.lists)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(16, min(1024, (1 << 22) // (2 * lists * len(shared.value.second))))  # rows whose sums of words fit into memory
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 rows = matrix(part.column(1), dim)
                 top, codes, norms = encode(unit(rows).astype(np.float32), shared.value, lists, beam)
                 entry = np.zeros((len(rows), lists), dtype=[("word", "<i4"), ("norm", "<f4"), ("codes", "u1", levels)])

@@ -3,13 +3,11 @@ import math
 import random
 import re
 from pathlib import Path
-import struct
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tesserine.plans.scratch import shared_folder
 from tesserine.llm import clusters, documented, leaks, near_duplicates, neighbours, origins, packing, reading, tokens, trees, words
