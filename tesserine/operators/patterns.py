@@ -19,14 +19,15 @@ from tesserine.functions.text import lines
 _SPANS = "pattern string, first int, last int, line int, text string, groups array<string>"
 
 
-def pattern_counts(df: DataFrame, key: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
+def pattern_counts(df: DataFrame, key: Sequence[str], text: str, patterns: Mapping[str, str], dotall: bool = False) -> DataFrame:
     """(key, pattern, n) of the patterns that match at all; null and empty texts match none.
 
-    Patterns of a key that comes again (`REPEATS`) are counted over the lines, without backtracking.
+    Patterns of a key that comes again (`REPEATS`) are counted over the lines, without backtracking. With
+    `dotall` the dots of all others match line ends, as in `pattern_matches`.
     """
     repeats = {name: REPEATS[p] for name, p in patterns.items() if p in REPEATS}
     plain = {name: p for name, p in patterns.items() if p not in REPEATS}
-    counted = [F.struct(F.lit(name).alias("pattern"), F.regexp_count(F.col(text), F.lit(portable(p))).cast("long").alias("n")) for name, p in plain.items()]
+    counted = [F.struct(F.lit(name).alias("pattern"), F.regexp_count(F.col(text), F.lit(portable(p, dotall))).cast("long").alias("n")) for name, p in plain.items()]
     if repeats:
 
         @F.pandas_udf("array<bigint>")

@@ -166,6 +166,13 @@ def test_patterns_match_what_they_should_and_nothing_else(spark, fmt):
     assert {n for n in cases if (f"{n}-", n) in found} == set()
 
 
+def test_dots_match_line_ends_where_asked(spark):
+    df = spark.createDataFrame([(1, "@a: 1\n@b: 2\n")], "id long, t string")
+    own = {"metadata": PATTERNS["plaintext"]["metadata"]}
+    for dotall, n in ((False, 2), (True, 1)):
+        assert R.pattern_counts(df, ["id"], "t", own, dotall).collect()[0].n == n == R.pattern_matches(df, "id", "t", own, dotall).count()
+
+
 def test_catalogue_at_run_time(spark):
     known = Catalogue()
     assert len(known.find("common", "documentation")) == 5 and len(known.find()) == sum(map(len, PATTERNS.values()))
