@@ -178,8 +178,7 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     # Messages of the files to their directories are needed on the way up and down: computed once.
     known = materialise(_send(known, [F.col(f"e{i}") for i in range(5)], "u", _FILES))
 
-    names = materialise(name_evidence(judged))
-    nodes = materialise(_tree(known, names))
+    nodes = materialise(_tree(known, name_evidence(judged)))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return known.select("repo", "path", F.lit("").alias("label"), F.lit(0.0).alias("belief"))
@@ -209,7 +208,7 @@ def label_files(files: DataFrame, repo_col: str, path_col: str, content_col: str
     best = F.greatest(*[F.struct(F.col(f"f{i}").alias("v"), F.lit(-i).alias("o"), F.lit(name).alias("label")) for i, name in enumerate(LABELS)])
     share = 1 / sum(F.exp(F.col(f"f{i}") - F.col("best.v")) for i in range(5))
     labelled = materialise(final.withColumn("best", best).select("repo", "path", F.col("best.label").alias("label"), share.alias("belief")))
-    discard(judged, known, nodes, names, *levels.values(), *beliefs[1:])
+    discard(judged, known, nodes, *levels.values(), *beliefs[1:])
     return labelled
 
 
