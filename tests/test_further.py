@@ -14,6 +14,7 @@ from tesserine.operators import learning as L
 from tesserine.operators import patterns as R
 from tesserine.operators import relational as A
 from tesserine.operators import upsert as K
+from tesserine.operators.shortest import Searches
 from tesserine.operators.tree_queries import tree_captures
 from tesserine.sources import settings, sinks
 from tesserine.sources.files import classified_content, relative_path
@@ -33,6 +34,64 @@ def test_betweenness_by_joins_equals_the_searches(spark):
     assert G.betweenness(edges(spark, []), max_edges=-1).count() == 0
 
 
+def brandes(links, n):
+    """Betweenness by one search after the other."""
+    after, score = [sorted({b for a, b in links if a == v and b != v}) for v in range(n)], np.zeros(n)
+    for s in range(n):
+        far, count, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in after[v]:
+                if w not in far:
+                    far[w], count[w] = far[v] + 1, 0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    count[w] += count[v]
+        depends = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            depends[v] += sum(count[v] / count[w] * (1 + depends[w]) for w in after[v] if far[w] == far[v] + 1)
+            score[v] += depends[v] if v != s else 0.0
+    return score
+
+
+@pytest.mark.parametrize("width", [1, 5, 16])
+def test_searches_equal_brandes(width):
+    rng = np.random.default_rng(width)
+    hub = [(0, i) for i in range(1, 300)] + [(i, 0) for i in range(5, 250)] + [(300, i) for i in range(50, 290)]
+    chain = [(301 + i, 302 + i) for i in range(60)]
+    dense = [(int(a) + 370, int(b) + 370) for a, b in rng.integers(0, 60, (300, 2)) if a != b]
+    for links, n in ((hub + chain + dense, 440), (chain + dense, 440), ([(i - 370, j - 370) for i, j in dense], 60), (hub, 301)):
+        src, dst = np.array(sorted(set(links))).T
+        graph = Searches(src, dst, n)
+        graph.width = width
+        graph.add(np.arange(n))
+        assert graph.score == pytest.approx(brandes(links, n))
+
+
+def test_betweenness_sends_small_components_to_tasks_however_many_edges_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    links = [(int(a) + 30 * c, int(b) + 30 * c) for c in range(8) for a, b in rng.integers(0, 30, (70, 2))]
+    expected = {i: s for i, s in enumerate(brandes(links, 240)) if s}
+    seen = []
+    monkeypatch.setattr(G, "_betweenness_joined", lambda links, block: seen.append(links) or links.select(F.col("src").alias("node"), F.lit(0.0).alias("score")).limit(0))
+    monkeypatch.setattr(G, "SLICE", 2)
+    for unit in (10, 2000):
+        monkeypatch.setattr(G, "UNIT", unit)
+        for most in (1000, 100):
+            assert {r.node: r.score for r in G.betweenness(edges(spark, [*links, (None, 1)]), max_edges=most).collect()} == pytest.approx(expected)
+    assert not seen
+    larger = links + [(int(a) + 500, int(b) + 500) for a, b in rng.integers(0, 30, (200, 2))]
+    assert {r.node: r.score for r in G.betweenness(edges(spark, larger), max_edges=100).collect()} == pytest.approx(expected)
+    assert len(seen) == 1 and seen[0].where("src < 500").count() == 0
+
+
+def test_betweenness_searches_a_component_without_the_others(spark):
+    """20,000 searches in rings of 20 nodes; over all edges at once they took minutes."""
+    rings = spark.range(20_000).selectExpr("id as src", "id - id % 20 + (id + 1) % 20 as dst")
+    began = time.time()
+    found = [r.score for r in G.betweenness(rings).collect()]
+    assert len(found) == 20_000 and set(found) == {171.0} and time.time() - began < 20
+
+
 def test_modularity_finds_cliques(spark):
     cliques = [(10 * c + i, 10 * c + j) for c in range(4) for i in range(5) for j in range(i)]
     bridges = [(0, 10), (10, 20), (20, 30)]
