@@ -228,13 +228,27 @@ def share_spec(spec: Column) -> Column:
     return F.struct(ids.alias("ids"), F.try_to_number(F.regexp_extract(spec, ":([0-9]+)$", 1), F.lit("999999999999")).cast("long").alias("target"))
 
 
+def content_parts(text: Column) -> Column:
+    """struct(length, letters, words) of a text, for `similar_parts`; arrays hold each element once, letters as numbers."""
+    letters = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c != "", F.ascii(c)).otherwise(-1))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)\\w+"), F.lit(0)))
+    return F.struct(F.length(text).alias("length"), letters.alias("letters"), words.alias("words"))
+
+
+def similar_parts(a: Column, b: Column) -> Column:
+    """`similar_content` of two texts, given as their `content_parts`; which text is first makes no difference."""
+
+    def alike(name: str) -> Column:
+        shared = F.size(F.array_intersect(a[name], b[name]))
+        return shared / F.nullif(F.size(a[name]) + F.size(b[name]) - shared, F.lit(0)).cast("double")
+
+    gap = F.abs(a["length"] - b["length"]) / F.nullif(F.greatest(a["length"], b["length"]), F.lit(0))
+    return F.coalesce((gap < 0.3) & ((alike("letters") > 0.7) | (alike("words") > 0.5)), F.lit(False))
+
+
 def similar_content(a: Column, b: Column) -> Column:
     """Whether two texts differ by less than 30 % in length and share most characters or half their words."""
-    gap = F.abs(F.length(a) - F.length(b)) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
-    letters = jaccard(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)\\w+"), F.lit(0)))
-    parts = jaccard(words(a), words(b))
-    return F.coalesce((gap < 0.3) & ((letters > 0.7) | (parts > 0.5)), F.lit(False))
+    return similar_parts(content_parts(a), content_parts(b))
 
 
 def capped_mean(*parts: tuple[Column, float]) -> Column:

@@ -208,9 +208,18 @@ def set_similarity(spark, d):
   w AS (SELECT *, list_distinct(regexp_extract_all(x, '\\w+')) AS wx, list_distinct(regexp_extract_all(y, '\\w+')) AS wy, list_distinct(string_split(x, '')) AS cx, list_distinct(string_split(y, '')) AS cy FROM c)
   SELECT a, b FROM w WHERE abs(length(x) - length(y)) / greatest(length(x), length(y)) < 0.3 AND (CAST(len(list_intersect(cx, cy)) AS DOUBLE) / len(list_distinct(list_concat(cx, cy))) > 0.7 OR CAST(len(list_intersect(wx, wy)) AS DOUBLE) / len(list_distinct(list_concat(wx, wy))) > 0.5)""")
 def similar_names(spark, d):
-    own = load(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    left, right = own.toDF("a", "x", "p_brand", "p_size"), own.toDF("b", "y", "p_brand", "p_size")
-    return left.join(right, ["p_brand", "p_size"]).where("a < b").where(T.similar_content(F.col("x"), F.col("y"))).select("a", "b")
+    return _similar_names(load(spark, d, "part"))
+
+
+def _similar_names(part):
+    """Names that a brand has for a size are compared once, however many parts bear them; then the parts of alike names meet."""
+    group = ["p_brand", "p_size"]
+    own = part.select(*group, "p_name", "p_partkey")
+    names = own.select(*group, "p_name").distinct().withColumn("c", T.content_parts(F.col("p_name")))
+    left, right = names.toDF(*group, "x", "cx"), names.toDF(*group, "y", "cy")
+    alike = left.join(right, group).where("x <= y").where(T.similar_parts(F.col("cx"), F.col("cy"))).select(*group, "x", "y")
+    pairs = alike.join(own.toDF(*group, "x", "m"), [*group, "x"]).join(own.toDF(*group, "y", "n"), [*group, "y"])
+    return pairs.where("m < n or (x <> y and n < m)").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"))
 
 
 @query("""SELECT doc_kind, class, retryable, count(*) AS n FROM (SELECT doc_kind, CASE WHEN contains(t, 'syntax') THEN 'syntax_error' WHEN contains(t, 'timeout') OR contains(t, 'time limit') THEN 'timeout_error' WHEN contains(t, 'memory') THEN 'memory_error' WHEN contains(t, 'match limit') THEN 'match_limit_error'

@@ -2,6 +2,7 @@ import difflib
 import json
 import os
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -255,6 +256,25 @@ def test_paths_and_cycles_of_the_whole_graph(spark, part_graph):
     assert {r.node: r.steps for r in entry.queries()["cycles_whole"](spark, str(DATA)).collect()} == steps
 
 
+def test_similar_names_of_odd_parts_equal_its_sql(spark, tmp_path):
+    names = ["red tin", "tin red", "red tin pan", "green pan", "", None, "red tin", "RED tin", " red  tin "]
+    parts = [(i // 2 if i % 7 else None, names[i % 9], f"B{i % 2}" if i % 11 else None, i % 3) for i in range(200)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    expected = rows(con.execute(entry.oracle_sql()["similar_names"]).df())
+    assert len(expected) > 500 and rows(entry.queries()["similar_names"](spark, str(tmp_path)).toPandas()) == expected
+
+
+def test_similar_names_are_compared_once(spark, tmp_path):
+    """40,495,500 pairs of parts, but 6 of names."""
+    names = "case when id % 3 = 0 then 'red tin' when id % 3 = 1 then 'red tin pot' else 'quick blue' end"
+    spark.range(9000).selectExpr("id as p_partkey", f"{names} as p_name", "'B' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    began = time.time()
+    assert entry.queries()["similar_names"](spark, str(tmp_path)).count() == 3 * (3000 * 2999 // 2)
+    assert time.time() - began < 20
+
+
 def test_format_catalogues_run_every_format(spark, tmp_path):
     texts = {"ini": "x=1\n[a]\ny=2\nx=3", "requirements": "a==1.0\nb\na==2.0", "yaml": "k: 1\nl: 2\nk: 3\n", "editorconfig": "root = true\nindent_style = tab"}
     one = spark.read.parquet(f"{DATA}/repo_docs.parquet").limit(1).drop("id", "content")
