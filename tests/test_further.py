@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
@@ -13,8 +14,9 @@ from tesserine.operators import graph as G
 from tesserine.operators import learning as L
 from tesserine.operators import patterns as R
 from tesserine.operators import relational as A
+from tesserine.operators import shortest
 from tesserine.operators import upsert as K
-from tesserine.operators.shortest import Searches
+from tesserine.operators.shortest import Searches, packed, searched
 from tesserine.operators.tree_queries import tree_captures
 from tesserine.sources import settings, sinks
 from tesserine.sources.files import classified_content, relative_path
@@ -67,6 +69,47 @@ def test_searches_equal_brandes(width):
         assert graph.score == pytest.approx(brandes(links, n))
 
 
+def scores(spark, links, n, step=1):
+    """What `searched` gives over `links`, from every first source."""
+    src, dst = np.array(links, np.int64).reshape(-1, 2).T
+    rows = spark.createDataFrame([(bytearray(packed(src, dst, n)), first, step) for first in range(step)], "graph binary, first int, step int")
+    return sum(np.frombuffer(r[0], "<f8") for r in rows.select(searched(spark, "graph", "first", "step")).collect())
+
+
+@pytest.mark.parametrize("compiled", [True, False])
+def test_compiled_searches_equal_brandes(spark, monkeypatch, compiled):
+    if not compiled:
+
+        def refused(session):
+            raise Py4JError("no compiler")
+
+        monkeypatch.setattr(shortest, "_compiled", refused)
+    rng = np.random.default_rng(6)
+    hub = [(0, i) for i in range(1, 300)] + [(i, 0) for i in range(5, 250)] + [(300, i) for i in range(50, 290)]
+    chain = [(301 + i, 302 + i) for i in range(60)]
+    dense = [(int(a) + 370, int(b) + 370) for a, b in rng.integers(0, 60, (300, 2)) if a != b]
+    wide = [(int(a), int(b)) for a, b in rng.integers(0, 400, (2400, 2)) if a != b]
+    fan = [(0, i) for i in range(1, 200)] + [(i, 200 + i % 7) for i in range(1, 200)] + [(200 + i, 210) for i in range(7)] + [(210, 0)]
+    for links, n in ((hub + chain + dense, 440), (wide, 400), (wide + chain[:1], 420), (fan, 211), ([(b, a) for a, b in fan], 211), ([(0, 1)], 3)):
+        links = sorted(set(links))
+        for step in (1, 3):
+            assert scores(spark, links, n, step) == pytest.approx(brandes(links, n))
+
+
+def test_compiled_searches_outrun_those_in_numpy(spark):
+    """400 searches of a random graph as large as that of the parts of sf0.1."""
+    rng = np.random.default_rng(7)
+    src, dst = rng.integers(0, 20_000, (2, 290_000))
+    graph = spark.createDataFrame([(bytearray(packed(src, dst, 20_000)), 0, 50)], "graph binary, first int, step int").select(searched(spark, "graph", "first", "step"))
+    graph.collect()
+    began = time.time()
+    found = np.frombuffer(graph.first()[0], "<f8")
+    took, plain = time.time() - began, Searches(src, dst, 20_000)
+    began = time.time()
+    plain.add(np.arange(0, 20_000, 50))
+    assert found == pytest.approx(plain.score) and 2 * took < time.time() - began
+
+
 def test_betweenness_sends_small_components_to_tasks_however_many_edges_there_are(spark, monkeypatch):
     rng = np.random.default_rng(4)
     links = [(int(a) + 30 * c, int(b) + 30 * c) for c in range(8) for a, b in rng.integers(0, 30, (70, 2))]
